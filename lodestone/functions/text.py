@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestone import constants as k
 
@@ -17,7 +18,7 @@ FENCE_LINE = r"^[^\S\n]{0,3}(?:`{3,}|~{3,})"
 VISIBLE = r"[^\p{Cc}\p{Cf}\p{Zs}\p{Zl}\p{Zp}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
