@@ -16,7 +16,8 @@ from lodestone.policies import RetrievalPolicy
 
 SCORE_DIGITS = 12
 BROADCAST_BYTES = 64 * 1024 * 1024
-BLOCK_QUERIES = 4096
+BLOCK_QUERIES = 1024
+CELL_QUERIES = 16_384
 CELL_RECORDS = 16_384
 
 
@@ -96,6 +97,12 @@ def _score(query_vectors: np.ndarray, batch: pd.DataFrame, query_ids, k: int) ->
     )
 
 
+def _score_blocks(query_vectors: np.ndarray, batch: pd.DataFrame, query_ids, k: int) -> pd.DataFrame:
+    starts = range(0, len(query_ids), BLOCK_QUERIES)
+    blocks = [slice(at, at + BLOCK_QUERIES) for at in starts]
+    return pd.concat([_score(query_vectors[b], batch, query_ids[b], k) for b in blocks])
+
+
 def _merge(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
     rows = pd.concat(parts).sort_values(["query_id", "score", "id"], ascending=[True, False, True])
     return rows.groupby("query_id", sort=False).head(k)
@@ -147,11 +154,8 @@ def _join_broadcast(
         for batch in batches:
             if batch.empty:
                 continue
-            parts = []
-            for at in range(0, len(query_ids), BLOCK_QUERIES):
-                block = slice(at, at + BLOCK_QUERIES)
-                parts.append(_score(query_vectors[block], batch, query_ids[block], k))
-            best = _merge(parts if best is None else [best, *parts], k)
+            found = _score_blocks(query_vectors, batch, query_ids, k)
+            best = found if best is None else _merge([best, found], k)
         if best is not None:
             yield best
 
@@ -161,7 +165,7 @@ def _join_broadcast(
 def _join_grid(q: DataFrame, records: DataFrame, schema: StructType, k: int) -> DataFrame:
     """Cells of (query block, record group), both hashed evenly over unique ids."""
     groups = max(1, -(-records.count() // CELL_RECORDS))
-    query_blocks = max(1, -(-q.count() // BLOCK_QUERIES))
+    query_blocks = max(1, -(-q.count() // CELL_QUERIES))
 
     def spread(column: str, count: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
@@ -183,7 +187,7 @@ def _join_grid(q: DataFrame, records: DataFrame, schema: StructType, k: int) ->
         if block.empty or cell.empty:
             return pd.DataFrame({name: [] for name in schema.names})
         query_vectors = np.stack(block["embedding"].to_numpy())
-        return _score(query_vectors, cell, block["query_id"].to_numpy(), k)
+        return _score_blocks(query_vectors, cell, block["query_id"].to_numpy(), k)
 
     return left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInPandas(score, schema)
 
@@ -332,6 +336,13 @@ def sweep(
     )
 
 
+def _covered(expected: DataFrame, hits: DataFrame) -> DataFrame:
+    """Hits joined to the expected sources they satisfy: same document, section in the path."""
+    found = hits.select("query_id", F.col("document_id").alias("document"), "rank", "heading_path")
+    inside = F.col("section").isNull() | F.array_contains("heading_path", F.col("section"))
+    return expected.join(found, ["query_id", "document"]).filter(inside)
+
+
 def source_coverage(hits: DataFrame, expected: DataFrame, windows: Sequence[int]) -> DataFrame:
     """Share of expected sources found inside each window size.
 
@@ -339,13 +350,7 @@ def source_coverage(hits: DataFrame, expected: DataFrame, windows: Sequence[int]
     """
     sizes = F.array(*[F.lit(w) for w in windows])
     wanted = expected.select("query_id", "document", "section").distinct()
-    matched = wanted.join(
-        hits.select("query_id", "rank", "document_id", "heading_path"),
-        ["query_id"],
-    ).filter(
-        (F.col("document") == F.col("document_id"))
-        & (F.col("section").isNull() | F.array_contains("heading_path", F.col("section")))
-    )
+    matched = _covered(wanted, hits)
     first = matched.groupBy("query_id", "document", "section").agg(F.min("rank").alias("rank"))
     per_source = wanted.alias("w").join(
         first.alias("f"),
@@ -369,10 +374,7 @@ def sources_lost(hits: DataFrame, expected: DataFrame, baseline: int, window: in
     """Expected sources inside the baseline window that the other window no longer has."""
     def covered(size: int) -> DataFrame:
         inside = hits.filter(F.col("rank") <= size)
-        return expected.join(inside, "query_id").filter(
-            (F.col("document") == F.col("document_id"))
-            & (F.col("section").isNull() | F.array_contains("heading_path", F.col("section")))
-        ).select("query_id", "document", "section").distinct()
+        return _covered(expected, inside).select("query_id", "document", "section").distinct()
 
     before, after = covered(baseline).alias("b"), covered(window).alias("a")
     same = (
