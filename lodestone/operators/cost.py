@@ -8,17 +8,18 @@ output_tokens, max_output_tokens, finish_reason, http_attempts. Null tokens mean
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import constants as k
+from lodestone.operators import order_statistics
 from lodestone.policies import BudgetPolicy, ContextPolicy, CostProfile
 
-USAGE_REPORTED = "input_tokens IS NOT NULL AND output_tokens IS NOT NULL"
-
-
 def usage_reported() -> Column:
     return F.col("input_tokens").isNotNull() & F.col("output_tokens").isNotNull()
 
@@ -37,10 +38,17 @@ def call_summary(calls: DataFrame) -> DataFrame:
         F.count_if(reported).alias("usage_reported"),
         F.sum(F.when(reported, F.col("input_tokens"))).alias("input_tokens"),
         F.sum(F.when(reported, F.col("output_tokens"))).alias("output_tokens"),
-        F.round(F.median("elapsed_seconds"), 3).alias("median_elapsed"),
         F.round(F.max("elapsed_seconds"), 3).alias("max_elapsed"),
     ]
-    return calls.rollup("call_type").agg(*aggregates)
+    totals = calls.rollup("call_type").agg(*aggregates)
+    per_type = order_statistics.medians(calls, ["call_type"], "elapsed_seconds")
+    overall = order_statistics.medians(calls, [], "elapsed_seconds")
+    middle = per_type.unionByName(overall, allowMissingColumns=True)
+    return (
+        totals.alias("t")
+        .join(middle.alias("m"), F.col("t.call_type").eqNullSafe(F.col("m.call_type")), "left")
+        .select("t.*", F.round("m.median", 3).alias("median_elapsed"))
+    )
 
 
 def finish_reason_histogram(calls: DataFrame) -> DataFrame:
@@ -63,34 +71,15 @@ def recovery_evidence(calls: DataFrame, recovery_cap: int) -> DataFrame:
 
 def nearest_rank_percentile(values: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
     """An occurring value, never interpolated, per group."""
-    return values.groupBy(*keys).agg(
-        F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})").alias("percentile")
-    )
-
+    return order_statistics.percentiles(values, keys, value, {"percentile": share})
 
-def robust_cost(values: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """max(p75, mean capped at p90) per group and column.
 
-    Percentiles are exact: each group's distinct values and counts are aggregated
-    (map-side combined) first, so the percentile works on value counts.
-    """
-    edges = values.groupBy(*keys).agg(
-        *[
-            F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {c})").cast("double").alias(f"_{c}_{label}")
-            for c in columns
-            for share, label in ((0.75, "p75"), (0.9, "p90"))
-        ]
-    )
-    joined = values.join(edges, keys) if keys else values.join(edges, F.lit(True))
-    capped = joined.groupBy(*keys).agg(
-        *[
-            F.greatest(
-                F.max(f"_{c}_p75"), F.avg(F.least(F.col(c).cast("double"), F.col(f"_{c}_p90")))
-            ).alias(c)
-            for c in columns
-        ]
-    )
-    return capped
+def robust_cost(values: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """max(p75, mean capped at p90) per group, as column *column*."""
+    edges = order_statistics.percentiles(values, keys, column, {"_p75": 0.75, "_p90": 0.9})
+    joined = values.select(*keys, column).join(edges, keys)
+    capped_mean = F.avg(F.least(F.col(column).cast("double"), F.col("_p90")))
+    return joined.groupBy(*keys).agg(F.greatest(F.max("_p75"), capped_mean).alias(column))
 
 
 def usage_coverage(calls: DataFrame) -> DataFrame:
@@ -151,7 +140,9 @@ def forecast_run(
         ).alias("checks"),
     )
     measured = calls.filter(usage_reported())
-    tokens = robust_cost(measured, ["call_type"], ["input_tokens", "output_tokens"])
+    tokens = robust_cost(measured, ["call_type"], "input_tokens").join(
+        robust_cost(measured, ["call_type"], "output_tokens"), "call_type"
+    )
     per_type = tokens.agg(
         *[
             F.coalesce(F.max(F.when(F.col("call_type") == kind, F.col(c))), F.lit(0.0)).alias(f"{kind}_{c}")
@@ -249,30 +240,56 @@ def budget_zone(
 
 
 # --- run guards ---------------------------------------------------------------
-def failure_streak(records: DataFrame) -> DataFrame:
+STREAK_SPAN = 1_000_000
+
+
+def failure_streak(records: DataFrame, span: int = STREAK_SPAN) -> DataFrame:
     """Consecutive transient failures up to each record: gaps and islands per run.
 
-    records(run_id, position, error_category). *stops* marks a streak of two.
+    records(run_id, position, error_category). *stops* marks a streak of two. A run is
+    cut into spans of positions that are counted apart; what reaches over the edge of a
+    span is carried in afterwards, so one long run is not one task.
     """
-    so_far = (
-        Window.partitionBy("run_id")
+    transient = F.coalesce(F.col("error_category").isin(list(k.TRANSIENT_CATEGORIES)), F.lit(False))
+    in_span = (
+        Window.partitionBy("run_id", "_span")
         .orderBy("position")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    transient = F.coalesce(F.col("error_category").isin(list(k.TRANSIENT_CATEGORIES)), F.lit(False))
-    marked = records.withColumn("_t", transient).withColumn(
-        "_island", F.sum((~F.col("_t")).cast("int")).over(so_far)
+    island = Window.partitionBy("run_id", "_span", "_island").orderBy("position").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    in_island = (
-        Window.partitionBy("run_id", "_island")
-        .orderBy("position")
+    local = (
+        records.withColumn("_t", transient)
+        .withColumn("_span", F.floor(F.col("position") / span))
+        .withColumn("_island", F.sum((~F.col("_t")).cast("int")).over(in_span))
+        .withColumn("_local", F.sum(F.col("_t").cast("int")).over(island))
+    )
+    ends = local.groupBy("run_id", "_span").agg(
+        F.max_by("_local", "position").alias("_tail"), F.max("_island").alias("_resets")
+    )
+    spans = (
+        Window.partitionBy("run_id")
+        .orderBy("_span")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    streak = F.sum(F.col("_t").cast("int")).over(in_island)
+    linked = (
+        Window.partitionBy("run_id", "_chain")
+        .orderBy("_span")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    carry = (
+        ends.withColumn("_chain", F.sum((F.col("_resets") > 0).cast("int")).over(spans))
+        .withColumn("_through", F.sum("_tail").over(linked))
+        .withColumn("_in", F.lag("_through", 1, 0).over(Window.partitionBy("run_id").orderBy("_span")))
+        .select("run_id", "_span", "_in")
+    )
+    streak = F.col("_local") + F.when(F.col("_island") == 0, F.col("_in")).otherwise(0)
     return (
-        marked.withColumn("streak", streak)
-        .withColumn("stops", F.col("_t") & (F.col("streak") >= k.SYSTEMIC_STREAK))
-        .drop("_t", "_island")
+        local.join(carry, ["run_id", "_span"])
+        .withColumn("streak", F.when(F.col("_t"), streak).otherwise(0))
+        .withColumn("stops", F.col("streak") >= k.SYSTEMIC_STREAK)
+        .drop("_t", "_island", "_local", "_span", "_in")
     )
 
 
@@ -286,28 +303,47 @@ def projected_cost(
     """After every question: what the whole run will have cost, and whether to stop.
 
     costs(run_id, position, cost). The rate blends the median of the run's own
-    questions with the forecast, own weight n / (n + 5).
+    questions with the forecast, own weight n / (n + 5). The running median streams
+    through each sorted run with two heaps; only costs are kept, never rows.
     """
-    so_far = (
-        Window.partitionBy("run_id")
-        .orderBy("position")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run_type = costs.schema["run_id"].dataType.simpleString()
+    position_type = costs.schema["position"].dataType.simpleString()
+    ordered = (
+        costs.select("run_id", "position", F.col("cost").cast("double").alias("cost"))
+        .repartition("run_id")
+        .sortWithinPartitions("run_id", "position")
     )
-    seen = F.row_number().over(Window.partitionBy("run_id").orderBy("position"))
-    running = (
-        costs.withColumn("seen", seen)
-        .withColumn("spent", F.sum("cost").over(so_far))
-        .withColumn("own_median", F.expr("percentile(cost, 0.5)").over(so_far))
+    running = ordered.mapInPandas(
+        _running_cost,
+        f"run_id {run_type}, position {position_type}, cost double, seen bigint, spent double, own_median double",
     )
     weight = F.col("seen") / (F.col("seen") + k.GUARD_PRIOR_WEIGHT)
     rate = weight * F.col("own_median") + (1 - weight) * forecast_per_question
     remaining = F.greatest(F.lit(total_questions) - F.col("seen"), F.lit(0))
-    projected = F.col("spent") + remaining * rate
     over = (F.lit(known) + F.col("spent") > policy.spendable) | (
         (F.col("seen") >= k.GUARD_MIN_QUESTIONS) & (F.lit(known) + F.col("projected") > policy.spendable)
     )
     return (
-        running.withColumn("projected", projected)
+        running.withColumn("projected", F.col("spent") + remaining * rate)
         .withColumn("band", cost_band(F.col("projected"), policy.daily_budget))
         .withColumn("over_budget", over)
     )
+
+
+def _running_cost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Count, sum and median so far; batches arrive sorted by run and position."""
+    run, low, high, spent = None, [], [], 0.0
+    for batch in batches:
+        seen, total, median = [], [], []
+        for run_id, cost in zip(batch["run_id"], batch["cost"], strict=True):
+            if run_id != run:
+                run, low, high, spent = run_id, [], [], 0.0
+            # low is a max-heap (negated) of the smaller half, high a min-heap of the rest.
+            heapq.heappush(high, -heapq.heappushpop(low, -cost))
+            if len(high) > len(low):
+                heapq.heappush(low, -heapq.heappop(high))
+            spent += cost
+            seen.append(len(low) + len(high))
+            total.append(spent)
+            median.append(-low[0] if len(low) > len(high) else (high[0] - low[0]) / 2)
+        yield batch.assign(seen=seen, spent=total, own_median=median)

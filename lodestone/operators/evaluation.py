@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lodestone import constants as k
 from lodestone.functions import marks
 from lodestone.functions import text as t
+from lodestone.operators import order_statistics
 
 
 def expects_answer(category: Column) -> Column:
@@ -334,10 +335,12 @@ def robustness_metrics(records: DataFrame) -> DataFrame:
 
 def latency_metrics(records: DataFrame) -> DataFrame:
     """Median and longest duration of the questions that did not fail."""
-    completed = records.filter(F.col("outcome").isNotNull())
-    return completed.agg(
-        F.round(F.median("duration_seconds"), 3).alias("median_seconds"),
-        F.round(F.max("duration_seconds"), 3).alias("max_seconds"),
+    completed = records.filter(F.col("outcome").isNotNull()).select("duration_seconds")
+    middle = order_statistics.medians(completed, [], "duration_seconds")
+    longest = completed.agg(F.round(F.max("duration_seconds"), 3).alias("max_seconds"))
+    # Both sides are at most one row.
+    return longest.join(middle, F.lit(True), "left").select(
+        F.round("median", 3).alias("median_seconds"), "max_seconds"
     )
 
 
@@ -447,16 +450,24 @@ def variant_summary(calls: DataFrame) -> DataFrame:
         replied & (F.col("reply_characters") > 0),
         F.col("reply_visible_characters") / F.col("reply_characters"),
     )
-    return calls.groupBy("variant").agg(
+    rows = calls.select("variant", failed.alias("failed"), size.alias("size"), ratio.alias("ratio"))
+    totals = rows.groupBy("variant").agg(
         F.count(F.lit(1)).alias("calls"),
-        F.count_if(failed).alias("failures"),
-        F.round(F.count_if(failed) / F.count(F.lit(1)), 3).alias("failure_rate"),
-        F.min(size).alias("min_characters"),
-        F.bround(F.median(size)).alias("median_characters"),
-        F.max(size).alias("max_characters"),
-        F.round(F.min(ratio), 3).alias("min_visible"),
-        F.round(F.median(ratio), 3).alias("median_visible"),
-        F.round(F.max(ratio), 3).alias("max_visible"),
+        F.count_if("failed").alias("failures"),
+        F.round(F.count_if("failed") / F.count(F.lit(1)), 3).alias("failure_rate"),
+        F.min("size").alias("min_characters"),
+        F.max("size").alias("max_characters"),
+        F.round(F.min("ratio"), 3).alias("min_visible"),
+        F.round(F.max("ratio"), 3).alias("max_visible"),
+    )
+    sizes = order_statistics.medians(rows, ["variant"], "size", "_size")
+    ratios = order_statistics.medians(rows, ["variant"], "ratio", "_ratio")
+    return (
+        totals.join(sizes, "variant", "left")
+        .join(ratios, "variant", "left")
+        .withColumn("median_characters", F.bround("_size"))
+        .withColumn("median_visible", F.round("_ratio", 3))
+        .drop("_size", "_ratio")
     )
 
 
