@@ -1 +1,22 @@
 """Registered queries and their SQL counterparts over the driver tables."""
+
+from __future__ import annotations
+
+from importlib import import_module
+
+MODULES = ("text_queries",)
+
+
+def _merged(attribute: str) -> dict:
+    merged: dict = {}
+    for name in MODULES:
+        merged.update(getattr(import_module(f"lodestone.catalog.{name}"), attribute))
+    return merged
+
+
+def queries() -> dict:
+    return _merged("QUERIES")
+
+
+def oracle_sql() -> dict[str, str]:
+    return _merged("ORACLE")

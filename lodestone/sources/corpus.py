@@ -8,7 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
 from lodestone import constants as k
 from lodestone.functions import digests
@@ -54,25 +54,30 @@ def decode_text(files: DataFrame) -> DataFrame:
 
 
 def split_frontmatter(text: Column) -> Column:
-    """Struct opened, closed, block, body. The first line must be `---`."""
-    lines = F.split(text, "\n")
-    is_mark = F.transform(lines, lambda line: t.rstrip(line) == "---")
-    rest = F.slice(is_mark, 2, F.size(is_mark))
-    closing = F.array_position(rest, True).cast("int")
-    opened = F.element_at(is_mark, 1)
-    closed = opened & (closing > 0)
+    """Struct opened, closed, block, body. The first line must be `---`.
+
+    The closing mark is found by a pattern, so the text is not cut into lines.
+    """
+    mark = r"[^\S\n]*(?:\n|\z)"
+    whole = r"(?sU)\A---" + mark + r"(.*?)(?:(?<=\n)---" + mark + r")(.*)\z"
+    opened = text.rlike(r"(?U)\A---" + mark)
+    closed = opened & text.rlike(whole)
+    block = F.regexp_replace(F.regexp_extract(text, whole, 1), r"\n\z", "")
     return F.struct(
         opened.alias("opened"),
         closed.alias("closed"),
-        F.when(closed, F.array_join(F.slice(lines, F.lit(2), closing - 1), "\n")).alias("block"),
-        F.when(
-            closed,
-            F.array_join(F.slice(lines, closing + 2, F.size(lines)), "\n"),
-        ).alias("body"),
+        F.when(closed, block).alias("block"),
+        F.when(closed, F.regexp_extract(text, whole, 2)).alias("body"),
     )
 
 
-FIELD = StructType([StructField("type", StringType()), StructField("value", StringType())])
+FIELD = StructType(
+    [
+        StructField("type", StringType()),
+        StructField("value", StringType()),
+        StructField("odd_items", ArrayType(IntegerType())),
+    ]
+)
 PARSED = StructType(
     [
         StructField("fields", MapType(StringType(), FIELD)),
@@ -102,14 +107,16 @@ def _strict_loader():
 
 
 def _field(value) -> dict:
+    odd = None
     if isinstance(value, str):
-        return {"type": "str", "value": value}
-    if isinstance(value, datetime.datetime):
-        return {"type": "datetime", "value": value.isoformat()}
-    if isinstance(value, datetime.date):
-        return {"type": "date", "value": value.isoformat()}
-    text = json.dumps(value, default=str, ensure_ascii=False)
-    return {"type": type(value).__name__, "value": text}
+        kind, text = "str", value
+    elif isinstance(value, (datetime.date, datetime.datetime)):
+        kind, text = type(value).__name__, value.isoformat()
+    else:
+        kind, text = type(value).__name__, json.dumps(value, default=str, ensure_ascii=False)
+    if isinstance(value, list):
+        odd = [n for n, item in enumerate(value) if not isinstance(item, str)]
+    return {"type": kind, "value": text, "odd_items": odd}
 
 
 def _parse_block(block: str, loader) -> dict:
@@ -144,6 +151,11 @@ def parse_metadata(blocks: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=PARSED.names)
 
 
+# Filters on issues must not be pushed below the parse: they would copy the parse and
+# all rules into the filter. An opaque function keeps the plan to one evaluation.
+parse_metadata = parse_metadata.asNondeterministic()
+
+
 # --- validation -----------------------------------------------------------------
 KNOWN_FIELDS = (
     "schema_version",
@@ -205,106 +217,108 @@ def schema_gate(fields: Column) -> Column:
     )
 
 
-def field_problems(fields: Column) -> Column:
-    """Array of struct(field, reason) in field order, unknown fields last."""
+# name, kind, required, shortest, longest, choices - in the order problems are reported.
+RULES = (
+    ("id", "slug", True, 2, 100, ()),
+    ("title", "text", True, 1, 200, ()),
+    ("document_type", "choice", True, 0, 0, k.DOCUMENT_TYPES),
+    ("language", "language", True, 0, 1_000_000_000, ()),
+    ("topics", "texts", False, 0, 0, ()),
+    ("technologies", "texts", False, 0, 0, ()),
+    ("source", "text", True, 1, 500, ()),
+    ("source_type", "choice", True, 0, 0, k.SOURCE_TYPES),
+    ("version", "whole", True, 0, 0, ()),
+    ("updated_at", "day", True, 0, 0, ()),
+    ("visibility", "choice", False, 0, 0, k.VISIBILITIES),
+    ("trust_level", "choice", False, 0, 0, k.TRUST_LEVELS),
+    ("license", "nullable", False, 0, 1_000_000_000, ()),
+)
 
-    def get(name: str) -> Column:
-        return F.try_element_at(fields, F.lit(name))
 
-    def wrong(name, reason) -> Column:
-        return F.struct(
-            (F.lit(name) if isinstance(name, str) else name).alias("field"),
-            (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"),
-        )
+def _rules() -> Column:
+    """The rules as one literal array, so that each check is written once."""
 
-    def text(name: str, low=None, high=None, pattern=None, required=True, nullable=False) -> Column:
-        found = get(name)
-        rule = F.when(found.isNull(), wrong(name, "Field required") if required else None)
-        if nullable:
-            rule = rule.when(found["type"] == "NoneType", None)
-        rule = rule.when(found["type"] != "str", wrong(name, "Input should be a valid string"))
-        length = F.length(found["value"])
-        if low:
-            rule = rule.when(
-                length < low,
-                wrong(name, f"String should have at least {low} character{'s' if low > 1 else ''}"),
-            )
-        if high:
-            rule = rule.when(length > high, wrong(name, f"String should have at most {high} characters"))
-        if pattern:
-            rule = rule.when(
-                ~found["value"].rlike(pattern), wrong(name, f"String should match pattern '{pattern}'")
-            )
-        return rule
-
-    def choice(name: str, values, required=True) -> Column:
-        found = get(name)
-        known = (found["type"] == "str") & found["value"].isin(list(values))
-        return F.when(found.isNull(), wrong(name, "Field required") if required else None).when(
-            ~known, wrong(name, f"Input should be {_listing(values)}")
-        )
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "\\'") + "'"
 
-    def whole(name: str) -> Column:
-        found = get(name)
-        return (
-            F.when(found.isNull(), wrong(name, "Field required"))
-            .when(found["type"] != "int", wrong(name, "Input should be a valid integer"))
-            .when(
-                found["value"].try_cast("decimal(38,0)") < 1,
-                wrong(name, "Input should be greater than or equal to 1"),
-            )
-        )
+    rows = [
+        f"named_struct('name', {text(name)}, 'kind', {text(kind)}, 'required', {str(required).lower()}, "
+        f"'low', {low}, 'high', {high}, 'choices', array({', '.join(text(c) for c in choices) or text('')}), "
+        f"'listing', {text(_listing(choices) if choices else '')})"
+        for name, kind, required, low, high, choices in RULES
+    ]
+    return F.expr("array(" + ", ".join(rows) + ")")
 
-    def day(name: str) -> Column:
-        found = get(name)
-        valid = (found["type"] == "date") | (
-            found["type"].isin("str", "datetime") & found["value"].try_cast("date").isNotNull()
+
+def _reason(rule: Column, found: Column) -> Column:
+    """What is wrong with one field; null when nothing is."""
+    kind, value, is_text = rule["kind"], found["value"], found["type"] == "str"
+    valid_day = (found["type"] == "date") | (
+        found["type"].isin("str", "datetime") & value.try_cast("date").isNotNull()
+    )
+    plural = F.when(rule["low"] > 1, "s").otherwise("")
+    return (
+        F.when(found.isNull(), F.when(rule["required"], "Field required"))
+        .when((kind == "nullable") & (found["type"] == "NoneType"), None)
+        .when(
+            kind == "choice",
+            F.when(
+                ~is_text | ~F.array_contains(rule["choices"], value),
+                F.concat(F.lit("Input should be "), rule["listing"]),
+            ),
         )
-        return F.when(found.isNull(), wrong(name, "Field required")).when(
-            ~valid, wrong(name, "Input should be a valid date")
+        .when(
+            kind == "whole",
+            F.when(found["type"] != "int", "Input should be a valid integer").when(
+                value.try_cast("decimal(38,0)") < 1, "Input should be greater than or equal to 1"
+            ),
         )
-
-    def texts(name: str) -> Column:
-        found = get(name)
-        items = F.try_variant_get(F.try_parse_json(found["value"]), "$", "array<variant>")
-        bad = F.filter(
-            F.transform(
-                items,
-                lambda item, n: F.when(
-                    F.coalesce(F.schema_of_variant(item), F.lit("VOID")) != "STRING",
-                    wrong(F.concat(F.lit(f"{name}."), n.cast("string")), "Input should be a valid string"),
-                ),
+        .when(kind == "day", F.when(~valid_day, "Input should be a valid date"))
+        .when(kind == "texts", F.when(found["type"] != "list", "Input should be a valid tuple"))
+        .when(~is_text, "Input should be a valid string")
+        .when(
+            F.length(value) < rule["low"],
+            F.concat(
+                F.lit("String should have at least "), rule["low"].cast("string"), F.lit(" character"), plural
             ),
-            lambda p: p.isNotNull(),
         )
-        none = F.array().cast("array<struct<field:string,reason:string>>")
-        return F.when(found.isNull(), none).when(
-            found["type"] != "list", F.array(wrong(name, "Input should be a valid tuple"))
-        ).otherwise(bad)
+        .when(
+            F.length(value) > rule["high"],
+            F.concat(F.lit("String should have at most "), rule["high"].cast("string"), F.lit(" characters")),
+        )
+        .when(
+            (kind == "slug") & ~value.rlike(k.SLUG_PATTERN),
+            f"String should match pattern '{k.SLUG_PATTERN}'",
+        )
+        .when(
+            (kind == "language") & ~value.rlike(k.LANGUAGE_PATTERN),
+            f"String should match pattern '{k.LANGUAGE_PATTERN}'",
+        )
+    )
 
-    def one(rule: Column) -> Column:
-        return F.filter(F.array(rule), lambda p: p.isNotNull())
 
+def field_problems(fields: Column) -> Column:
+    """Array of struct(field, reason) in field order, unknown fields last."""
+
+    def problem(name: Column, reason: Column) -> Column:
+        return F.struct(name.alias("field"), reason.alias("reason"))
+
+    def check(rule: Column) -> Column:
+        found = F.try_element_at(fields, rule["name"])
+        items = F.transform(
+            F.coalesce(found["odd_items"], F.array().cast("array<int>")),
+            lambda n: problem(
+                F.concat(rule["name"], F.lit("."), n.cast("string")), F.lit("Input should be a valid string")
+            ),
+        )
+        return F.concat(F.array(problem(rule["name"], _reason(rule, found))), items)
+
+    known = F.filter(F.flatten(F.transform(_rules(), check)), lambda p: p["reason"].isNotNull())
     unknown = F.transform(
         F.array_except(F.map_keys(fields), F.array(*[F.lit(f) for f in KNOWN_FIELDS])),
-        lambda name: wrong(name, "Extra inputs are not permitted"),
-    )
-    return F.concat(
-        one(text("id", 2, 100, k.SLUG_PATTERN)),
-        one(text("title", 1, 200)),
-        one(choice("document_type", k.DOCUMENT_TYPES)),
-        one(text("language", pattern=k.LANGUAGE_PATTERN)),
-        texts("topics"),
-        texts("technologies"),
-        one(text("source", 1, 500)),
-        one(choice("source_type", k.SOURCE_TYPES)),
-        one(whole("version")),
-        one(day("updated_at")),
-        one(choice("visibility", k.VISIBILITIES, required=False)),
-        one(choice("trust_level", k.TRUST_LEVELS, required=False)),
-        one(text("license", required=False, nullable=True)),
-        unknown,
+        lambda name: problem(name, F.lit("Extra inputs are not permitted")),
     )
+    return F.concat(known, unknown)
 
 
 def metadata_struct(fields: Column) -> Column:
@@ -337,17 +351,17 @@ def metadata_struct(fields: Column) -> Column:
 
 
 def first_wins(documents: DataFrame) -> DataFrame:
-    """Adds *owner*: the smallest source path that claims the document's id.
+    """Adds *owner*: the smallest source path of a valid file with the same *claimed_id*.
 
     The owner is a map-side combined minimum joined back on the id, so an id claimed by
     very many files is an ordinary skewed join, not one sorted group.
     """
     owners = (
         documents.filter(F.col("issue").isNull())
-        .groupBy("document_id")
+        .groupBy("claimed_id")
         .agg(F.min("source_path").alias("owner"))
     )
-    return documents.join(owners, "document_id", "left")
+    return documents.join(owners, "claimed_id", "left")
 
 
 def read_documents(files: DataFrame) -> DataFrame:
@@ -417,19 +431,21 @@ def read_documents(files: DataFrame) -> DataFrame:
         metadata_struct(fields).alias("metadata"),
         F.col("body").alias("content"),
         found.alias("issue"),
-    ).withColumn("document_id", F.when(F.col("issue").isNull(), F.col("metadata.id")))
+        # The plain authored value: a join key must stay a small expression.
+        F.try_element_at(fields, F.lit("id"))["value"].alias("claimed_id"),
+    )
     owned = first_wins(rows)
     duplicate = F.col("issue").isNull() & (F.col("owner") != F.col("source_path"))
     repeated = issue(
         "DUPLICATE_DOCUMENT_ID",
-        F.concat(F.lit("Document id `"), "document_id", F.lit("` is already used by another document.")),
+        F.concat(F.lit("Document id `"), "claimed_id", F.lit("` is already used by another document.")),
         "id",
-        F.concat(F.lit("`"), "document_id", F.lit("` first claimed by "), "owner"),
+        F.concat(F.lit("`"), "claimed_id", F.lit("` first claimed by "), "owner"),
     )
     final = owned.withColumn("issue", F.when(duplicate, repeated).otherwise(F.col("issue")))
     return final.select(
         "source_path",
-        "document_id",
+        F.when(F.col("issue").isNull(), F.col("claimed_id")).alias("document_id"),
         "metadata",
         "content",
         digests.document_fingerprint(F.col("metadata"), F.col("content")).alias("document_fingerprint"),
