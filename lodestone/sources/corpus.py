@@ -89,7 +89,7 @@ PARSED = StructType(
 
 
 def _strict_loader():
-    class StrictLoader(yaml.SafeLoader):
+    class StrictLoader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         """Refuses a key that appears twice."""
 
     def mapping(loader, node):
