@@ -60,57 +60,52 @@ def collapse_citations(resolved: DataFrame) -> DataFrame:
     )
 
 
+CITATION = "struct<document_id:string,title:string,source:string,section:string>"
+CITED = "struct<label:string,document_id:string,section:string>"
+
+
 def citation_outcome(parsed: DataFrame, resolved: DataFrame) -> DataFrame:
     """Per query: citations in claim order, cited labels, unknown labels, repeats.
 
-    Lists are bounded by the labels of one reply.
+    One list per query, bounded by the labels of one reply.
     """
-    counts = resolved.groupBy("query_id").agg(
-        F.sort_array(
-            F.collect_list(F.when(F.col("status") == "unknown", F.struct("claim_pos", "label")))
-        ).alias("_unknown"),
-        F.sort_array(
-            F.collect_list(
-                F.when(F.col("status") == "cited", F.struct("claim_pos", "label", "document_id", "section"))
-            )
-        ).alias("_cited"),
-        F.count_if(F.col("status") == "duplicate").alias("duplicate_labels"),
+    claims = F.sort_array(
+        F.collect_list(
+            F.struct("claim_pos", "label", "status", "document_id", "title", "source", "section")
+        )
     )
-    public = collapse_citations(resolved).groupBy("query_id").agg(
-        F.sort_array(
-            F.collect_list(F.struct("citation_no", "document_id", "title", "source", "section"))
-        ).alias("_citations")
+    grouped = resolved.groupBy("query_id").agg(claims.alias("claims"))
+
+    def having(status: str) -> Column:
+        return F.filter("claims", lambda c: c["status"] == status)
+
+    def place(c: Column) -> Column:
+        return F.struct(c["document_id"].alias("document_id"), c["section"].alias("section"))
+
+    listed = grouped.withColumn("_cited", having("cited"))
+    places = F.transform("_cited", place)
+    firsts = F.filter(
+        "_cited", lambda c, n: F.array_position(places, place(c)).cast("int") == n + 1
     )
-    empty = F.array().cast("array<struct<document_id:string,title:string,source:string,section:string>>")
-    bare = F.transform(
-        "_citations",
-        lambda c: F.struct(
-            c["document_id"].alias("document_id"),
-            c["title"].alias("title"),
-            c["source"].alias("source"),
-            c["section"].alias("section"),
-        ),
+    citations = F.transform(
+        firsts, lambda c: F.struct(*[c[f].alias(f) for f in ("document_id", "title", "source", "section")])
     )
     cited = F.transform(
-        "_cited",
-        lambda c: F.struct(
-            c["label"].alias("label"), c["document_id"].alias("document_id"), c["section"].alias("section")
-        ),
+        "_cited", lambda c: F.struct(*[c[f].alias(f) for f in ("label", "document_id", "section")])
     )
-    no_labels = F.array().cast("array<string>")
-    return (
-        parsed.select("query_id")
-        .join(counts, "query_id", "left")
-        .join(public, "query_id", "left")
-        .select(
-            "query_id",
-            F.coalesce(bare, empty).alias("citations"),
-            F.coalesce(
-                cited, F.array().cast("array<struct<label:string,document_id:string,section:string>>")
-            ).alias("cited"),
-            F.coalesce(F.transform("_unknown", lambda u: u["label"]), no_labels).alias("unknown_labels"),
-            F.coalesce("duplicate_labels", F.lit(0)).alias("duplicate_labels"),
-        )
+    found = listed.select(
+        "query_id",
+        citations.alias("citations"),
+        cited.alias("cited"),
+        F.transform(having("unknown"), lambda c: c["label"]).alias("unknown_labels"),
+        F.size(having("duplicate")).alias("duplicate_labels"),
+    )
+    return parsed.select("query_id").join(found, "query_id", "left").select(
+        "query_id",
+        F.coalesce("citations", F.array().cast(f"array<{CITATION}>")).alias("citations"),
+        F.coalesce("cited", F.array().cast(f"array<{CITED}>")).alias("cited"),
+        F.coalesce("unknown_labels", F.array().cast("array<string>")).alias("unknown_labels"),
+        F.coalesce("duplicate_labels", F.lit(0)).alias("duplicate_labels"),
     )
 
 
@@ -197,10 +192,10 @@ def answer_decision(
         .otherwise("not_grounded")
     )
     decided = joined.withColumn("error", error).withColumn("outcome", result)
-    empty = "array<struct<document_id:string,title:string,source:string,section:string>>"
+    empty = f"array<{CITATION}>"
     answered = F.col("outcome") == "answered"
     base = decided.withColumn(
-        "cited", F.coalesce("cited", F.array().cast("array<struct<label:string,document_id:string,section:string>>"))
+        "cited", F.coalesce("cited", F.array().cast(f"array<{CITED}>"))
     ).withColumn("citations", F.coalesce("citations", F.array().cast(empty))).withColumn("answer", F.coalesce("draft", F.lit("")))
     presented = number_citations(base)
     return presented.select(

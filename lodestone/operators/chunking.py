@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone import constants as k
 from lodestone.functions import digests
 from lodestone.functions import text as t
+from lodestone.functions.binding import let
 from lodestone.operators import structure
 from lodestone.policies import ChunkingPolicy
 
@@ -139,23 +140,25 @@ def overlap_prefix(previous: Column, body: Column, policy: ChunkingPolicy) -> Co
     room = F.lit(policy.max_chars) - F.length(body) - 2
     budget = F.least(F.lit(policy.overlap_chars), room)
     cut = F.length(previous) > budget
-    tail = F.when(cut, F.substring(previous, F.length(previous) - budget + 1, budget)).otherwise(previous)
-
-    def after(marker: str) -> Column:
-        at = F.instr(tail, marker)
-        return F.when(at > 0, t.strip(F.substring(tail, at + len(marker), F.length(tail))))
+    last = F.substring(previous, F.length(previous) - budget + 1, budget)
+    before_tail = F.substring(previous, F.length(previous) - budget, F.lit(1))
+    mid_word = cut & ~before_tail.rlike(rf"(?U){t.WS}")
 
     def usable(candidate: Column) -> Column:
-        return F.when((candidate != "") & t.balanced_fences(candidate), candidate)
+        return let(candidate, lambda c: F.when((c != "") & t.balanced_fences(c), c))
 
-    sentence = t.strip(F.regexp_extract(tail, FIRST_SENTENCE_BREAK, 1))
-    before_tail = F.substring(previous, F.length(previous) - budget, F.lit(1))
-    mid_word = cut & ~before_tail.rlike(rf"(?U){t.WS}")
-    word = F.when(mid_word, F.coalesce(after(" "), F.lit(""))).otherwise(t.strip(tail))
-    found = F.coalesce(
-        usable(after("\n\n")), usable(after("\n")), usable(sentence), usable(word)
-    )
-    return F.when(budget > 0, found)
+    def snapped(tail: Column) -> Column:
+        def after(marker: str) -> Column:
+            at = F.instr(tail, marker)
+            return F.when(at > 0, t.strip(F.substring(tail, at + len(marker), F.length(tail))))
+
+        sentence = t.strip(F.regexp_extract(tail, FIRST_SENTENCE_BREAK, 1))
+        word = F.when(mid_word, F.coalesce(after(" "), F.lit(""))).otherwise(t.strip(tail))
+        return F.coalesce(
+            usable(after("\n\n")), usable(after("\n")), usable(sentence), usable(word)
+        )
+
+    return F.when(budget > 0, let(F.when(cut, last).otherwise(previous), snapped))
 
 
 def chunk_blocks(found: DataFrame, policy: ChunkingPolicy) -> DataFrame:
