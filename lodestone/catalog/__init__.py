@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text_queries", "chunk_queries", "index_queries", "retrieval_queries", "answer_queries", "cost_queries")
+MODULES = (
+    "text_queries",
+    "chunk_queries",
+    "index_queries",
+    "retrieval_queries",
+    "answer_queries",
+    "cost_queries",
+    "audit_queries",
+)
 
 
 def _merged(attribute: str) -> dict:

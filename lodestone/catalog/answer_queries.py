@@ -17,6 +17,7 @@ from lodestone.functions import digests, marks, replies
 from lodestone.functions import text as t
 from lodestone.operators import answers, context, evaluation
 from lodestone.policies import CostProfile
+from lodestone.session import stage
 
 QUERIES, ORACLE = {}, {}
 CATEGORIES = r.CATEGORIES
@@ -163,12 +164,14 @@ def parsed(spark, folder):
     return answers.parse_replies(replies_table(spark, folder))
 
 
-def resolved(spark, folder):
-    return answers.resolve_citations(parsed(spark, folder), passages(spark, folder))
+def resolved(spark, folder, read=None):
+    read = parsed(spark, folder) if read is None else read
+    return answers.resolve_citations(read, passages(spark, folder))
 
 
-def outcome(spark, folder):
-    return answers.citation_outcome(parsed(spark, folder), resolved(spark, folder))
+def outcome(spark, folder, read=None):
+    read = parsed(spark, folder) if read is None else read
+    return answers.citation_outcome(read, resolved(spark, folder, read))
 
 
 # --- replies --------------------------------------------------------------------------------
@@ -303,8 +306,9 @@ def citation_outcome(spark, folder):
 )
 def number_citations(spark, folder):
     """Order and number of citations and how many marks were removed."""
-    rows = parsed(spark, folder).filter((F.col("answer") != "")).select("query_id", "answer")
-    numbered = answers.number_citations(rows.join(outcome(spark, folder), "query_id"))
+    read = parsed(spark, folder)
+    rows = read.filter((F.col("answer") != "")).select("query_id", "answer")
+    numbered = answers.number_citations(rows.join(outcome(spark, folder, read), "query_id"))
     place = F.transform(
         "ordered_citations", lambda c: F.concat(c["document_id"], F.lit("/"), F.coalesce(c["section"], F.lit("-")))
     )
@@ -318,7 +322,8 @@ def decisions(spark, folder):
     asked = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
     retrieved = docs.select(F.col("doc_id").alias("query_id"), (F.col("doc_id") % 9).alias("retrieved"))
     verdicts = answers.parse_verdicts(verdict_table(spark, folder))
-    return answers.answer_decision(asked, retrieved, parsed(spark, folder), outcome(spark, folder), verdicts)
+    read = parsed(spark, folder)
+    return answers.answer_decision(asked, retrieved, read, outcome(spark, folder, read), verdicts)
 
 
 SQL_DECIDED = f"""decided AS (
@@ -352,8 +357,9 @@ def answer_decision(spark, folder):
 )
 def evidence_table(spark, folder):
     docs = d.table(spark, folder, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("question"))
-    rows = parsed(spark, folder).filter(F.col("rule").isNull()).select("query_id", "answer").join(docs, "query_id")
-    cited = resolved(spark, folder).filter(F.col("status") == "cited")
+    read = parsed(spark, folder)
+    rows = read.filter(F.col("rule").isNull()).select("query_id", "answer").join(docs, "query_id")
+    cited = resolved(spark, folder, read).filter(F.col("status") == "cited")
     return context.evidence_table(rows, cited).select("query_id", digests.sha256(F.col("evidence_text")).alias("sha"))
 
 
@@ -500,7 +506,8 @@ def record_scores(spark, folder):
 
 def records(spark, folder):
     """F11 and F12 over the decisions."""
-    made = decisions(spark, folder)
+    # Four branches read the decisions: they are computed once.
+    made = stage(decisions(spark, folder), "decisions")
     docs = d.table(spark, folder, "documents").select(
         F.col("doc_id").alias("query_id"), (F.col("n_chars") / 1000.0).alias("duration_seconds")
     )

@@ -18,6 +18,8 @@ def local_session(cpus: int | str = "*", name: str = "lodestone") -> SparkSessio
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Call sites are recorded for every column otherwise, which slows plan building.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

@@ -114,6 +114,9 @@ def run_guard(records: DataFrame, settings: GuardSettings) -> DataFrame:
     spark.sql.streaming.stateStore.providerClass =
     org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider
     """
+    # Opening the stream manager registers the state store coordinator, which a batch
+    # run of the processor needs as well.
+    _ = records.sparkSession.streams.active
     return records.groupBy("run_id").transformWithStateInPandas(
         statefulProcessor=RunGuard(settings),
         outputStructType=OUTPUT,
