@@ -12,7 +12,8 @@ from lodestone.functions.binding import let
 FENCED = r"(?sU)^\s*```(?:json)?\s*(.*?)\s*```\s*\z"
 OPENED = r"(?U)^\s*```"
 OPENING_FENCE = r"(?U)^```(?:json)?\s*"
-COMPLETE_STRING = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+# From a quote to its closing quote, or to the end where there is none.
+STRING = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+("?)'
 
 
 def json_candidate(text: Column) -> Column:
@@ -144,9 +145,9 @@ def is_cut_off(text: Column) -> Column:
         )
 
     def open_end(outside: Column) -> Column:
-        in_string = F.instr(outside, '"') > 0
-        before = F.substring_index(outside, '"', 1)
-        brackets = F.split(F.regexp_replace(before, r"[^{}\[\]]", ""), "")
+        # Complete strings are now two quotes; a single one is a string left open.
+        in_string = F.regexp_count(outside, F.lit('"')) % 2 == 1
+        brackets = F.split(F.regexp_replace(outside, r"[^{}\[\]]", ""), "")
         return F.aggregate(
             brackets, start, step, lambda acc: ~acc["closed"] & (in_string | (acc["depth"] > 0))
         )
@@ -154,7 +155,7 @@ def is_cut_off(text: Column) -> Column:
     candidate = F.regexp_replace(json_candidate(text), OPENING_FENCE, "")
     return let(
         candidate,
-        lambda c: c.startswith("{") & let(F.regexp_replace(c, COMPLETE_STRING, ""), open_end),
+        lambda c: c.startswith("{") & let(F.regexp_replace(c, STRING, '"$1'), open_end),
     )
 
 
