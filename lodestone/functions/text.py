@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lodestone import constants as k
+from lodestone.functions.binding import let
 
 # Unicode white space plus the four separator controls that Python also strips.
 WS = r"[\s\x1c-\x1f]"
@@ -68,16 +69,18 @@ def words(text: Column) -> Column:
 
 def detect_language(text: Column) -> Column:
     """'de' when German evidence outweighs English evidence, else 'en'."""
-    found = words(nfc(text))
 
-    def count(test) -> Column:
-        return F.size(F.filter(found, test))
+    def decide(found: Column) -> Column:
+        def count(test) -> Column:
+            return F.size(F.filter(found, test))
 
-    german = count(lambda w: w.isin(k.GERMAN_MARKERS)) + k.GERMAN_LETTER_WEIGHT * count(
-        lambda w: w.rlike(f"[{k.GERMAN_LETTERS}]")
-    )
-    english = count(lambda w: w.isin(k.ENGLISH_MARKERS))
-    return F.when(german > english, "de").otherwise("en")
+        german = count(lambda w: w.isin(k.GERMAN_MARKERS)) + k.GERMAN_LETTER_WEIGHT * count(
+            lambda w: w.rlike(f"[{k.GERMAN_LETTERS}]")
+        )
+        english = count(lambda w: w.isin(k.ENGLISH_MARKERS))
+        return F.when(german > english, "de").otherwise("en")
+
+    return let(words(nfc(text)), decide)
 
 
 def refusal_text(language: Column) -> Column:

@@ -26,7 +26,7 @@ def test_top_k_limits_ranks_before_the_shuffle(spark):
 
 
 def test_dedup_limits_ranks_before_the_shuffle(spark):
-    rows = spark.range(1000).selectExpr("'same' as embedding_fingerprint", "cast(id as string) as id")
+    rows = spark.range(1000).selectExpr("concat('f', id % 2) as embedding_fingerprint", "cast(id as string) as id")
     assert plan_of(indexing.dedup_by_fingerprint(rows)).count("WindowGroupLimit") == 2
 
 
