@@ -11,6 +11,7 @@ from lodestone import constants as k
 from lodestone.functions import text as t
 from lodestone.operators import answers, context, generation, retrieval
 from lodestone.policies import ContextPolicy, RetrievalPolicy
+from lodestone.session import stage
 
 
 @dataclass(frozen=True)
@@ -36,14 +37,12 @@ def normalize_questions(questions: DataFrame) -> DataFrame:
     )
 
 
-def build_contexts(
+def pack(
     questions: DataFrame, results: DataFrame, instructions: str, policy: ContextPolicy
-) -> tuple[DataFrame, DataFrame]:
-    """Retrieved passages -> (packed passages, context per question)."""
+) -> DataFrame:
+    """Retrieved passages with what became of them in the context of their question."""
     budgets = context.context_budgets(questions, instructions, policy=policy)
-    passages = results.filter(F.col("status") == "retrieved")
-    packed = context.pack_context(passages, budgets)
-    return packed, context.context_summary(packed)
+    return context.pack_context(results.filter(F.col("status") == "retrieved"), budgets)
 
 
 def answer_questions(
@@ -66,24 +65,32 @@ def answer_questions(
     """
     normal = normalize_questions(questions)
     asked = normal.filter(F.col("error").isNull()).select("query_id", "question")
-    results = retrieval.retrieve(
-        query_vectors.join(asked.select("query_id"), "query_id", "left_semi"),
-        index, chunks, dimensions, retrieval_policy,
+    # Each stage feeds several later ones, so it is written once to the shared folder.
+    results = stage(
+        retrieval.retrieve(
+            query_vectors.join(asked.select("query_id"), "query_id", "left_semi"),
+            index, chunks, dimensions, retrieval_policy,
+        ),
+        "results",
     )
-    packed, contexts = build_contexts(asked, results, instructions, context_policy)
+    packed = stage(pack(asked, results, instructions, context_policy), "packed")
+    contexts = context.context_summary(packed)
     usable = contexts.filter(F.col("sources") > 0)
     prompts = context.prompt_table(asked.join(usable.select("query_id"), "query_id", "left_semi"), usable)
     prompts = prompts.withColumn("prompt", F.concat(F.lit(instructions + "\n\n"), "prompt"))
     replied, calls = generation.generate(prompts, provider, model, policy=context_policy)
-    parsed = answers.parse_replies(
-        replied.filter(F.col("reply").isNotNull()).select("query_id", "reply", "finish_reason")
+    parsed = stage(
+        answers.parse_replies(
+            replied.filter(F.col("reply").isNotNull()).select("query_id", "reply", "finish_reason")
+        ),
+        "parsed",
     )
     sources = packed.filter(F.col("label").isNotNull()).select(
         "query_id", "label", "id", "document_id", "title", "source",
         t.innermost(F.col("heading_path")).alias("section"), "heading_path", "text",
     )
-    resolved = answers.resolve_citations(parsed, sources)
-    outcome = answers.citation_outcome(parsed, resolved)
+    resolved = stage(answers.resolve_citations(parsed, sources), "resolved")
+    outcome = stage(answers.citation_outcome(parsed, resolved), "outcome")
     publishable = (
         parsed.join(outcome, "query_id")
         .filter((F.col("support") == "stated") & (F.col("answer") != "") & (F.size("citations") > 0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import evaluation, retrieval
 from lodestone.policies import RetrievalPolicy
+from lodestone.session import stage
 
 
 @dataclass(frozen=True)
@@ -34,8 +35,9 @@ def evaluate_retrieval(
     """questions(query_id, category), expected(query_id, document, section) -> report tables."""
     results = retrieval.retrieve(query_vectors, index, chunks, dimensions, policy)
     hits = results.filter(F.col("status") == "retrieved")
-    judged = evaluation.relevance(expected, hits)
-    scores = evaluation.score_retrieval(questions, judged)
+    # All report tables read these two; the search must not run once per table.
+    judged = stage(evaluation.relevance(expected, hits), "judged")
+    scores = stage(evaluation.score_retrieval(questions, judged), "scores")
     return RetrievalReport(
         judged=judged,
         scores=scores,
