@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import wraps
 from importlib import import_module
 
+from lodestone.session import ship_package
+
 MODULES = (
     "text_queries",
     "chunk_queries",
@@ -22,8 +25,17 @@ def _merged(attribute: str) -> dict:
     return merged
 
 
+def _shipping(query):
+    @wraps(query)
+    def run(spark, folder):
+        ship_package(spark)
+        return query(spark, folder)
+
+    return run
+
+
 def queries() -> dict:
-    return _merged("QUERIES")
+    return {name: _shipping(query) for name, query in _merged("QUERIES").items()}
 
 
 def oracle_sql() -> dict[str, str]:
