@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lodestone.llm.tables import shipped
 
-MODULES = ("substrings", "simhash")
+MODULES = ("substrings", "encoded", "simhash")
 
 
 def _merged(attribute: str) -> dict:

@@ -34,7 +34,7 @@ from lodestone.llm.tables import parallelism, read, side
 
 WINDOW = 50
 #: Windows a task holds before it settles and sends them.
-HELD = 3_000_000
+HELD = 1_000_000
 NO_ID = np.iinfo(np.int64).max
 MARKED = "doc_id long, twin long, starts array<int>, ends array<int>"
 
@@ -121,59 +121,85 @@ def _windows(parts: int, size: int):
     return run
 
 
-def _repeats(size: int):
-    def marked(ids, twins, positions) -> Iterator[pa.RecordBatch]:
-        """Runs of repeated windows as word intervals, one row per document."""
-        order = np.lexsort((positions, twins, ids))
-        ids, twins, positions = ids[order], twins[order], positions[order]
+def _by_document(ids, twins, positions, parts: int) -> Iterator[pa.RecordBatch]:
+    """Repeated windows, packed by the partition of their document."""
+    goes = ids % parts
+    order = np.lexsort((positions, twins, ids, goes))
+    goes, ids, twins, positions = goes[order], ids[order], twins[order], positions[order]
+    cuts = np.flatnonzero(np.concatenate([[True], goes[1:] != goes[:-1]])) if len(goes) else []
+    for low, high in zip(cuts, np.append(cuts[1:], len(goes)) if len(goes) else []):
+        new = np.concatenate([[True], (np.diff(ids[low:high]) != 0) | (np.diff(twins[low:high]) != 0)])
+        table = np.stack([ids[low:high][new], twins[low:high][new]], axis=1).astype("<i8").tobytes()
+        row = (int(goes[low]), True, table, b"", *pack_places(np.cumsum(new) - 1, positions[low:high]))
+        yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, PACKED)], schema=PACKED)
+
+
+def _repeats(parts: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        counted = [row for row in rows if not row["settled"]]
+        tables = [np.frombuffer(row["ids"], dtype="<i8").reshape(-1, 2) for row in counted]
+        masks = [np.ones(len(row["steps"]), dtype=bool) for row in rows if row["settled"]]
+        if counted:
+            hashes = np.concatenate([np.frombuffer(row["hashes"], dtype=np.uint64) for row in counted])
+            heads = [np.frombuffer(row["head"], dtype="<i8").reshape(-1, 2) for row in counted]
+            ids = np.concatenate([np.repeat(t[h[:, 0], 0], h[:, 1]) for t, h in zip(tables, heads)])
+            repeat = ~_least(hashes, ids)
+            del hashes, ids
+            masks += np.split(repeat, np.cumsum([len(row["steps"]) for row in counted])[:-1])
+        places = []
+        for row, mask in zip([row for row in rows if row["settled"]] + counted, masks):
+            docs, positions = unpack_places(row["head"], row["steps"], row["long"])
+            table = np.frombuffer(row["ids"], dtype="<i8").reshape(-1, 2)[docs[mask]]
+            places.append((table[:, 0], table[:, 1], positions[mask]))
+        if places:
+            yield from _by_document(*map(np.concatenate, zip(*places)), parts)
+
+    return run
+
+
+def _merged(size: int):
+    """All repeated windows of a document -> its maximal removal intervals."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                docs, positions = unpack_places(row["head"], row["steps"], row["long"])
+                table = np.frombuffer(row["ids"], dtype="<i8").reshape(-1, 2)[docs]
+                places.append((table[:, 0], table[:, 1], positions))
+        if not places:
+            return
+        ids, twins, positions = map(np.concatenate, zip(*places))
         if not len(ids):
             return
+        order = np.lexsort((positions, twins, ids))
+        ids, twins, positions = ids[order], twins[order], positions[order]
         new_doc = np.concatenate([[True], (ids[1:] != ids[:-1]) | (twins[1:] != twins[:-1])])
-        new = new_doc | np.concatenate([[True], positions[1:] > positions[:-1] + size])
-        firsts = np.flatnonzero(new)
-        starts = positions[firsts]
+        firsts = np.flatnonzero(new_doc | np.concatenate([[True], positions[1:] > positions[:-1] + size]))
         ends = positions[np.append(firsts[1:], len(ids)) - 1] + size
         doc_rows = np.flatnonzero(new_doc[firsts])
         offsets = pa.array(np.append(doc_rows, len(firsts)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (starts, ends)]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (positions[firsts], ends)]
         at = firsts[doc_rows]
         table = pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(twins[at]), *lists], ["doc_id", "twin", "starts", "ends"])
         for low in range(0, table.num_rows, 10_000):
             yield table.slice(low, 10_000)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_rows, settled = [], []
-        for batch in batches:
-            for row in batch.to_pylist():
-                table = np.frombuffer(row["ids"], dtype="<i8").reshape(-1, 2)
-                docs, positions = unpack_places(row["head"], row["steps"], row["long"])
-                place = table[docs, 0], table[docs, 1], positions
-                if row["settled"]:
-                    settled.append(place)
-                else:
-                    open_rows.append((np.frombuffer(row["hashes"], dtype=np.uint64), *place))
-        if open_rows:
-            hashes, ids, twins, positions = map(np.concatenate, zip(*open_rows))
-            open_rows.clear()
-            repeat = ~_least(hashes, ids)
-            settled.append((ids[repeat], twins[repeat], positions[repeat]))
-        if settled:
-            yield from marked(*map(np.concatenate, zip(*settled)))
-
     return run
 
 
 def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, twin, starts, ends): word intervals covered by repeated windows, ordered, not yet merged.
+    """(doc_id, twin, starts, ends): the maximal word intervals covered by repeated windows.
 
     twin is a hash of the text; it tells rows with one doc_id apart.
     """
     parts = parallelism(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("twin"))
     packed = rows.mapInArrow(_windows(parts, window), PACKED_SQL).repartitionById(parts, F.col("part"))
-    found = packed.mapInArrow(_repeats(window), MARKED)
-    lists = found.groupBy("doc_id", "twin").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    return lists.withColumn("doc_id", F.when(F.col("doc_id") != int(NO_ID), F.col("doc_id")))
+    repeats = packed.mapInArrow(_repeats(parts), PACKED_SQL).repartitionById(parts, F.col("part"))
+    found = repeats.mapInArrow(_merged(window), MARKED)
+    return found.withColumn("doc_id", F.when(F.col("doc_id") != int(NO_ID), F.col("doc_id")))
 
 
 def removed_words(starts, ends, count: int) -> np.ndarray:

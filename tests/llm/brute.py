@@ -63,3 +63,15 @@ def simhash(rows):
     values = {d: simhash_value(t) for d, t in rows}
     part = components(values, lambda a, b: (values[a] ^ values[b]).bit_count() <= 2)
     return {(d, f"{v:016x}", part[d]) for d, v in values.items()}
+
+
+def token_files(rows, tokenizer, end_id=1):
+    import struct
+    import zlib
+
+    out, start = set(), 0
+    for d, t in sorted(rows):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [end_id]
+        out.add((d, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        start += len(ids)
+    return out
