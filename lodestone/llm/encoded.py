@@ -157,10 +157,10 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.new: dict[bytes | str, bytes] = {}
+        self.old: dict[bytes | str, bytes] = {}
 
-    def learn(self, words: Iterable[bytes]) -> None:
+    def learn(self, words: Iterable[bytes | str]) -> None:
         missing = []
         for word in set(words).difference(self.new):
             ids = self.old.get(word)
@@ -170,7 +170,7 @@ class WordIds:
                 self.new[word] = ids
         for low in range(0, len(missing), 20_000):
             part = missing[low : low + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            coded = self.tokenizer.encode_batch_fast([w if isinstance(w, str) else w.decode() for w in part], add_special_tokens=False)
             self.new.update(zip(part, (np.array(x.ids, dtype="<u4").tobytes() for x in coded)))
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
@@ -178,9 +178,12 @@ class WordIds:
         words = [text.split() for text in texts]
         self.learn(chain.from_iterable(words))
         coded = [b"".join(map(self.new.__getitem__, own)) + end for own in words]
+        self.forget()
+        return coded
+
+    def forget(self) -> None:
         if len(self.new) > WORDS_KEPT:
             self.old, self.new = self.new, {}
-        return coded
 
 
 @cache

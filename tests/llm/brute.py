@@ -75,3 +75,44 @@ def token_files(rows, tokenizer, end_id=1):
         out.add((d, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         start += len(ids)
     return out
+
+
+def bpe(rows, tokenizer):
+    out = set()
+    for d, t in rows:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        out.add((d, len(ids), sha(",".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False))))
+    return out
+
+
+def shingles(text, size=5):
+    words = WORD.findall(text or "")
+    if len(words) < size:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(rows):
+    """doc_id -> (text, edited text, next text)"""
+    ordered = sorted((d, t or "") for d, t in rows)
+    out = {}
+    for i, (d, t) in enumerate(ordered):
+        following = ordered[(i + 1) % len(ordered)][1]
+        n = len(t) // 4
+        out[d] = t, t[: len(t) - n] + following[:n], following
+    return out
+
+
+def article(html):
+    """Main text of the pages of the given tables, whose article stands in one element."""
+    from html import unescape
+
+    found = re.search(r"<article>(.*?)</article>", html, re.S)
+    blocks = re.split(r"</?(?:p|h1|br|article)\b[^>]*>", found[1])
+    texts = (re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in blocks)
+    return " ".join(t for t in texts if t)
