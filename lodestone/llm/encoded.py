@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.flat import SPACE
 from lodestone.llm.tables import read
 
 #: Selector -> (ids in a word, bits of each).
@@ -50,9 +51,9 @@ def encode(ids: np.ndarray) -> bytes:
     widths.reshape(-1)[:size] = bit_widths(ids)
     form = np.full((blocks, BLOCK), ESCAPE, dtype=np.uint8)
     widest = {1: widths}
-    for selector in range(len(FORMS) - 2, -1, -1):
+    for selector in range(len(FORMS) - 1):
         count, width = FORMS[selector]
-        form[_window_max(widest, count) <= width] = selector
+        np.minimum(form, np.where(_window_max(widest, count) <= width, np.uint8(selector), np.uint8(ESCAPE)), out=form)
     form = form.reshape(-1)[:size]
     left = np.minimum((np.arange(size) // BLOCK + 1) * BLOCK, size) - np.arange(size)
     taken = np.minimum(COUNTS[form], left)
@@ -144,6 +145,32 @@ def decode(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
 
 
 # --- encoding texts ------------------------------------------------------------
+STOPS = np.zeros(256, dtype=bool)
+STOPS[list(b".,")] = True
+ALNUM = np.zeros(256, dtype=bool)
+ALNUM[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+#: Second byte of the letters U+00E0 to U+00FF behind 0xC3; U+00F7 is a division sign.
+LATIN = np.zeros(256, dtype=bool)
+LATIN[[b for b in range(0xA0, 0xC0) if b != 0xB7]] = True
+
+
+def plain_words(text: bytes) -> list[bytes]:
+    """Words of a text for a lower-casing tokenizer that separates letters from marks.
+
+    A full stop or comma between a letter or digit and white space is a word of its own,
+    and A-Z become a-z: the tokenizer gives the same ids, and far fewer words are distinct.
+    Texts that may hold a special token keep their case.
+    """
+    if b"<|" not in text:
+        text = text.lower()
+    data = np.frombuffer(text + b" ", dtype=np.uint8)
+    at = np.flatnonzero(STOPS[data])
+    at = at[at >= 2]
+    before = data[at - 1]
+    apart = (ALNUM[before] | (LATIN[before] & (data[at - 2] == 0xC3))) & SPACE[data[at + 1]]
+    return (np.insert(data, at[apart], 32).tobytes() if apart.any() else text).split()
+
+
 class WordIds:
     """Ids of texts under a tokenizer that never joins characters across ASCII white space.
 
@@ -175,7 +202,7 @@ class WordIds:
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with *end* behind."""
-        words = [text.split() for text in texts]
+        words = [plain_words(text) for text in texts]
         self.learn(chain.from_iterable(words))
         coded = [b"".join(map(self.new.__getitem__, own)) + end for own in words]
         self.forget()
