@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lodestone.llm.tables import shipped
 
-MODULES = ("substrings", "minhash", "encoded", "language", "simhash", "pages", "bpe")
+MODULES = ("substrings", "minhash", "encoded", "pii", "language", "simhash", "pages", "bpe")
 
 
 def _merged(attribute: str) -> dict:

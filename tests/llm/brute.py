@@ -116,3 +116,35 @@ def article(html):
     blocks = re.split(r"</?(?:p|h1|br|article)\b[^>]*>", found[1])
     texts = (re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in blocks)
     return " ".join(t for t in texts if t)
+
+
+PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def pii(text):
+    """Counts by kind and the list of base spans."""
+    spans, counts = [], []
+    for kind, pattern in PII.items():
+        own = []
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {
+                "email": True,
+                "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True,
+                "card": 13 <= len(digits) <= 19 and luhn(digits),
+                "phone": 9 <= len(digits) <= 15,
+            }[kind]
+            if good:
+                own.append(f"{kind}:{m.start()}:{m.end()}")
+        spans += own
+        counts.append(len(own))
+    return (*counts, ",".join(spans))
