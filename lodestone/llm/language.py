@@ -155,6 +155,34 @@ def _predict(model):
     return run
 
 
+#: Texts below this score are rejected.
+LEAST_SCORE = 0.5
+
+
+def _accept(model, place: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for _, texts in _pieces(batch.column(place)):
+                names, scores = model.value.predict(texts)
+                if model.value.langs:
+                    kept += [n != UNKNOWN and s >= LEAST_SCORE for n, s in zip(names, scores.tolist())]
+                else:
+                    kept += [any(map(str.isalpha, t)) for t in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of *docs*, all columns, whose language is known with a score of `LEAST_SCORE` or more.
+
+    Without any learned language, the rows whose text has a letter.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_accept(shared, docs.columns.index(text_col)), docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1, F.lit(False))
 

@@ -22,12 +22,12 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
 from lodestone.llm.flat import slices
-from lodestone.llm.tables import read
+from lodestone.llm.tables import read, side
 from lodestone.session import stage
 
 DISTANCE, BITS, SEGMENTS = 2, 64, 2
@@ -76,13 +76,15 @@ def _fingerprint_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
             counts = np.array([len(h) for h in hashes], dtype=np.int64)
             flat = np.fromiter((x for h in hashes for x in h), dtype=np.uint64, count=int(counts.sum()))
             values = majority(flat, counts).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(values)], ["doc_id", "fp"])
+            own = [batch.column(i).slice(low, high - low) for i in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(values)], ["doc_id", "twin", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed 64-bit number."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    """(doc_id, twin, fp) for every row; twin is a hash of the text, fp the fingerprint as a signed number."""
+    twin = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), twin.alias("twin"))
+    return rows.mapInArrow(_fingerprint_batches, "doc_id long, twin long, fp long")
 
 
 def signatures(values: DataFrame) -> DataFrame:
@@ -156,7 +158,7 @@ def linked(values: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of *docs*."""
+    """(doc_id, twin, fingerprint, component_id) for every row of *docs*."""
     rows = stage(fingerprints(docs, id_col, text_col), "simhash")
     values = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     parts = connected_components(linked(values.select("fp"))).withColumnRenamed("node", "fp")
@@ -165,12 +167,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = placed.select("fp", "component").join(ids, "component").select("fp", "component_id")
     return rows.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), BITS // 4, "0").alias("fingerprint"), "component_id"
+        "doc_id", "twin", F.lpad(F.lower(F.hex("fp")), BITS // 4, "0").alias("fingerprint"), "component_id"
     )
 
 
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows and columns of *docs* that have the least id of their group.
+
+    Of rows that repeat this id one stays, that with the least text. Rows without an id
+    stay only in groups without any id.
+    """
+    found = stage(near_duplicates(docs, id_col, text_col).select("doc_id", "twin", "component_id"), "simhash-groups")
+    drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    drop = side(drop.select(F.col("doc_id").alias("drop__id"), F.col("twin").alias("drop__twin")).distinct(), "simhash-drop", F.lit(16))
+    own_id, twin = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    kept = docs.join(drop, own_id.eqNullSafe(F.col("drop__id")) & (twin == F.col("drop__twin")), "left_anti")
+    again = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    again = stage(again.select(F.col("doc_id").alias("again__id")), "simhash-again")
+    if again.isEmpty():
+        return kept
+    same = own_id == F.col("again__id")
+    order = Window.partitionBy(own_id).orderBy(F.col(text_col))
+    one = kept.join(again, same, "left_semi").withColumn("again__rank", F.row_number().over(order)).where("again__rank = 1")
+    return kept.join(again, same, "left_anti").union(one.drop("again__rank"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("twin")
 
 
 QUERIES = {"op8_simhash_near_dedup": op8_simhash_near_dedup}

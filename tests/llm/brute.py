@@ -148,3 +148,96 @@ def pii(text):
         spans += own
         counts.append(len(own))
     return (*counts, ",".join(spans))
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def lines(rows, edits=2, least=16):
+    """doc_id -> (n_lines, n_removed, n_links, kept sha)"""
+    places = {}
+    split = {d: (t or "").split("\n") for d, t in rows}
+    for d in sorted(split):
+        for i, line in enumerate(split[d]):
+            if WORD.search(line):
+                places.setdefault(line, (d, i))
+    long = {x: None for x in places if len(x) >= least}
+    by_length = {}
+    for x in long:
+        by_length.setdefault(len(x), []).append(x)
+    links = {x: 0 for x in places}
+    pairs = set()
+    for n, own in by_length.items():
+        for a in own:
+            for m in range(n, n + edits + 1):
+                for b in by_length.get(m, ()):
+                    if (m > n or a < b) and near(a, b, edits):
+                        pairs.add((a, b))
+                        links[a] += 1
+                        links[b] += 1
+    parent = {x: x for x in places}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    first = {}
+    for x, place in places.items():
+        first[root(x)] = min(first.get(root(x), place), place)
+    out = {}
+    for d, own in split.items():
+        solid = [i for i, x in enumerate(own) if WORD.search(x)]
+        gone = {i for i in solid if first[root(own[i])] != (d, i)}
+        kept = "\n".join(x for i, x in enumerate(own) if i not in gone)
+        out[d] = len(solid), len(gone), sum(links[own[i]] for i in solid), sha(kept)
+    return out
+
+
+def near(a, b, edits):
+    """Counters of letters first: they differ by at most two for each edit."""
+    from collections import Counter
+
+    x, y = Counter(a), Counter(b)
+    if sum((x - y).values()) + sum((y - x).values()) > 2 * edits:
+        return False
+    return distance(a, b) <= edits
+
+
+def plain(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), text or ""))
+
+
+def alignment(a, b):
+    """Smith-Waterman score of two word lists."""
+    row, best = [0] * (len(b) + 1), 0
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(max(0, row[j - 1] + (2 if x == y else -1), row[j] - 1, new[-1] - 1))
+        best = max(best, max(new))
+        row = new
+    return best
+
+
+def leaks(rows, items):
+    out = set()
+    known = [(i, plain(t)) for i, t in items]
+    for d, t in rows:
+        words = plain(t)
+        have = set(words)
+        for i, own in known:
+            if own and 2 * sum(w in have for w in own) >= len(own):
+                score = alignment(own, words) / (2 * len(own))
+                if score >= (0.5 if len(own) >= 8 else 1.0):
+                    out.add((d, i))
+    return out
