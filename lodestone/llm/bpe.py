@@ -38,7 +38,9 @@ WINDOW_BYTES, CUT_BITS = 16, 8
 LEAST_CHUNK, MOST_CHUNK = 64, 8192
 MARGIN = 4
 #: Characters of chunks a worker remembers.
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 2_000_000
+#: Pieces a worker remembers, in each of two generations.
+PIECES = 200_000
 SLICE = 1 << 20
 
 #: The splitting rule for the characters that `COMMON` covers; the library splits the rest.
@@ -56,7 +58,7 @@ def byte_of_symbol() -> dict[str, int]:
 
 class ChunkCoder:
     def __init__(self, vocabulary: str):
-        self.ids = WordIds(vocabulary)
+        self.ids = WordIds(vocabulary, PIECES)
         self.tokenizer = self.ids.tokenizer
         self.chunks: dict[bytes, tuple[list[str], list[bytes]]] = {}
         self.held = 0

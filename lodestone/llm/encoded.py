@@ -178,9 +178,10 @@ class WordIds:
     bound what is kept and keep frequent words.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, kept: int = WORDS_KEPT):
         from tokenizers import Tokenizer
 
+        self.kept = kept
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -209,7 +210,7 @@ class WordIds:
         return coded
 
     def forget(self) -> None:
-        if len(self.new) > WORDS_KEPT:
+        if len(self.new) > self.kept:
             self.old, self.new = self.new, {}
 
 

@@ -36,7 +36,7 @@ from lodestone.session import stage
 
 EDITS, LEAST = 2, 16
 #: Characters of distinct lines a task holds before it sends their keys.
-HELD_CHARS = 2_000_000
+HELD_CHARS = 1_000_000
 #: Entries of one key compared at once.
 GROUP = 48
 BLOCK = 512
