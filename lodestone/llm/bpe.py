@@ -38,9 +38,9 @@ WINDOW_BYTES, CUT_BITS = 16, 8
 LEAST_CHUNK, MOST_CHUNK = 64, 8192
 MARGIN = 4
 #: Characters of chunks a worker remembers.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 #: Pieces a worker remembers, in each of two generations.
-PIECES = 200_000
+PIECES = 120_000
 SLICE = 1 << 20
 
 #: The splitting rule for the characters that `COMMON` covers; the library splits the rest.
