@@ -54,7 +54,7 @@ def renumber_marks(answer: Column, number_of: Column) -> Column:
 
 def has_label_leak(answer: Column) -> Column:
     """An internal source label is still readable in the text."""
-    return answer.rlike(k.INTERNAL_LABEL)
+    return answer.rlike("(?U)" + k.INTERNAL_LABEL)
 
 
 def has_dangling_mark(answer: Column, citations: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.binding import let
+
 
 def as_double(vector: Column) -> Column:
     return vector.cast("array<double>")
@@ -28,9 +30,13 @@ def cosine(left: Column, right: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """The vector scaled to length one; a zero vector stays zero."""
-    values = as_double(vector)
-    length = norm(values)
-    return F.when(length == 0.0, values).otherwise(F.transform(values, lambda v: v / length))
+    def scaled(values: Column) -> Column:
+        return let(
+            norm(values),
+            lambda length: F.when(length == 0.0, values).otherwise(F.transform(values, lambda v: v / length)),
+        )
+
+    return let(as_double(vector), scaled)
 
 
 def is_finite(vector: Column) -> Column:

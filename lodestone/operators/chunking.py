@@ -12,7 +12,9 @@ from lodestone.functions.binding import let
 from lodestone.operators import structure
 from lodestone.policies import ChunkingPolicy
 
-SENTENCE_BREAK = r"(?U)(?<=[.!?…][\"'»”’)\]]{0,32})" + t.WS + "+"
+SENTENCE_END = r"(?U)([.!?…][\"'»”’)\]]*+)" + t.WS + "+"
+#: A noncharacter put where sentences part.
+BREAK = "\ufdd0"
 FIRST_SENTENCE_BREAK = r"(?sU)^.*?[.!?…][\"'»”’)\]]*" + t.WS + "+(.*)$"
 
 
@@ -46,7 +48,7 @@ def pack_units(units: Column, separator: str, limit: int) -> Column:
 
 
 def split_sentences(text: Column) -> Column:
-    trimmed = F.transform(F.split(text, SENTENCE_BREAK), lambda s: t.strip(s))
+    trimmed = F.transform(F.split(F.regexp_replace(text, SENTENCE_END, "$1" + BREAK), BREAK), lambda s: t.strip(s))
     return F.filter(trimmed, lambda s: s != "")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, Struc
 from lodestone import constants as k
 from lodestone.functions import digests
 from lodestone.functions import text as t
+from lodestone.functions.binding import let
 
 try:
     import yaml
@@ -78,12 +79,13 @@ FIELD = StructType(
         StructField("odd_items", ArrayType(IntegerType())),
     ]
 )
-PARSED = StructType(
+#: What a block turned out to be, with the details its issue needs.
+BLOCK = StructType(
     [
+        StructField("kind", StringType()),
+        StructField("detail", StringType()),
         StructField("fields", MapType(StringType(), FIELD)),
-        StructField("message", StringType()),
-        StructField("field", StringType()),
-        StructField("reason", StringType()),
+        StructField("odd_keys", ArrayType(StringType())),
     ]
 )
 
@@ -93,14 +95,13 @@ def _strict_loader():
         """Refuses a key that appears twice."""
 
     def mapping(loader, node):
+        own = [key for key, _ in node.value if key.tag != "tag:yaml.org,2002:merge"]
+        names = [loader.construct_object(key, deep=True) for key in own]
+        twice = next((name for n, name in enumerate(names) if name in names[:n]), None)
+        if twice is not None:
+            raise KeyError(str(twice))
         loader.flatten_mapping(node)
-        out = {}
-        for key_node, value_node in node.value:
-            key = loader.construct_object(key_node, deep=True)
-            if key in out:
-                raise KeyError(str(key))
-            out[key] = loader.construct_object(value_node, deep=True)
-        return out
+        return {loader.construct_object(k, deep=True): loader.construct_object(v, deep=True) for k, v in node.value}
 
     StrictLoader.add_constructor(yaml.resolver.BaseResolver.DEFAULT_MAPPING_TAG, mapping)
     return StrictLoader
@@ -119,41 +120,65 @@ def _field(value) -> dict:
     return {"type": kind, "value": text, "odd_items": odd}
 
 
-def _parse_block(block: str, loader) -> dict:
-    def issue(message, field=None, reason=None):
-        return {"fields": None, "message": message, "field": field, "reason": reason}
-
+def _read_block(block: str | None, loader) -> tuple:
+    """(kind, detail, fields, odd keys); nothing that a block holds raises."""
+    if block is None:
+        return "absent", None, None, None
     try:
-        parsed = yaml.load(block, Loader=loader)
-    except KeyError as found:
-        key = found.args[0]
-        return issue("Frontmatter declares the same field twice.", key, f"duplicate key: {key}")
-    except yaml.YAMLError as found:
-        flat = " ".join(str(found).split())
-        return issue("Frontmatter is not valid YAML.", None, flat if len(flat) <= 140 else flat[:140] + "…")
-    if parsed is None:
-        return issue("Frontmatter block is empty.")
-    if not isinstance(parsed, dict):
-        return issue("Frontmatter must be a mapping of fields.", None, f"parsed as {type(parsed).__name__}")
-    odd = sorted(str(key) for key in parsed if not isinstance(key, str))
-    if odd:
-        return issue("Frontmatter field names must be strings.", None, f"offending keys: {', '.join(odd)}")
-    fields = {name: _field(value) for name, value in parsed.items()}
-    return {"fields": fields, "message": None, "field": None, "reason": None}
-
-
-@F.pandas_udf(PARSED)
-def parse_metadata(blocks: pd.Series) -> pd.DataFrame:
-    """Front matter blocks -> typed fields, or what is wrong with the block."""
+        value = yaml.load(block, Loader=loader)
+    except KeyError as twice:
+        return "repeated", twice.args[0], None, None
+    except (yaml.YAMLError, TypeError, ValueError, RecursionError) as fault:
+        return "broken", str(fault), None, None
+    if isinstance(value, dict):
+        named = {key: _field(item) for key, item in value.items() if isinstance(key, str)}
+        return "mapping", None, named, sorted(str(key) for key in value if key not in named)
+    return ("empty" if value is None else "other"), type(value).__name__, None, None
+
+
+@F.pandas_udf(BLOCK)
+def _blocks(blocks: pd.Series) -> pd.DataFrame:
     loader = _strict_loader()
-    empty = {"fields": None, "message": None, "field": None, "reason": None}
-    rows = [empty if block is None else _parse_block(block, loader) for block in blocks]
-    return pd.DataFrame(rows, columns=PARSED.names)
+    return pd.DataFrame([_read_block(block, loader) for block in blocks], columns=BLOCK.fieldNames())
 
 
 # Filters on issues must not be pushed below the parse: they would copy the parse and
 # all rules into the filter. An opaque function keeps the plan to one evaluation.
-parse_metadata = parse_metadata.asNondeterministic()
+_blocks = _blocks.asNondeterministic()
+
+# The messages of block issues.
+BLOCK_MESSAGES = {
+    "repeated": "Frontmatter declares the same field twice.",
+    "broken": "Frontmatter is not valid YAML.",
+    "empty": "Frontmatter block is empty.",
+    "other": "Frontmatter must be a mapping of fields.",
+}
+ODD_KEYS_MESSAGE = "Frontmatter field names must be strings."
+
+
+def parse_metadata(block: Column) -> Column:
+    """A front matter block -> struct of typed fields, or of what is wrong with the block."""
+
+    def outcome(read: Column) -> Column:
+        odd = F.size(read["odd_keys"]) > 0
+        flat = F.trim(F.regexp_replace(read["detail"], r"(?U)\s+", " "))
+        message = F.when(odd, ODD_KEYS_MESSAGE)
+        for kind, text in BLOCK_MESSAGES.items():
+            message = message.when(read["kind"] == kind, text)
+        reason = (
+            F.when(odd, F.concat(F.lit("offending keys: "), F.array_join(read["odd_keys"], ", ")))
+            .when(read["kind"] == "repeated", F.concat(F.lit("duplicate key: "), read["detail"]))
+            .when(read["kind"] == "other", F.concat(F.lit("parsed as "), read["detail"]))
+            .when(read["kind"] == "broken", F.when(F.length(flat) <= 140, flat).otherwise(F.concat(flat.substr(1, 140), F.lit("…"))))
+        )
+        return F.struct(
+            F.when(~F.coalesce(odd, F.lit(False)), read["fields"]).alias("fields"),
+            message.alias("message"),
+            F.when(read["kind"] == "repeated", read["detail"]).alias("field"),
+            reason.alias("reason"),
+        )
+
+    return let(_blocks(block), outcome)
 
 
 # --- validation -----------------------------------------------------------------

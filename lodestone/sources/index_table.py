@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import identity, indexing
 from lodestone.policies import EmbeddingSpec
 
-VERSION_SCHEMA = "version bigint, spec_identity string, written_at timestamp"
+VERSION_SCHEMA = "version bigint, spec_identity string, written_at timestamp, folder string"
 SEPARATOR = " > "
 
 
@@ -31,7 +33,9 @@ def write_index(records: DataFrame, root: str, spec: EmbeddingSpec) -> int:
     """
     spark = records.sparkSession
     version = (current_version(spark, root) or 0) + 1
-    path = f"{root}/data/version={version}"
+    # A folder of its own for each attempt: a refused one is never in the way of the next.
+    folder = f"version={version}-{uuid.uuid4().hex}"
+    path = f"{root}/data/{folder}"
     records.withColumn("visibility", F.col("metadata.visibility")).write.partitionBy(
         "visibility"
     ).parquet(path)
@@ -40,6 +44,7 @@ def write_index(records: DataFrame, root: str, spec: EmbeddingSpec) -> int:
         F.lit(version).cast("long").alias("version"),
         F.lit(spec.identity).alias("spec_identity"),
         F.current_timestamp().alias("written_at"),
+        F.lit(folder).alias("folder"),
     ).write.mode("append").json(f"{root}/versions")
     return version
 
@@ -48,7 +53,11 @@ def read_index(spark: SparkSession, root: str, version: int | None = None) -> Da
     found = version or current_version(spark, root)
     if found is None:
         raise ValueError(f"no committed index under {root}")
-    return spark.read.parquet(f"{root}/data/version={found}")
+    versions = spark.read.schema(VERSION_SCHEMA).json(f"{root}/versions")
+    folder = versions.where(F.col("version") == found).agg(F.max("folder")).first()[0]
+    if folder is None:
+        raise ValueError(f"no committed version {found} under {root}")
+    return spark.read.parquet(f"{root}/data/{folder}")
 
 
 FLAT = (

@@ -129,3 +129,25 @@ def test_ledger_round_trip(spark, folder):
     spark.createDataFrame([("{damaged",)], "value string").write.mode("append").text(path)
     health = runs.ledger_health(runs.read_ledger(spark, path)).first()
     assert (health.entries, health.unreadable_lines) == (2, 1)
+
+
+def test_odd_blocks_become_issues(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.sources.corpus import parse_metadata
+
+    blocks = ["? [a, b]\n: 1", "updated_at: 2026-13-45", "a: 1\na: 2", "base: &b {x: 1}\nown:\n  <<: *b\n  x: 2", "1: x", "- a", "", "a: ["]
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(blocks)], "n int, block string").select("n", parse_metadata(F.col("block")).alias("p"))
+    found = {r["n"]: r["p"] for r in rows.collect()}
+    assert [found[n]["message"] is None for n in range(8)] == [False, False, False, True, False, False, False, False]
+    assert found[2]["field"] == "a" and found[4]["reason"] == "offending keys: 1" and found[5]["reason"] == "parsed as list"
+
+
+def test_sentences_part_behind_many_closing_marks(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.operators.chunking import split_sentences
+
+    text = "One." + '"' * 40 + " Two. Three"
+    found = spark.range(1).select(split_sentences(F.lit(text)).alias("s")).first()["s"]
+    assert [len(x) for x in found] == [44, 4, 5]
