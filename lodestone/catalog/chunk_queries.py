@@ -45,16 +45,33 @@ CLOSERS = "[.!?…][\"''»”’)\\]]*"
 FIT = f"length(a.cur) + 1 + length(x.cur) <= {MAX}"
 SQL_LINES = """all_lines AS (
   SELECT document_id, line_no, line FROM md_lines
-  UNION ALL SELECT document_id, line_no + 1, '' FROM md_lines),
+  UNION ALL SELECT document_id, line_no + 1, under FROM md_lines),
+fence_lines AS (
+  SELECT document_id, unnest(list_reduce(list_prepend(
+      {'open': '', 'run': '', 'bare': false, 'n': -1::BIGINT, 'at': CAST([] AS BIGINT[])}, list(c ORDER BY c.n)), lambda a, x:
+      CASE WHEN a.open = '' THEN {'open': x.run, 'run': '', 'bare': false, 'n': x.n, 'at': list_append(a.at, x.n)}
+           WHEN x.bare AND left(x.run, 1) = left(a.open, 1) AND length(x.run) >= length(a.open)
+             THEN {'open': '', 'run': '', 'bare': false, 'n': x.n, 'at': list_append(a.at, x.n)}
+           ELSE a END).at) AS line_no
+  FROM (SELECT document_id, {'open': '', 'run': regexp_extract(line, '^ {0,3}(`{3,}|~{3,})', 1),
+          'bare': regexp_matches(line, '^ {0,3}(`{3,}|~{3,})[ \\t]*$'), 'n': line_no::BIGINT, 'at': CAST([] AS BIGINT[])} AS c
+        FROM all_lines WHERE regexp_matches(line, '^ {0,3}(`{3,}[^`]*|~{3,}.*)$')) GROUP BY document_id),
 fenced AS (
   SELECT *, is_fence OR fence_no % 2 = 1 AS in_code FROM (
     SELECT *, sum(is_fence::INT) OVER (PARTITION BY document_id ORDER BY line_no) AS fence_no FROM (
-      SELECT *, regexp_matches(line, '^ {0,3}(`{3,}|~{3,})') AS is_fence FROM all_lines))),
+      SELECT l.*, f.line_no IS NOT NULL AS is_fence FROM all_lines l
+      LEFT JOIN fence_lines f ON f.document_id = l.document_id AND f.line_no = l.line_no))),
+shaped AS (
+  SELECT *, NOT in_code AND regexp_matches(line, '^ {0,3}#{1,6}([ \\t]|$)') AS h,
+    NOT in_code AND regexp_matches(line, '^ {0,3}(=+|-+)[ \\t]*$') AS shape FROM fenced),
+lined AS (
+  SELECT *, shape AND coalesce(lag(NOT in_code AND NOT h AND NOT shape AND regexp_matches(line, '[^\\s\\p{Z}]')) OVER w, false) AS u,
+    lag(line) OVER w AS above FROM shaped WINDOW w AS (PARTITION BY document_id ORDER BY line_no)),
 headed AS (
-  SELECT *, count(heading_level) OVER (PARTITION BY document_id ORDER BY line_no) AS section_no FROM (
-    SELECT *, CASE WHEN h THEN length(regexp_extract(line, '^ {0,3}(#{1,6})', 1)) END AS heading_level,
-      CASE WHEN h THEN trim(regexp_extract(line, '^ {0,3}#{1,6}(?:[ \\t]+(.*?))?(?:[ \\t]+#+)?[ \\t]*$', 1)) END AS heading_text
-    FROM (SELECT *, NOT in_code AND regexp_matches(line, '^ {0,3}#{1,6}([ \\t]|$)') AS h FROM fenced))),
+  SELECT *, count(heading_level) OVER w AS section_no, h OR u OR coalesce(lead(u) OVER w, false) AS in_heading FROM (
+    SELECT *, CASE WHEN h THEN length(regexp_extract(line, '^ {0,3}(#{1,6})', 1)) WHEN u THEN if(line LIKE '%=%', 1, 2) END AS heading_level,
+      CASE WHEN h THEN trim(regexp_extract(line, '^ {0,3}#{1,6}(?:[ \\t]+(.*?))?(?:[ \\t]+#+)?[ \\t]*$', 1)) WHEN u THEN trim(above) END AS heading_text
+    FROM lined) WINDOW w AS (PARTITION BY document_id ORDER BY line_no)),
 heads AS (SELECT document_id, section_no AS no, heading_level AS level, heading_text AS text FROM headed WHERE heading_level IS NOT NULL),
 closes AS (SELECT h.document_id, h.no, min(g.no) AS until FROM heads h JOIN heads g
   ON g.document_id = h.document_id AND g.no > h.no AND g.level <= h.level GROUP BY ALL),
@@ -68,9 +85,9 @@ blocks AS (
     row_number() OVER (PARTITION BY document_id, section_no ORDER BY start) AS block_no FROM (
     SELECT document_id, section_no, min(line_no) AS start, any_value(kind) AS kind,
       regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '{SQL_WS}+$', '') AS text
-    FROM (SELECT *, CASE WHEN in_code THEN 'code' ELSE 'paragraph' END AS kind,
+    FROM (SELECT *, CASE WHEN in_code THEN 'code' WHEN shape AND line LIKE '%---%' THEN 'other' ELSE 'paragraph' END AS kind,
             CASE WHEN in_code THEN -((fence_no + 1) // 2) ELSE line_no END AS place
-          FROM headed WHERE heading_level IS NULL AND (in_code OR regexp_matches(line, '[^\\s\\p{{Z}}]')))
+          FROM headed WHERE NOT in_heading AND (in_code OR regexp_matches(line, '[^\\s\\p{{Z}}]')))
     GROUP BY document_id, section_no, place) WHERE text <> '')"""
 SQL_FRAGMENTS = SQL_BLOCKS + f""",
 failed AS (SELECT DISTINCT document_id FROM blocks WHERE kind = 'code' AND length(text) > {MAX}),
@@ -139,7 +156,7 @@ def explode_lines(spark, folder):
     d.with_sql("md_lines", "SELECT document_id, line_no, is_fence, in_code FROM fenced", SQL_LINES),
 )
 def mark_fences(spark, folder):
-    lines = structure.mark_fences(structure.explode_lines(d.markdown(spark, folder)))
+    lines = structure.mark_fences(d.markdown(spark, folder))
     return lines.select("document_id", "line_no", "is_fence", "in_code")
 
 

@@ -65,18 +65,30 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Lines 1 to 4 of a nested fence (number modulo 4) and the underlines of setext headings.
+NESTED = ("~~~~ ", "~~~~", "```", "~~~")
+UNDERLINES = ("===", "---", "")
+
+
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """document_id, content: the text with headings, blank lines and some fences."""
+    """document_id, content: the text with headings of both kinds, blank lines and fences.
+
+    Some fences hold shorter fences and fences of the other character.
+    """
     docs = table(spark, folder, "documents")
 
     def shape(line, number):
         fence = (F.col("doc_id") % 11 == 0) & ((number == 1) | (number == 4))
+        nested = (F.col("doc_id") % 11 == 4) & number.between(1, 4)
+        under = F.when((number % 7 == 5) & (F.col("doc_id") % 3 < 2), pick(F.col("doc_id"), UNDERLINES))
         return F.concat(
             F.when(fence, "```")
+            .when(nested, pick(number, NESTED))
             .when(number % 7 == 0, F.concat(F.lit("## "), line))
             .when(number % 7 == 3, F.concat(F.lit("### "), line))
             .otherwise(line),
             F.lit("\n"),
+            F.coalesce(under, F.lit("")),
         )
 
     body = F.array_join(F.transform(F.split("text", "\n"), shape), "\n")
@@ -97,16 +109,18 @@ SQL["docs"] = f"""docs AS (
     CASE WHEN l.quality = 1 THEN 'verified' ELSE 'unverified' END AS trust_level,
     [d.source, d.lang] AS topics, d.text AS content
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
-SQL["md_lines"] = """md_lines AS (
+SQL["md_lines"] = f"""md_lines AS (
   SELECT doc_id, 'doc-' || doc_id AS document_id, 2 * i AS line_no,
+    CASE WHEN i % 7 = 5 THEN {sql_pick("doc_id", UNDERLINES)} ELSE '' END AS under,
     CASE WHEN doc_id % 11 = 0 AND i IN (1, 4) THEN '```'
+         WHEN doc_id % 11 = 4 AND i BETWEEN 1 AND 4 THEN {sql_pick("i", NESTED)}
          WHEN i % 7 = 0 THEN '## ' || line
          WHEN i % 7 = 3 THEN '### ' || line ELSE line END AS line
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
         FROM documents))"""
 SQL["md_docs"] = """md_docs AS (
-  SELECT document_id, string_agg(line || chr(10), chr(10) ORDER BY line_no) AS content
+  SELECT document_id, string_agg(line || chr(10) || under, chr(10) ORDER BY line_no) AS content
   FROM md_lines GROUP BY document_id)"""
 
 

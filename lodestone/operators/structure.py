@@ -1,7 +1,8 @@
 """Markdown structure as windows over lines: fences, headings, sections, blocks.
 
-The model is line based: ATX headings, fences, thematic breaks, quotes, lists and
-blank-line blocks. Setext headings and tables are read as text.
+The model is line based: ATX and setext headings, fences that close with their own
+character at their own length or more, thematic breaks, quotes, lists and blank-line
+blocks. Tables are read as text.
 
 Every window is partitioned by document, so one shuffle by document id serves
 everything up to the finished chunks. A window task holds lines of one document;
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
+from lodestone.functions.binding import let
 
 HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
 LIST_MARK = r"^ {0,3}(?:[-*+]|\d{1,9}[.)])(?:[ \t]|$)"
@@ -21,6 +23,13 @@ QUOTE_MARK = r"^ {0,3}>"
 RULE_LINE = r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$"
 INDENTED = r"^(?: {2,}|\t)"
 CODE_INDENT = r"^(?: {4,}|\t)"
+UNDERLINE = r"^ {0,3}(?:=+|-+)[ \t]*$"
+# A fence with its lines: up to the first bare run of the same character that is at least
+# as long, or up to the end of the text. Backticks do not occur behind opening backticks.
+TICKS = r"(`{3,}+)[^`\n]*$", r"\n {0,3}\1`*[ \t]*"
+TILDES = r"(~{3,}+)[^\n]*$", r"\n {0,3}\2~*[ \t]*"
+FENCED = rf"(?smd)^ {{0,3}}(?:{TICKS[0]}(?:.*?{TICKS[1]}$|.*)|{TILDES[0]}(?:.*?{TILDES[1]}$|.*))"
+CLOSED = rf"(?smd)\A {{0,3}}(?:{TICKS[0]}.*?{TICKS[1]}\z|{TILDES[0]}.*?{TILDES[1]}\z)"
 
 
 def explode_lines(documents: DataFrame) -> DataFrame:
@@ -39,22 +48,146 @@ def _so_far(*keys: str):
     )
 
 
-def mark_fences(lines: DataFrame) -> DataFrame:
-    """Adds is_fence, fence_no and in_code (a fence line or a line inside a fence)."""
-    is_fence = F.col("line").rlike(t.FENCE_LINE)
-    return (
-        lines.withColumn("is_fence", is_fence)
-        .withColumn("fence_no", F.sum(is_fence.cast("int")).over(_so_far("document_id")))
-        .withColumn("in_code", F.col("is_fence") | (F.col("fence_no") % 2 == 1))
+def mark_fences(documents: DataFrame) -> DataFrame:
+    """Lines with is_fence, fence_no (null outside) and in_code (a fence line or inside one).
+
+    One pattern cuts a text into fences and what lies between them; the lines of both
+    are put together again in order. An unclosed fence reaches to the end of its text.
+    """
+    placed = documents.select("document_id", "content").repartition("document_id")
+    content = F.col("content")
+
+    def row(line: Column, is_fence: Column, number: Column) -> Column:
+        return F.struct(
+            line.alias("line"),
+            is_fence.alias("is_fence"),
+            number.cast("int").alias("fence_no"),
+            number.isNotNull().alias("in_code"),
+        )
+
+    def outside(piece: Column, fences: Column, n: Column) -> Column:
+        """Lines of a piece; the line ends that touch a fence belong to no line of it."""
+        after, before = (n > 0).cast("int"), (n < fences).cast("int")
+        lines = let(
+            F.split(piece, "\n"), lambda all_: F.slice(all_, after + 1, F.size(all_) - after - before)
+        )
+        return F.transform(lines, lambda line: row(line, F.lit(False), F.lit(None)))
+
+    def inside(block: Column, n: Column) -> Column:
+        parts = F.struct(F.split(block, "\n").alias("lines"), block.rlike(CLOSED).alias("closed"))
+
+        def fence_line(whole: Column, i: Column) -> Column:
+            return (i == 0) | (whole["closed"] & (i == F.size(whole["lines"]) - 1))
+
+        return let(
+            parts,
+            lambda whole: F.transform(
+                whole["lines"], lambda line, i: row(line, fence_line(whole, i), n + 1)
+            ),
+        )
+
+    fences = F.regexp_extract_all(content, F.lit(FENCED), F.lit(0))
+    rows = let(
+        F.struct(F.split(content, FENCED, -1).alias("between"), fences.alias("fences")),
+        lambda cut: F.flatten(
+            F.zip_with(
+                F.transform(cut["between"], lambda piece, n: outside(piece, F.size(cut["fences"]), n)),
+                F.transform(cut["fences"], inside),
+                lambda text, code: F.concat(text, F.coalesce(code, F.slice(text, 1, 0))),
+            )
+        ),
+    )
+    return placed.select("document_id", F.posexplode(rows).alias("line_no", "_l")).select(
+        "document_id", "line_no", "_l.*"
+    )
+
+
+def _paragraphs(lines: DataFrame) -> DataFrame:
+    """Adds _para (a line of a paragraph), _under (an underline below one) and _par_no.
+
+    Underlines in a row take turns: the one after a heading is text again.
+    """
+    order = Window.partitionBy("document_id").orderBy("line_no")
+    so_far = _so_far("document_id")
+    line, outside = F.col("line"), ~F.col("in_code")
+
+    def before(name: str) -> Column:
+        return F.coalesce(F.lag(name).over(order), F.lit(False))
+
+    shape = lines.select(
+        "*",
+        (outside & line.rlike(HEADING)).alias("_atx"),
+        (outside & line.rlike(RULE_LINE)).alias("_rule"),
+        (outside & line.rlike(UNDERLINE)).alias("_shape"),
+    ).withColumn("_plain", outside & ~F.col("_atx") & ~F.col("_rule") & line.rlike(r"(?U)\S"))
+    first = F.col("_plain") & ~before("_plain")
+    mark = (
+        F.when(~outside, "code")
+        .when(F.col("_atx"), "heading")
+        .when(F.col("_rule"), "other")
+        .when(~F.col("_plain"), None)
+        .when(line.rlike(LIST_MARK) & (first | ~F.col("_shape")), "list")
+        .when(line.rlike(QUOTE_MARK), "quote")
+        .when(first & line.rlike(INDENTED), "indent")
+        .when(first, "paragraph")
+    )
+    anchor = F.last(F.when(F.col("_mark") != "indent", F.col("_mark")), ignorenulls=True).over(so_far)
+    indented = F.when(
+        F.coalesce(F.col("_anchor") != "list", F.lit(True)) & ~line.rlike(CODE_INDENT), "paragraph"
+    ).otherwise("indent")
+    state = F.last(
+        F.when(F.col("_mark") == "indent", indented).otherwise(F.col("_mark")), ignorenulls=True
+    ).over(so_far)
+    known = (
+        shape.withColumn("_mark", mark)
+        .withColumn("_anchor", anchor)
+        .withColumn("_para", F.col("_plain") & (state == "paragraph"))
+        .withColumn("_turn", F.col("_para") & F.col("_shape"))
+    )
+    other = F.when(~F.col("_turn"), F.struct("line_no", "_para"))
+    known = known.withColumn("_other", F.last(other, ignorenulls=True).over(so_far))
+    distance = F.col("line_no") - F.coalesce(F.col("_other.line_no"), F.lit(-1))
+    odd = F.coalesce(F.col("_other._para"), F.lit(False)).cast("int")
+    text_under = F.col("_turn") & (distance % 2 == odd)
+    known = known.withColumn("_text_under", text_under).withColumn(
+        "_open", F.col("_para") & ~F.col("_text_under")
+    )
+    under = F.col("_text_under") | (F.col("_rule") & F.col("_shape") & before("_open"))
+    known = known.withColumn("_under", under)
+    starts = F.col("_para") & ~before("_open")
+    return known.withColumn("_par_no", F.count(F.when(starts, 1)).over(so_far)).drop(
+        "_rule", "_shape", "_plain", "_mark", "_anchor", "_turn", "_other", "_text_under", "_open"
     )
 
 
 def mark_headings(lines: DataFrame) -> DataFrame:
-    """Adds heading_level (null on other lines) and heading_text."""
-    is_heading = ~F.col("in_code") & F.col("line").rlike(HEADING)
-    level = F.length(F.regexp_extract("line", HEADING, 1))
-    return lines.withColumn("heading_level", F.when(is_heading, level)).withColumn(
-        "heading_text", F.when(is_heading, t.strip(F.regexp_extract("line", HEADING, 2)))
+    """Adds heading_level, heading_text (null on other lines) and in_heading.
+
+    A setext heading stands on its underline and takes the whole paragraph above as its
+    text; in_heading is true for these lines too, which are no content of any block.
+    """
+    paragraph = Window.partitionBy("document_id", "_par_no")
+    known = _paragraphs(lines).withColumn("_headed", F.max("_under").over(paragraph))
+    title = F.when(F.col("_headed") & F.col("_para") & ~F.col("_under"), F.col("line"))
+    above = F.collect_list(title).over(
+        paragraph.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    atx, under = F.col("_atx"), F.col("_under")
+    depth = F.when(F.col("line").contains("="), 1).otherwise(2)
+    return (
+        known.withColumn("_above", above)
+        .withColumn(
+            "heading_level",
+            F.when(atx, F.length(F.regexp_extract("line", HEADING, 1))).when(under, depth),
+        )
+        .withColumn(
+            "heading_text",
+            F.when(atx, t.strip(F.regexp_extract("line", HEADING, 2))).when(
+                under, t.strip(F.array_join("_above", "\n"))
+            ),
+        )
+        .withColumn("in_heading", atx | under | (F.col("_headed") & F.col("_para")))
+        .drop("_atx", "_para", "_under", "_par_no", "_headed", "_above")
     )
 
 
@@ -99,18 +232,19 @@ def _line_kinds(lines: DataFrame) -> DataFrame:
     line = F.col("line")
     blank = ~F.col("in_code") & ~line.rlike(r"(?U)\S")
     own_block = ~F.col("in_code") & line.rlike(RULE_LINE)
-    code_no = F.when(F.col("in_code"), F.floor((F.col("fence_no") + 1) / 2))
     shaped = (
-        lines.filter(F.col("heading_level").isNull())
+        lines.filter(~F.col("in_heading"))
         .withColumn("blank", blank)
-        .withColumn("code_no", code_no)
+        .withColumn("code_no", F.col("fence_no"))
         .withColumn("rule", own_block)
         .withColumn("prev_blank", F.coalesce(F.lag("blank").over(section), F.lit(True)))
         .withColumn("prev_code", F.lag("code_no").over(section))
         .withColumn("prev_rule", F.coalesce(F.lag("rule").over(section), F.lit(False)))
     )
     plain = ~F.col("blank") & ~F.col("in_code")
-    run_start = plain & (F.col("prev_blank") | F.col("prev_code").isNotNull() | F.col("prev_rule"))
+    run_start = plain & (
+        F.col("prev_blank") | F.col("prev_code").isNotNull() | F.col("prev_rule") | F.col("rule")
+    )
     mark = (
         F.when(~plain, None)
         .when(F.col("rule") & run_start, "other")
@@ -210,7 +344,7 @@ def blocks(lines: DataFrame) -> DataFrame:
 
 def analyze(documents: DataFrame) -> DataFrame:
     """Lines of all documents with fences, headings, section numbers and paths."""
-    return heading_path(mark_headings(mark_fences(explode_lines(documents))))
+    return heading_path(mark_headings(mark_fences(documents)))
 
 
 def sections(documents: DataFrame) -> DataFrame:

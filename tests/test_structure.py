@@ -67,6 +67,55 @@ def test_blocks_of_a_page(spark):
     assert units[0].units == ["- first item\n  more of it", "- second item", "- third, loose"]
 
 
+CASES = [
+    # text, (heading path, kind, text) of each block
+    ("~~~\n```\n# not a heading\n~~~\nafter", [([], "code", "~~~\n```\n# not a heading\n~~~"), ([], "paragraph", "after")]),
+    ("````\n```\n# no\n```\n````\n# yes\nbody", [([], "code", "````\n```\n# no\n```\n````"), (["yes"], "paragraph", "body")]),
+    ("```\na\n```\n```\nb\n``` \nc", [([], "code", "```\na\n```"), ([], "code", "```\nb\n```"), ([], "paragraph", "c")]),
+    ("```py\n``` x\n# open to the end", [([], "code", "```py\n``` x\n# open to the end")]),
+    ("``` a`b\n# yes\nbody", [([], "paragraph", "``` a`b"), (["yes"], "paragraph", "body")]),
+    ("Title\n=====\nbody", [(["Title"], "paragraph", "body")]),
+    ("# A\n\nSub\nmore\n---\n\nbody", [(["A", "Sub\nmore"], "paragraph", "body")]),
+    ("text\n\n---\nbody", [([], "paragraph", "text"), ([], "other", "---"), ([], "paragraph", "body")]),
+    ("===\nbody", [([], "paragraph", "===\nbody")]),
+    ("A\n===\n===\n===\nbody", [(["==="], "paragraph", "body")]),
+    ("A\n---\n---\nbody", [(["A"], "other", "---"), (["A"], "paragraph", "body")]),
+    ("- a\n---\nbody", [([], "list", "- a"), ([], "other", "---"), ([], "paragraph", "body")]),
+    ("> a\n---\nbody", [([], "quote", "> a"), ([], "other", "---"), ([], "paragraph", "body")]),
+    ("a\n***\nb", [([], "paragraph", "a"), ([], "other", "***"), ([], "paragraph", "b")]),
+    ("first\n\nB\n-\nbody", [([], "paragraph", "first"), (["B"], "paragraph", "body")]),
+    ("", []),
+]
+
+
+def test_fences_and_setext_headings(spark):
+    found = structure.blocks(structure.analyze(frame(spark, *[text for text, _ in CASES]))).collect()
+    for n, (text, expected) in enumerate(CASES):
+        own = sorted((r for r in found if r.document_id == f"doc-{n}"), key=lambda r: (r.section_no, r.block_no))
+        assert [(r.heading_path, r.kind, r.text) for r in own] == expected, text
+
+
+def test_fence_lines_follow_a_plain_scan(spark):
+    rng = random.Random(3)
+    parts = ["```", "````", "~~~", "~~~~~", "``` py", "~~~ js", "text", "", "   ```", "    ```", "``` `", "# h"]
+    texts = ["\n".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(150)]
+    rows = structure.mark_fences(frame(spark, *texts)).collect()
+    for n, text in enumerate(texts):
+        expected, run = [], ""
+        for line in text.split("\n"):
+            if run:
+                bare = re.match(r"^ {0,3}(`{3,}|~{3,})[ \t]*$", line)
+                closes = bool(bare) and bare.group(1)[0] == run[0] and len(bare.group(1)) >= len(run)
+                expected.append((line, closes, True))
+                run = "" if closes else run
+            else:
+                opens = re.match(r"^ {0,3}(?:(`{3,})[^`]*|(~{3,}).*)$", line)
+                run = (opens.group(1) or opens.group(2)) if opens else ""
+                expected.append((line, bool(opens), bool(opens)))
+        own = sorted((r for r in rows if r.document_id == f"doc-{n}"), key=lambda r: r.line_no)
+        assert [(r.line, r.is_fence, r.in_code) for r in own] == expected, text
+
+
 def test_heading_paths_against_a_stack(spark):
     rng = random.Random(7)
     lines = []
