@@ -38,12 +38,21 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: Label forms in prose that every answer ends with, and what is published of them.
+NAMED = "\nLaut Quellen S1 und S2 nutzt er es. Siehe Quelle S3.\n- S2: Teil (S1) hier.\nDies steht in S1, S2.\nEnde"
+PUBLISHED = "\nEr nutzt es.\n- Teil hier.\nDies steht in.\nEnde"
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\n", "' || chr(10) || '") + "'"
+
+
 # --- derived inputs -----------------------------------------------------------------------
 def replies_table(spark, folder):
     """query_id, reply, finish_reason."""
     docs = d.table(spark, folder, "documents")
     kind = d.pick(F.col("doc_id"), SHAPES)
-    answer = F.concat("text", F.lit(" [S1], [S2; S9] 【s3】"))
+    answer = F.concat("text", F.lit(NAMED + " [S1], [S2; S9] 【s3】"))
 
     def reply(sources: str, support: str, field="answer"):
         body = F.to_json(F.struct(answer.alias(field)))
@@ -74,7 +83,7 @@ def replies_table(spark, folder):
     return docs.select(F.col("doc_id").alias("query_id"), text.alias("reply"), finish.alias("finish_reason"))
 
 
-_ANSWER = "text || ' [S1], [S2; S9] 【s3】'"
+_ANSWER = f"text || {_sql_text(NAMED)} || ' [S1], [S2; S9] 【s3】'"
 
 
 def _sql_reply(sources: str, support: str) -> str:
@@ -291,21 +300,34 @@ def citation_outcome(spark, folder):
     )
 
 
+SQL_NUMBERED = f"""places AS (
+  SELECT c.query_id, c.document_id || '/' || coalesce(c.section, '-') AS place, list(r.label) AS labels,
+    row_number() OVER (PARTITION BY c.query_id ORDER BY coalesce(min(list_position(['S1', 'S2', 'S9', 'S3'], r.label)), 99), c.citation_no) AS no
+  FROM collapsed c JOIN resolved r ON r.query_id = c.query_id AND r.status = 'cited' AND r.document_id = c.document_id
+    AND r.section IS NOT DISTINCT FROM c.section GROUP BY c.query_id, c.citation_no, c.document_id, c.section),
+mark_numbers AS (
+  SELECT query_id, m, i, (SELECT no FROM places x WHERE x.query_id = a.query_id AND list_contains(x.labels, m)) AS no
+  FROM (SELECT query_id, unnest(['S1', 'S2', 'S9', 'S3']) AS m, unnest([1, 2, 3, 4]) AS i FROM parsed WHERE rule IS NULL AND answer <> '') a),
+numbered AS (
+  SELECT a.query_id, m.removed AS removed_marks,
+    ltrim(regexp_replace(left(answer, length(answer) - length({_sql_text(NAMED)} || ' [S1], [S2; S9] 【s3】')) || {_sql_text(PUBLISHED)},
+      chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), chr(10)) || m.marks AS presented
+  FROM parsed a JOIN (SELECT query_id, count(*) FILTER (no IS NULL) AS removed,
+      string_agg(coalesce(' [' || no || ']', '') || CASE WHEN i = 1 THEN ',' ELSE '' END, '' ORDER BY i) AS marks
+    FROM mark_numbers GROUP BY query_id) m ON m.query_id = a.query_id)"""
+
+
 @query(
     "number_citations",
     sql(
-        """SELECT a.query_id, count(o.place) AS citations, coalesce(string_agg(o.place, ',' ORDER BY seen, citation_no), '') AS ordered,
-          any_value(removed) AS removed_marks FROM
-          (SELECT query_id, (SELECT count(*) FROM (SELECT unnest(['S1', 'S2', 'S9', 'S3']) AS m) WHERE answer <> '' AND m NOT IN
-              (SELECT label FROM resolved r WHERE r.query_id = p.query_id AND status = 'cited')) AS removed FROM parsed p WHERE rule IS NULL AND answer <> '') a
-          LEFT JOIN (SELECT c.query_id, c.citation_no, c.document_id || '/' || coalesce(c.section, '-') AS place,
-              coalesce(min(list_position(['S1', 'S2', 'S9', 'S3'], r.label)), 99) AS seen FROM collapsed c
-              JOIN resolved r ON r.query_id = c.query_id AND r.status = 'cited' AND r.document_id = c.document_id
-                AND r.section IS NOT DISTINCT FROM c.section GROUP BY ALL) o ON o.query_id = a.query_id GROUP BY a.query_id"""
+        """SELECT n.query_id, removed_marks, sha256(presented) AS presented_sha, count(o.place) AS citations,
+          coalesce(string_agg(o.place, ',' ORDER BY no), '') AS ordered
+          FROM numbered n LEFT JOIN places o ON o.query_id = n.query_id GROUP BY ALL""",
+        SQL_NUMBERED,
     ),
 )
 def number_citations(spark, folder):
-    """Order and number of citations and how many marks were removed."""
+    """The published text, order and number of citations, how many marks were removed."""
     read = parsed(spark, folder)
     rows = read.filter((F.col("answer") != "")).select("query_id", "answer")
     numbered = answers.number_citations(rows.join(outcome(spark, folder, read), "query_id"))
@@ -313,7 +335,8 @@ def number_citations(spark, folder):
         "ordered_citations", lambda c: F.concat(c["document_id"], F.lit("/"), F.coalesce(c["section"], F.lit("-")))
     )
     return numbered.select(
-        "query_id", F.size("ordered_citations").alias("citations"), F.array_join(place, ",").alias("ordered"), "removed_marks"
+        "query_id", F.size("ordered_citations").alias("citations"), F.array_join(place, ",").alias("ordered"),
+        "removed_marks", digests.sha256(F.col("presented")).alias("presented_sha"),
     )
 
 
@@ -341,10 +364,18 @@ SQL_DECIDED = f"""decided AS (
 
 @query(
     "answer_decision",
-    sql("SELECT query_id, outcome, error, CASE WHEN outcome = 'answered' THEN citations ELSE 0 END AS citations FROM decided", SQL_DECIDED),
+    sql(
+        """SELECT d.query_id, outcome, error, CASE WHEN outcome = 'answered' THEN citations ELSE 0 END AS citations,
+          CASE WHEN outcome = 'answered' THEN sha256(presented) END AS published_sha
+          FROM decided d LEFT JOIN numbered n ON n.query_id = d.query_id""",
+        SQL_DECIDED, SQL_NUMBERED,
+    ),
 )
 def answer_decision(spark, folder):
-    return decisions(spark, folder).select("query_id", "outcome", "error", F.size("citations").alias("citations"))
+    published = F.when(F.col("outcome") == "answered", digests.sha256(F.col("answer")))
+    return decisions(spark, folder).select(
+        "query_id", "outcome", "error", F.size("citations").alias("citations"), published.alias("published_sha")
+    )
 
 
 @query(

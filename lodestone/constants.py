@@ -129,6 +129,30 @@ INTERNAL_LABEL = (
     + r"|(?<![\w/\-\[(])S\d+(?:\s*\([^()\n]*\))?(?:\s*(?:,|;|&|\bund\b|\band\b)\s*S\d+\b)+"
 )
 
+# --- Fixed values: labels in prose ---------------------------------------------
+BARE_LABEL = r"(?<![\w/\-\[(])S\d+(?![\w\-\])]|[.:]\d)"
+DESCRIBED_LABEL = BARE_LABEL + r"(?:[ \t]*\([^()\n]*\))?"
+LABEL_JOIN = r"[ \t]*(?:,|;|&|\bund\b|\bsowie\b|\boder\b|\band\b|\bor\b)[ \t]*"
+SOURCE_WORD = r"\b(?:Quellen?|Quellenangaben?|[Ss]ources?|SOURCES?)"
+LABEL_NAME = (
+    r"(^[ \t]*(?:(?:[-*+•]|\d+[.)])[ \t]+)?|[.,;:!?][ \t]+)"
+    r"(?:\(S\d+\)|S\d+(?=[ \t]*(?::(?!\d)|[\u2013\u2014]|-[ \t])))"
+    r"[ \t]*(?::(?!\d)|[\u2013\u2014]|-(?=[ \t]))?[ \t]*"
+)
+LABEL_PARENTHESES = r"[ \t]*(?<!/)\(S\d+(?:[ \t]*,[ \t]*S\d+)*\)"
+REFERENCE_INTROS = ("Laut", "Nach", "Gemäß", "Entsprechend", "According to")
+REFERENCE_ARTICLES = ("den", "der", "the")
+PRONOUNS = ("er", "sie", "es", "man", "wir", "ich")
+SOURCE_TALK = """
+diese dieser dieses die der das den dem des ein eine einer
+aussage aussagen angabe angaben information informationen schritt schritte detail details inhalt inhalte
+wird werden ist sind steht stehen findet finden man sich
+in im aus durch von bei laut nach gemäß siehe vgl entsprechend wie und oder sowie auch
+belegt beschrieben genannt erwähnt aufgeführt dokumentiert bestätigt nachzulesen
+see the these this that is are by from as and or also
+described supported mentioned listed documented confirmed
+""".split()
+
 # --- Fixed values: audits -----------------------------------------------------
 ACCEPTANCE_PROTOCOL = "release-acceptance-v2"
 RUN_FORMAT = "e2e-eval-v3"

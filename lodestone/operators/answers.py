@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone import constants as k
 from lodestone.functions import marks, replies
 from lodestone.functions import text as t
+from lodestone.functions.binding import let
 
 
 def parse_replies(table: DataFrame) -> DataFrame:
@@ -113,6 +114,7 @@ def number_citations(answers: DataFrame) -> DataFrame:
     """Number citations by first appearance in the text; unmarked ones follow in claim order.
 
     answers(answer, citations, cited) -> presented, ordered_citations, removed_marks.
+    Labels in prose go first, so a mark in a sentence that goes with them has no number.
     """
 
     def index_of(label: Column) -> Column:
@@ -125,7 +127,9 @@ def number_citations(answers: DataFrame) -> DataFrame:
         )
         return F.when(source.isNotNull(), F.nullif(F.array_position(places, True), F.lit(0)))
 
-    known = answers.withColumn("_text", marks.canonical_marks(F.col("answer"))).withColumn(
+    known = answers.withColumn(
+        "_text", let(marks.canonical_marks(F.col("answer")), marks.drop_references)
+    ).withColumn(
         "_labels", marks.mark_labels(F.col("_text"))
     )
     placed = known.withColumn(
@@ -150,7 +154,7 @@ def number_citations(answers: DataFrame) -> DataFrame:
     )
     return placed.select(
         *answers.columns,
-        marks.renumber_marks(F.col("_text"), numbers).alias("presented"),
+        marks.drop_names(marks.renumber_marks(F.col("_text"), numbers)).alias("presented"),
         F.transform(
             "_order", lambda i: F.element_at("citations", i.cast("int"))
         ).alias("ordered_citations"),

@@ -100,6 +100,39 @@ def test_canonical_marks(spark, text, canonical):
     assert evaluate(spark, [text], marks.canonical_marks) == [canonical]
 
 
+@pytest.mark.parametrize(
+    ("text", "published"),
+    [
+        ("S1: Ausbildung.", "Ausbildung."),
+        ("(S1): Ausbildung.", "Ausbildung."),
+        ("S2 \u2013 Mehr.", "Mehr."),
+        ("FastAPI (S1) [S1].\nS2: Ausbildung.\nSee sources S1 and S2.", "FastAPI [S1].\nAusbildung."),
+        ("1) S1 \u2013 A\n  - S2: B", "1) A\n  - B"),
+        ("Umfasst: S1: Studium. S2: Skills, S3: RAG.", "Umfasst: Studium. Skills, RAG."),
+        ("Genutzt (S1), ebenso (S2, S3).", "Genutzt, ebenso."),
+        ("Laut Quellen S1 und S2 nutzt er FastAPI.", "Er nutzt FastAPI."),
+        ("Nach den Quellen S2, S3, nutzt das Backend X.", "Nach den Quellen, nutzt das Backend X."),
+        ("According to sources S1 and S2, it runs. See S1, S2.", "It runs."),
+        ("Er testet. Diese Schritte werden in den Quellen S2 (Setup), S1 und S3 beschrieben.", "Er testet."),
+        ("A.\n\nSee sources S1 and S2.\n\nB.", "A.\n\nB."),
+        ("Siehe Quellen S1 und S2.", "Siehe Quellen."),
+        ("AWS S3: Speicher. Audi S3 - sportlich.", "AWS S3: Speicher. Audi S3 - sportlich."),
+        ("x = S1 - S2", "x = S1 - S2"),
+        ("https://example.com/(S1) um S1:30, SS1: nein", "https://example.com/(S1) um S1:30, SS1: nein"),
+        ("ÄS1, S2 und v1.2", "ÄS1, S2 und v1.2"),
+        ("", ""),
+    ],
+)
+def test_labels_in_prose_are_not_published(spark, text, published):
+    assert evaluate(spark, [text], lambda c: marks.drop_names(marks.drop_references(c))) == [published]
+
+
+def test_long_answers_with_references_do_not_overflow(spark):
+    text = "word " * 20000 + "laut Quellen S1 und S2."
+    got = evaluate(spark, [text], marks.drop_references)
+    assert got == ["word " * 20000 + "laut Quellen."]
+
+
 def _number(answer, citations, cited):
     """Plain version of the numbering rule over canonical marks."""
     order, removed = [], 0
