@@ -441,7 +441,7 @@ def context_budgets(spark, folder):
     "prompt_table",
     f"""WITH {SQL_TURNS} SELECT b.conv_id AS query_id, sha256('KNOWLEDGE' || chr(10) || coalesce(d.text, '(no passages were retrieved)') || chr(10) || chr(10)
       || CASE WHEN b.error IS NULL THEN coalesce('CONVERSATION' || chr(10) || b.text || chr(10) || chr(10), '') ELSE '' END
-      || 'QUESTION' || chr(10) || 'question ' || b.conv_id) AS sha FROM bounded b LEFT JOIN documents d ON d.doc_id = b.conv_id AND d.doc_id % 2 = 0""",
+      || 'QUESTION' || chr(10) || 'question ' || b.conv_id) AS sha FROM bounded b LEFT JOIN documents d ON d.doc_id = b.conv_id""",
 )
 def prompt_table(spark, folder):
     bounded = context.bound_conversation(d.table(spark, folder, "conversations"))
@@ -449,7 +449,7 @@ def prompt_table(spark, folder):
         F.col("conv_id").alias("query_id"),
         F.concat(F.lit("question "), F.col("conv_id").cast("string")).alias("question"), "turns",
     )
-    docs = d.table(spark, folder, "documents").filter(F.col("doc_id") % 2 == 0)
+    docs = d.table(spark, folder, "documents")
     contexts = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("context"))
     return context.prompt_table(asked, contexts).select("query_id", digests.sha256(F.col("prompt")).alias("sha"))
 

@@ -7,12 +7,15 @@ segments, missing provenance, an unfinished run.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestone import constants as k
 from lodestone.catalog import cost_queries
 from lodestone.catalog import derived as d
 from lodestone.operators import audit, generation, identity
+from lodestone.session import shared_folder
 from lodestone.sources import runs
 from lodestone.streaming.run_guard import GuardSettings, run_guard
 
@@ -313,6 +316,24 @@ def latest_segment(spark, folder):
     return found.select("attempt_id", "line_no", (F.col("status") == "aborted").alias("aborted"))
 
 
+@query(
+    "append_ledger",
+    """SELECT 'logical-' || user_id AS attempt_id, 'run-' || max(event_id) AS run_id, arg_max(event_type = 'error', event_id) AS aborted
+      FROM events WHERE event_id % 97 NOT IN (1, 2, 3) GROUP BY user_id""",
+)
+def append_ledger(spark, folder):
+    """Events appended in three calls of unequal size, read back, the last line of each run."""
+    rows = cost_queries.read_lines(spark, folder).filter(~F.col("damaged")).drop("damaged")
+    last = rows.agg(F.max("line_no")).first()[0] or 0
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    bounds = [-1, last * 7 // 10, last * 19 // 20, last]
+    for low, high in zip(bounds, bounds[1:]):
+        part = rows.filter((F.col("line_no") > low) & (F.col("line_no") <= high))
+        runs.append_ledger(part.orderBy("line_no").drop("line_no"), path)
+    found = audit.latest_segment(runs.read_ledger(spark, path))
+    return found.select("attempt_id", "run_id", (F.col("status") == "aborted").alias("aborted"))
+
+
 @query(
     "rerun_check",
     """SELECT attempt_id, CASE WHEN n = 1 THEN CASE WHEN rerun_of IS NOT NULL THEN 'no earlier run has that id' END

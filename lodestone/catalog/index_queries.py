@@ -305,13 +305,14 @@ def find_document(spark, folder):
 @query(
     "hash_embedding",
     """SELECT doc_id, n, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS value FROM (
-      SELECT doc_id, n, ('0x' || substr(h, 1 + 8 * n, 8))::BIGINT / 2147483648.0::DOUBLE - 1.0::DOUBLE AS v FROM (
-        SELECT doc_id, sha256(text || chr(0) || '0') AS h, unnest(generate_series(0, 7)) AS n FROM documents))""",
+      SELECT doc_id, 8 * r + n AS n, ('0x' || substr(h, 1 + 8 * n, 8))::BIGINT / 2147483648.0::DOUBLE - 1.0::DOUBLE AS v FROM (
+        SELECT doc_id, r, sha256(text || chr(0) || r) AS h, unnest(generate_series(0, 7)) AS n
+        FROM documents, (SELECT unnest(generate_series(0, 31)) AS r)))""",
 )
 def hash_embedding(spark, folder):
-    """U2 with eight dimensions, one row per value."""
+    """U2 with its 256 dimensions, one row per value."""
     docs = d.table(spark, folder, "documents")
-    vector = embeddings.hash_embedding(8)(F.col("text"))
+    vector = embeddings.hash_embedding()(F.col("text"))
     return docs.select("doc_id", vector.alias("v")).select("doc_id", F.posexplode("v").alias("n", "value"))
 
 

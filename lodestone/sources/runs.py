@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,8 @@ QUESTION_SCHEMA = (
     "expected_sources array<struct<document:string,section:string>>"
 )
 _BAD = "_bad"
+APPENDED_AT, APPENDED_ROW = "appended_at", "appended_row"
+LINE_NO = "struct<at:bigint,file:string,block:bigint,row:bigint>"
 
 
 # --- questions --------------------------------------------------------------------
@@ -144,12 +148,10 @@ def run_calls(runs: DataFrame) -> DataFrame:
 
 
 # --- ledgers ------------------------------------------------------------------------
-def parse_ledger(lines: DataFrame) -> DataFrame:
-    """lines(line_no, line) -> ledger rows; *damaged* marks lines that are not an entry."""
+def _parse_lines(lines: DataFrame, schema: str) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
-    schema = f"{LEDGER_SCHEMA}, {_BAD} string"
     parsed = lines.filter(F.trim("line") != "").select(
-        "line_no", F.from_json("line", schema, options).alias("r")
+        "line_no", F.from_json("line", f"{schema}, {_BAD} string", options).alias("r")
     )
     required = ("date_utc", "run_id", "tier", "status")
     incomplete = F.lit(False)
@@ -159,26 +161,56 @@ def parse_ledger(lines: DataFrame) -> DataFrame:
     return rows.withColumn("damaged", F.col(_BAD).isNotNull() | incomplete).drop(_BAD)
 
 
+def parse_ledger(lines: DataFrame) -> DataFrame:
+    """lines(line_no, line) -> ledger rows; *damaged* marks lines that are not an entry."""
+    return _parse_lines(lines, LEDGER_SCHEMA)
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """A ledger folder or file of JSON Lines. A missing ledger is an empty one.
 
-    line_no orders rows by file and position inside it, as they were appended.
+    line_no is a struct that compares in append order: the time and row number that
+    append_ledger wrote. Lines of another writer have neither; they follow the time and
+    the name of their file and the place in it, which no packing of files into tasks changes.
     """
     try:
         text = spark.read.text(path)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        text = spark.createDataFrame([], "value string")
-        return parse_ledger(text.select(F.lit(0).cast("long").alias("line_no"), F.col("value").alias("line")))
-    numbered = text.select(
-        F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line")
+        empty = spark.createDataFrame([], f"line_no {LINE_NO}, line string")
+        return parse_ledger(empty)
+    file = F.col("_metadata")
+    placed = text.select(
+        F.struct(
+            F.unix_micros(file["file_modification_time"]).alias("at"),
+            file["file_path"].alias("file"),
+            file["file_block_start"].alias("block"),
+            # Rows of one block are read in order by one task.
+            F.monotonically_increasing_id().alias("row"),
+        ).alias("line_no"),
+        F.col("value").alias("line"),
+    )
+    rows = _parse_lines(placed, f"{LEDGER_SCHEMA}, {APPENDED_AT} bigint, {APPENDED_ROW} bigint")
+    written = F.struct(
+        F.col(APPENDED_AT).alias("at"),
+        F.lit("").alias("file"),
+        F.lit(0).cast("bigint").alias("block"),
+        F.col(APPENDED_ROW).alias("row"),
     )
-    return parse_ledger(numbered)
+    known = F.col(APPENDED_AT).isNotNull() & F.col(APPENDED_ROW).isNotNull()
+    order = F.when(known, written).otherwise(F.col("line_no")).cast(LINE_NO)
+    return rows.withColumn("line_no", order).drop(APPENDED_AT, APPENDED_ROW)
 
 
 def append_ledger(entries: DataFrame, path: str) -> None:
-    entries.write.mode("append").json(path)
+    """Append *entries* in the order of the frame; each row carries its place in the ledger.
+
+    The time is the driver's and grows from call to call of one writer.
+    """
+    now = F.lit(time.time_ns() // 1000).cast("bigint")
+    numbered = entries.withColumns({APPENDED_AT: now, APPENDED_ROW: F.monotonically_increasing_id()})
+    numbered.write.mode("append").json(path)
 
 
 def ledger_health(ledger: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Reading a folder of Markdown files."""
 
+import os
 from pathlib import Path
 
 import pytest
@@ -131,6 +132,31 @@ def test_ledger_round_trip(spark, folder):
     assert (health.entries, health.unreadable_lines) == (2, 1)
 
 
+def test_ledger_lines_keep_the_order_of_appends(spark, folder):
+    path = folder + "/ordered"
+    entry = "struct('2026-01-01' as date_utc, concat('r', id) as run_id, 'smoke' as tier, 'complete' as status) as e"
+    sizes = [3, 500, 1, 40]
+    start = 0
+    for parts, size in zip((1, 4, 1, 3), sizes):
+        runs.append_ledger(spark.range(start, start + size, 1, parts).selectExpr(entry).select("e.*"), path)
+        start += size
+    rows = runs.read_ledger(spark, path).orderBy("line_no").collect()
+    assert [r.run_id for r in rows] == [f"r{n}" for n in range(start)]
+    assert not any(r.damaged for r in rows)
+
+
+def test_foreign_ledger_lines_follow_their_files(spark, folder):
+    path = Path(folder) / "foreign"
+    path.mkdir()
+    line = '{"date_utc": "2026-01-01", "run_id": "%s", "tier": "smoke", "status": "complete"}\n'
+    for n, (name, size) in enumerate((("b", 1), ("a", 300), ("c", 2))):
+        file = path / f"{name}.json"
+        file.write_text("".join(line % f"{n}-{i:03}" for i in range(size)))
+        os.utime(file, (1000 + n, 1000 + n))
+    rows = runs.read_ledger(spark, str(path)).orderBy("line_no").collect()
+    assert [r.run_id for r in rows] == sorted(r.run_id for r in rows)
+
+
 def test_odd_blocks_become_issues(spark):
     from pyspark.sql import functions as F
 
