@@ -15,6 +15,7 @@ MODULES = (
     "answer_queries",
     "cost_queries",
     "audit_queries",
+    "file_queries",
 )
 
 

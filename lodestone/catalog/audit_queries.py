@@ -386,16 +386,23 @@ def stale_checkpoints(spark, folder):
     return audit.stale_checkpoints(stored, ledger)
 
 
+SQL_SHAPED = " OR ".join("regexp_matches(html, '" + p.replace("'", "''") + "')" for p in k.SECRET_SHAPES)
+
+
 @query(
     "publication_scan",
-    """SELECT page_id AS artifact_id, unnest(CASE page_id % 6 WHEN 0 THEN [('run.Token', 'forbidden field `Token`')]
-        WHEN 1 THEN [('questions.1.note', 'credential-shaped value')] WHEN 2 THEN [('questions.0.answer', 'an internal context marker in the answer')]
-        WHEN 3 THEN [('questions.1.note', 'a configured credential')] ELSE [] END) AS found FROM pages""".replace(
-        "SELECT page_id AS artifact_id, unnest(", "SELECT artifact_id, found[1] AS path, found[2] AS problem FROM (SELECT page_id AS artifact_id, unnest("
-    ) + ")",
+    f"""SELECT page_id AS artifact_id, f.path AS path, f.problem AS problem FROM (
+      SELECT page_id, unnest([
+        CASE WHEN page_id % 6 = 0 THEN {{'path': 'run.Token', 'problem': 'forbidden field `Token`'}} END,
+        CASE WHEN page_id % 6 = 1 THEN {{'path': 'questions.1.note', 'problem': 'credential-shaped value'}} END,
+        CASE WHEN page_id % 6 = 2 THEN {{'path': 'questions.0.answer', 'problem': 'an internal context marker in the answer'}} END,
+        CASE WHEN page_id % 6 = 3 THEN {{'path': 'questions.1.note', 'problem': 'a configured credential'}} END,
+        CASE WHEN page_id % 6 = 4 THEN {{'path': 'page.html', 'problem': 'a configured credential'}} END,
+        CASE WHEN {SQL_SHAPED} THEN {{'path': 'page.html', 'problem': 'credential-shaped value'}} END]) AS f FROM pages)
+    WHERE f IS NOT NULL""",
 )
 def publication_scan(spark, folder):
-    """J13 over one artifact per web page; the page's address is its note."""
+    """J13 over one artifact per web page with its whole html; the page's address is its note."""
     pages = d.table(spark, folder, "pages")
     kind = F.col("page_id") % 6
     note = (
@@ -404,9 +411,11 @@ def publication_scan(spark, folder):
         .otherwise(F.col("url"))
     )
     answer = F.concat("url", F.when(kind == 2, " [S1]").otherwise(""))
+    html = F.concat("html", F.when(kind == 4, "hunter2-hunter2").otherwise(""))
     document = F.concat(
         F.lit('{"run": {'), F.when(kind == 0, '"Token": 1, ').otherwise(""), F.lit('"tier": "acceptance"}, "questions": ['),
-        F.to_json(F.struct(answer.alias("answer"))), F.lit(", "), F.to_json(F.struct(note.alias("note"))), F.lit("]}"),
+        F.to_json(F.struct(answer.alias("answer"))), F.lit(", "), F.to_json(F.struct(note.alias("note"))), F.lit('], "page": '),
+        F.to_json(F.struct(html.alias("html"))), F.lit("}"),
     )
     artifacts = pages.select(F.col("page_id").alias("artifact_id"), document.alias("json"))
     return audit.publication_scan(artifacts, ("hunter2-hunter2",))

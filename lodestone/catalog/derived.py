@@ -25,14 +25,8 @@ def sql_list(values) -> str:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A driver table. Long texts that come as one unsplittable file are spread first.
-
-    A table of many files is read as it is: its scan already has enough tasks.
-    """
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    if name == "documents" and len(rows.inputFiles()) == 1:
-        return rows.repartition(spark.sparkContext.defaultParallelism)
-    return rows
+    """A driver table."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def pick(number, values):

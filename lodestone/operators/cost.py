@@ -40,15 +40,15 @@ def call_summary(calls: DataFrame) -> DataFrame:
         F.sum(F.when(reported, F.col("output_tokens"))).alias("output_tokens"),
         F.round(F.max("elapsed_seconds"), 3).alias("max_elapsed"),
     ]
-    totals = calls.rollup("call_type").agg(*aggregates)
-    per_type = order_statistics.medians(calls, ["call_type"], "elapsed_seconds")
-    overall = order_statistics.medians(calls, [], "elapsed_seconds")
-    middle = per_type.unionByName(overall, allowMissingColumns=True)
-    return (
-        totals.alias("t")
-        .join(middle.alias("m"), F.col("t.call_type").eqNullSafe(F.col("m.call_type")), "left")
-        .select("t.*", F.round("m.median", 3).alias("median_elapsed"))
+    # Calls without a type are a group of their own beside the total.
+    kind = F.coalesce(F.concat(F.lit("="), "call_type"), F.lit("none"))
+    totals = calls.rollup("call_type").agg(
+        *aggregates, F.when(F.grouping("call_type") == 1, "all").otherwise(kind).alias("_kind")
     )
+    per_type = order_statistics.medians(calls.withColumn("_kind", kind), ["_kind"], "elapsed_seconds")
+    overall = order_statistics.medians(calls, [], "elapsed_seconds").withColumn("_kind", F.lit("all"))
+    middle = per_type.unionByName(overall).withColumn("median_elapsed", F.round("median", 3)).drop("median")
+    return totals.join(middle, "_kind", "left").drop("_kind")
 
 
 def finish_reason_histogram(calls: DataFrame) -> DataFrame:
@@ -299,6 +299,7 @@ def projected_cost(
     forecast_per_question: float,
     policy: BudgetPolicy = BudgetPolicy(),
     known: float = 0.0,
+    reserve_overridden: bool = False,
 ) -> DataFrame:
     """After every question: what the whole run will have cost, and whether to stop.
 
@@ -320,8 +321,9 @@ def projected_cost(
     weight = F.col("seen") / (F.col("seen") + k.GUARD_PRIOR_WEIGHT)
     rate = weight * F.col("own_median") + (1 - weight) * forecast_per_question
     remaining = F.greatest(F.lit(total_questions) - F.col("seen"), F.lit(0))
-    over = (F.lit(known) + F.col("spent") > policy.spendable) | (
-        (F.col("seen") >= k.GUARD_MIN_QUESTIONS) & (F.lit(known) + F.col("projected") > policy.spendable)
+    ceiling = policy.ceiling(reserve_overridden)
+    over = (F.lit(known) + F.col("spent") > ceiling) | (
+        (F.col("seen") >= k.GUARD_MIN_QUESTIONS) & (F.lit(known) + F.col("projected") > ceiling)
     )
     return (
         running.withColumn("projected", F.col("spent") + remaining * rate)

@@ -1,8 +1,10 @@
 """Exact medians and percentiles that do not gather a group in one task.
 
-Equal values are counted first. A histogram per group then tells which bucket holds
-the wanted rank, and only that bucket is ordered by value. A group of any size is
-spread over its distinct values until the last step.
+A sketch of each group gives two values close below and above every wanted rank. They cut
+the group into a few ranges; counts tell which range holds a rank, and only that range, a
+few thousandths of the group, is ordered by value. The sketch decides where the cuts are
+and never what is returned: a poor cut makes a range larger, not the result wrong. Cuts
+follow the ranks of the values, so outliers do not crowd a range.
 """
 
 from __future__ import annotations
@@ -12,32 +14,28 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+#: Half the width of the range around a wanted share, and the inverse error of the sketch.
+AROUND, ACCURACY = 0.0005, 10_000
 
 
 def values_at_ranks(
-    rows: DataFrame, keys: list[str], value: str, ranks: Mapping[str, Column]
+    rows: DataFrame, keys: list[str], value: str, ranks: Mapping[str, Column], shares: list[float]
 ) -> DataFrame:
     """Per group the values at 1-based ranks; each rank is a column over the count *n*.
 
-    Keys must not be null; groups without any value are absent.
+    *shares* say about where in the group the ranks lie (0 to 1). Keys must not be null;
+    groups without any value are absent.
     """
     by = keys or ["_all"]
     source = rows if keys else rows.withColumn("_all", F.lit(1))
-    counts = (
-        source.filter(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"))
+    source = source.select(*by, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    counts = source.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
+    cuts = sorted({min(1.0, max(0.0, share + step)) for share in shares for step in (-AROUND, AROUND)})
+    bounds = source.groupBy(*by).agg(
+        F.percentile_approx("v", cuts, ACCURACY).alias("cuts"), F.count(F.lit(1)).alias("n")
     )
-    bounds = counts.groupBy(*by).agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n")
-    )
-    width = F.col("hi") - F.col("lo")
-    bucket = F.when(
-        width > 0,
-        F.least(F.lit(BUCKETS - 1), F.floor((F.col("v") - F.col("lo")) / width * BUCKETS)),
-    ).otherwise(0)
-    placed = counts.join(bounds, by).withColumn("bucket", bucket.cast("int"))
+    bucket = F.size(F.filter("cuts", lambda cut: cut <= F.col("v")))
+    placed = counts.join(bounds, by).select(*by, "v", "c", "n", bucket.alias("bucket"))
     running = (
         Window.partitionBy(*by)
         .orderBy("bucket")
@@ -86,7 +84,7 @@ def medians(rows: DataFrame, keys: list[str], value: str, name: str = "median")
         "_low": F.floor((F.col("n") + 1) / 2),
         "_high": F.floor(F.col("n") / 2) + 1,
     }
-    middle = values_at_ranks(rows, keys, value, ranks)
+    middle = values_at_ranks(rows, keys, value, ranks, [0.5])
     return middle.withColumn(name, (F.col("_low") + F.col("_high")) / 2).drop("_low", "_high")
 
 
@@ -94,4 +92,5 @@ def percentiles(
     rows: DataFrame, keys: list[str], value: str, shares: Mapping[str, float]
 ) -> DataFrame:
     """Per group nearest-rank percentiles: always a value that occurs."""
-    return values_at_ranks(rows, keys, value, {n: nearest_rank(s) for n, s in shares.items()})
+    ranks = {name: nearest_rank(share) for name, share in shares.items()}
+    return values_at_ranks(rows, keys, value, ranks, list(shares.values()))

@@ -14,6 +14,7 @@ from lodestone import constants as k
 from lodestone.functions import digests
 from lodestone.functions import text as t
 from lodestone.functions.binding import let
+from lodestone.session import stage
 
 try:
     import yaml
@@ -378,15 +379,20 @@ def metadata_struct(fields: Column) -> Column:
 def first_wins(documents: DataFrame) -> DataFrame:
     """Adds *owner*: the smallest source path of a valid file with the same *claimed_id*.
 
-    The owner is a map-side combined minimum joined back on the id, so an id claimed by
-    very many files is an ordinary skewed join, not one sorted group.
+    The rows are staged, so every file is parsed once; the ids are then counted over two
+    narrow columns, and only ids that are claimed more than once are joined back.
     """
+    staged = stage(documents, "parsed-files")
+    valid = F.col("issue").isNull()
     owners = (
-        documents.filter(F.col("issue").isNull())
+        staged.filter(valid)
         .groupBy("claimed_id")
-        .agg(F.min("source_path").alias("owner"))
+        .agg(F.min("source_path").alias("_first"), F.count(F.lit(1)).alias("_claims"))
+        .filter("_claims > 1")
+        .drop("_claims")
     )
-    return documents.join(owners, "claimed_id", "left")
+    owner = F.coalesce("_first", F.when(valid, F.col("source_path")))
+    return staged.join(owners, "claimed_id", "left").withColumn("owner", owner).drop("_first")
 
 
 def read_documents(files: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Watch evaluation runs while they happen and say when one must stop.
 
-State per run: how many questions, what they cost, the current streak of transient
-failures. Rows of one run must arrive in question order across batches; inside a
-batch they are ordered here.
+State per run: how many questions, what they cost in sum, how often each cost occurred,
+the current streak of transient failures. Rows of one run must arrive in question order
+across batches; inside a batch they are ordered here.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from lodestone import constants as k
 from lodestone.policies import BudgetPolicy
 
 OUTPUT = "run_id string, position bigint, reason string, spent double, projected double"
+FACTS = ["position", "cost", "error_category", "failure_detail", "status_code", "retrieval_transient"]
 TOTALS = "seen bigint, streak bigint, spent double, stopped boolean"
 
 
@@ -28,11 +29,53 @@ class GuardSettings:
     forecast_per_question: float
     budget: BudgetPolicy = BudgetPolicy()
     known: float = 0.0
+    reserve_overridden: bool = False
 
 
-def _median(ordered: list[float]) -> float:
-    middle = len(ordered) // 2
-    return ordered[middle] if len(ordered) % 2 else (ordered[middle - 1] + ordered[middle]) / 2
+class Middle:
+    """The median of values with counts, kept while values are added.
+
+    *at* is the distinct value with the lower median, *below* the count of all before it;
+    an added value moves it by one step at most.
+    """
+
+    def __init__(self, counts: dict[float, int]) -> None:
+        self.counts = counts
+        self.values = sorted(counts)
+        self.size = sum(counts.values())
+        self.at, self.below = 0, 0
+        self._settle()
+
+    def _settle(self) -> None:
+        if not self.size:
+            return
+        rank = (self.size + 1) // 2
+        while rank <= self.below:
+            self.at -= 1
+            self.below -= self.counts[self.values[self.at]]
+        while rank > self.below + self.counts[self.values[self.at]]:
+            self.below += self.counts[self.values[self.at]]
+            self.at += 1
+
+    def add(self, value: float) -> None:
+        if value in self.counts:
+            self.counts[value] += 1
+        else:
+            place = bisect.bisect_left(self.values, value)
+            self.values.insert(place, value)
+            self.counts[value] = 1
+            if self.size and place <= self.at:
+                self.at += 1
+        if self.size and value < self.values[self.at]:
+            self.below += 1
+        self.size += 1
+        self._settle()
+
+    def median(self) -> float:
+        low = self.values[self.at]
+        if self.size % 2 or self.below + self.counts[low] > self.size // 2:
+            return low
+        return (low + self.values[self.at + 1]) / 2
 
 
 class RunGuard(StatefulProcessor):
@@ -43,25 +86,25 @@ class RunGuard(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.totals = handle.getValueState("totals", TOTALS)
-        self.costs = handle.getListState("costs", "cost double")
+        self.costs = handle.getMapState("costs", "cost double", "times bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seen, streak, spent, stopped = (
             self.totals.get() if self.totals.exists() else (0, 0, 0.0, False)
         )
-        batch = pd.concat(rows)
-        if stopped or batch.empty:
+        if stopped:
             return
-        ordered = sorted(row[0] for row in self.costs.get())
-        added: list[tuple[float]] = []
+        batch = pd.concat([part[FACTS] for part in rows])
+        middle = Middle({key[0]: times[0] for key, times in self.costs.iterator()} if seen else {})
+        added: set[float] = set()
         for row in batch.sort_values("position").itertuples():
             seen += 1
             cost = float(row.cost)
             spent += cost
-            bisect.insort(ordered, cost)
-            added.append((cost,))
+            middle.add(cost)
+            added.add(cost)
             reason, streak = self._reason(row, streak)
-            projected = self._projected(seen, spent, ordered)
+            projected = self._projected(seen, spent, middle.median())
             if reason is None and self._over_budget(seen, spent, projected):
                 reason = "budget_guard"
             if reason is not None:
@@ -77,7 +120,8 @@ class RunGuard(StatefulProcessor):
                 )
                 break
         self.totals.update((seen, streak, spent, stopped))
-        self.costs.appendList(added)
+        for cost in added:
+            self.costs.updateValue((cost,), (middle.counts[cost],))
 
     def _reason(self, row, streak: int) -> tuple[str | None, int]:
         if not pd.isna(row.retrieval_transient) and bool(row.retrieval_transient):
@@ -90,17 +134,17 @@ class RunGuard(StatefulProcessor):
         streak = streak + 1 if row.error_category in k.TRANSIENT_CATEGORIES else 0
         return ("systemic_provider_failure" if streak >= k.SYSTEMIC_STREAK else None), streak
 
-    def _projected(self, seen: int, spent: float, ordered: list[float]) -> float:
+    def _projected(self, seen: int, spent: float, median: float) -> float:
         s = self.settings
         weight = seen / (seen + k.GUARD_PRIOR_WEIGHT)
-        rate = weight * _median(ordered) + (1 - weight) * s.forecast_per_question
+        rate = weight * median + (1 - weight) * s.forecast_per_question
         return spent + max(s.total_questions - seen, 0) * rate
 
     def _over_budget(self, seen: int, spent: float, projected: float) -> bool:
         s = self.settings
-        if s.known + spent > s.budget.spendable:
-            return True
-        return seen >= k.GUARD_MIN_QUESTIONS and s.known + projected > s.budget.spendable
+        ceiling = s.budget.ceiling(s.reserve_overridden)
+        expected = projected if seen >= k.GUARD_MIN_QUESTIONS else spent
+        return s.known + max(spent, expected) > ceiling
 
     def close(self) -> None:
         pass

@@ -73,6 +73,35 @@ def test_order_statistics_with_a_hot_group(spark):
         assert got[group] == pytest.approx(statistics.median([x for g, x in data if g == group]))
 
 
+def test_an_outlier_does_not_crowd_a_range(spark):
+    rows = spark.range(200_000).selectExpr("if(id = 0, 1e12, cast(id as double)) as x")
+    middle = order_statistics.medians(rows, [], "x")
+    assert middle.first().median == 100_000.5
+    counts = rows.selectExpr("x as v")
+    cuts = counts.agg(F.percentile_approx("v", [0.5 - order_statistics.AROUND, 0.5 + order_statistics.AROUND], order_statistics.ACCURACY)).first()[0]
+    assert counts.filter((F.col("v") >= cuts[0]) & (F.col("v") < cuts[1])).count() <= 200_000 * 4 * order_statistics.AROUND
+
+
+def test_calls_without_a_type_are_not_the_total(spark):
+    columns = "call_type string, http_attempts int, attempt int, result string, input_tokens int, output_tokens int, elapsed_seconds double"
+    rows = [("generation", 1, 1, "parsed", 5, 5, 1.0), (None, 1, 1, "parsed", 5, 5, 9.0), (None, 1, 1, "parsed", 5, 5, 9.0)]
+    got = sorted((r.calls, r.median_elapsed) for r in cost.call_summary(spark.createDataFrame(rows, columns)).collect())
+    assert got == [(1, 1.0), (2, 9.0), (3, 9.0)]
+
+
+def test_the_running_median_of_the_guard():
+    from lodestone.streaming.run_guard import Middle
+
+    rng = random.Random(3)
+    for spread in (2, 5, 1000):
+        values = [float(rng.randint(-spread, spread)) for _ in range(200)]
+        middle = Middle({})
+        for n, value in enumerate(values, 1):
+            middle.add(value)
+            assert middle.median() == statistics.median(values[:n])
+            assert Middle(dict(middle.counts)).median() == middle.median()
+
+
 def test_streaks_do_not_depend_on_the_span(spark):
     rng = random.Random(2)
     data = [(1, n, rng.choice(["timeout", "timeout", None])) for n in range(400)] + [(2, n, "timeout") for n in range(50)]
