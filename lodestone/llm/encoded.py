@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.flat import SPACE
-from lodestone.llm.tables import read
+from lodestone.llm.tables import read, side
 
 #: Selector -> (ids in a word, bits of each).
 FORMS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60), (0, 0))
@@ -289,10 +289,16 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
-    order = Window.orderBy(F.col("first_id").asc_nulls_first(), "part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per file here, a few dozen bytes each: the only ordered pass over all files.
-    starts = files.select("first_id", "part", "seq", "n_tokens").withColumn("start", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
-    placed = files.join(F.broadcast(starts.select("part", "seq", "start")), ["part", "seq"])
+    # Parts are ranges of ids in ascending order. Their totals, one row for each part of the
+    # write, are the only ordered pass over all; files are counted within their part.
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = files.select("part", "seq", "n_tokens")
+    totals = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_part"))
+    firsts = totals.select("part", F.coalesce(F.sum("n_part").over(before.orderBy("part")), F.lit(0)).alias("part_start"))
+    within = F.coalesce(F.sum("n_tokens").over(before.partitionBy("part").orderBy("seq")), F.lit(0))
+    starts = sizes.select("part", "seq", within.alias("in_part")).join(firsts, "part")
+    starts = side(starts, "token-starts", F.lit(24))
+    placed = files.join(starts, ["part", "seq"]).withColumn("start", F.col("part_start") + F.col("in_part"))
     return placed.select("ids", "counts", "data", "start").mapInArrow(_read, READ)
 
 
