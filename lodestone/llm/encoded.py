@@ -16,6 +16,7 @@ with one doc_id follow each other in the order of their texts; no documents, no
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -182,6 +183,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.kept = kept
+        # Spark runs a task on each core already: the library's own threads only take turns.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
