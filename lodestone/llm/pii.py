@@ -4,13 +4,14 @@ Regular expressions propose spans, leftmost and non-overlapping for each kind. V
 confirm them: address parts at most 255, the Luhn sum for cards, 9 to 15 digits for phones,
 the mod-97 sum for bank accounts (IBAN). Every span has a score: what its kind and
 validator are worth, raised when a context word stands in the `NEARBY` characters before
-it. Kinds without a validator of their own (`ssn`) are kept on `LEAST_SCORE` only, that is
+or after it, other matches included. Kinds without a validator of their own (`ssn`) are kept on `LEAST_SCORE` only, that is
 next to a context word. Spans are code points, end exclusive.
 
 How positions are found: a match is put between two marks (`MARK`, which is replaced in
 the text first by another character no pattern knows), the text is split at the marks, and
 lengths are summed in blocks, so the work grows with the text also where it has very many
-matches. Patterns use possessive repeats, so that the engine neither recurses nor backs up
+matches. The characters around a match are joined from the ends of the parts next to it, as
+counting them from the start of the text would take the square. Patterns use possessive repeats, so that the engine neither recurses nor backs up
 over long runs; what such a repeat takes could not be given back to any match.
 
 Cases: null text counts as empty; no span gives zero counts and the digest of the empty
@@ -112,11 +113,18 @@ def _starts(lengths: Column) -> Column:
 def matches(text: Column, kind: str) -> Column:
     """The confirmed spans of one kind, in order."""
 
+    def around(ends, i):
+        """The text near part i. Every second part is a match of two characters or more, so `NEARBY` parts hold enough."""
+        first = F.greatest(i - NEARBY, F.lit(0))
+        before = F.array_join(F.slice(ends["tails"], first + 1, i - first), "")
+        after = F.array_join(F.slice(ends["heads"], i + 2, F.lit(NEARBY)), "")
+        return F.lower(F.concat(F.right(before, F.lit(NEARBY)), F.lit("\n"), F.left(after, F.lit(NEARBY))))
+
     def spans(parts):
-        def placed(starts):
+        def placed(starts, ends):
             def one(i):
-                value, before = F.get(parts, i), F.get(parts, i - 1)
-                near = F.lower(F.right(before, F.lit(NEARBY))).rlike(CONTEXT[kind])
+                value = F.get(parts, i)
+                near = around(ends, i).rlike(CONTEXT[kind])
                 return F.struct(
                     F.get(starts, i).alias("start"),
                     (F.get(starts, i) + F.char_length(value)).alias("end"),
@@ -124,12 +132,17 @@ def matches(text: Column, kind: str) -> Column:
                     value.alias("value"),
                 )
 
-            found = F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), one)
+            valid = F.filter(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), lambda i: VALID[kind](F.get(parts, i)))
             least = 0.0 if kind in BASE else LEAST_SCORE
-            return F.filter(found, lambda s: VALID[kind](s["value"]) & (s["score"] >= least))
+            return F.filter(F.transform(valid, one), lambda s: s["score"] >= least)
 
         lengths = F.transform(parts, lambda p: F.char_length(p))
-        return F.when(F.size(parts) > 1, let(let(lengths, _starts), placed)).otherwise(F.array().cast(SPAN))
+        ends = F.struct(
+            F.transform(parts, lambda p: F.right(p, F.lit(NEARBY))).alias("tails"),
+            F.transform(parts, lambda p: F.left(p, F.lit(NEARBY))).alias("heads"),
+        )
+        found = let(let(lengths, _starts), lambda starts: let(ends, lambda e: placed(starts, e)))
+        return F.when(F.size(parts) > 1, found).otherwise(F.array().cast(SPAN))
 
     marked = F.regexp_replace(text, PATTERNS[kind], MARK + "$0" + MARK)
     if kind in NEEDS:

@@ -202,6 +202,18 @@ def test_personal_data_validators_and_context(spark):
     assert [(s["start"], s["end"]) for s in got[3]["email"]] == [(6 * i, 6 * i + 5) for i in range(3000)]
 
 
+def test_personal_data_context_in_lists_and_behind(spark):
+    apart = "1.2.3.4 " * 5 + "x" * 33 + " ssn"
+    texts = [
+        (1, "SSNs: 078-05-1120, 219-09-9999"), (2, "078-05-1120 (SSN)"), (3, "part 078-05-1120, 219-09-9999"),
+        (4, "078-05-1120" + "." * 40 + "ssn"), (5, "phone: +1 555 010 9999, +1 555 010 8888"), (6, "ssn" + "." * 38 + "078-05-1120"), (7, apart),
+    ]
+    got = pii.personal_data(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[s["value"] for s in r["ssn"]] for r in got[:4]] == [["078-05-1120", "219-09-9999"], ["078-05-1120"], [], []]
+    assert [round(s["score"], 1) for s in got[4]["phone"]] == [0.9, 0.9] and got[5]["ssn"] == []
+    assert [(s["start"], round(s["score"], 1)) for s in got[6]["ip"]] == [(8 * i, 0.5) for i in range(5)]
+
+
 def test_language(spark, hard, empty):
     got = QUERIES["op7_language_id"](spark, FOLDER).collect()
     truth = dict(rows(spark.read.parquet(f"{FOLDER}/documents.parquet"), "doc_id", "lang"))
