@@ -157,13 +157,18 @@ def linked(values: DataFrame) -> DataFrame:
     return found.where("b is not null").union(by_points.distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, twin, fingerprint, component_id) for every row of *docs*."""
-    rows = stage(fingerprints(docs, id_col, text_col), "simhash")
+def _placed(rows: DataFrame) -> DataFrame:
+    """(fp, least_id, component) for every fingerprint; component is the least fingerprint of its group."""
     values = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     parts = connected_components(linked(values.select("fp"))).withColumnRenamed("node", "fp")
     placed = values.join(parts, "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    placed = stage(placed, "simhash-parts")
+    return stage(placed, "simhash-parts")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, twin, fingerprint, component_id) for every row of *docs*."""
+    rows = stage(fingerprints(docs, id_col, text_col), "simhash")
+    placed = _placed(rows)
     ids = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = placed.select("fp", "component").join(ids, "component").select("fp", "component_id")
     return rows.join(named, "fp").select(
@@ -172,24 +177,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows and columns of *docs* that have the least id of their group.
+    """One row of *docs*, with its columns, for each group of near copies.
 
-    Of rows that repeat this id one stays, that with the least text. Rows without an id
-    stay only in groups without any id.
+    It is the row with the least id (null is larger than any), of those the one with the
+    least hash of its text, of rows equal in both any one. Groups are told apart by their
+    fingerprints: one id may stand in several groups.
     """
-    found = stage(near_duplicates(docs, id_col, text_col).select("doc_id", "twin", "component_id"), "simhash-groups")
-    drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    drop = side(drop.select(F.col("doc_id").alias("drop__id"), F.col("twin").alias("drop__twin")).distinct(), "simhash-drop", F.lit(16))
+    rows = stage(fingerprints(docs, id_col, text_col), "simhash")
+    found = stage(rows.join(_placed(rows), "fp").select("doc_id", "twin", "component"), "simhash-groups")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "twin")
+    first = found.groupBy("component").agg(F.min(order).alias("first")).select("first.doc_id", "first.twin", F.lit(0).alias("n"), F.lit(True).alias("stays"))
+    counts = found.select("doc_id", "twin", F.lit(1).alias("n"), F.lit(False).alias("stays")).union(first)
+    counts = stage(counts.groupBy("doc_id", "twin").agg(F.sum("n").alias("n"), F.max("stays").alias("stays")), "simhash-stays")
+
+    def named(rows, name):
+        rows = rows.select(F.col("doc_id").alias(f"{name}__id"), F.col("twin").alias(f"{name}__twin"))
+        return side(rows, f"simhash-{name}", F.lit(16)), own_id.eqNullSafe(F.col(f"{name}__id")) & (twin == F.col(f"{name}__twin"))
+
     own_id, twin = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    kept = docs.join(drop, own_id.eqNullSafe(F.col("drop__id")) & (twin == F.col("drop__twin")), "left_anti")
-    again = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    again = stage(again.select(F.col("doc_id").alias("again__id")), "simhash-again")
+    kept = docs.join(*named(counts.where("not stays"), "drop"), "left_anti")
+    again, same = named(counts.where("stays and n > 1"), "again")
     if again.isEmpty():
         return kept
-    same = own_id == F.col("again__id")
-    order = Window.partitionBy(own_id).orderBy(F.col(text_col))
-    one = kept.join(again, same, "left_semi").withColumn("again__rank", F.row_number().over(order)).where("again__rank = 1")
-    return kept.join(again, same, "left_anti").union(one.drop("again__rank"))
+    repeated = kept.join(again, same, "left_semi")
+    one = repeated.groupBy(own_id.alias("again__id"), twin.alias("again__twin")).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("again__row"))
+    return kept.join(again, same, "left_anti").union(one.select("again__row.*"))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -299,3 +299,12 @@ def test_null_ids_and_repeated_rows(spark):
     assert sorted(rows(lines.line_dedup(docs), "doc_id", "kept"), key=str) == sorted([(None, ""), (3, docs.first()["text"]), (3, docs.first()["text"])], key=str)
     assert minhash.fingerprint_pairs(docs).count() == 3
     assert bpe.encode_texts(docs, bpe.byte_vocabulary()).count() == 3
+
+
+def test_one_row_of_each_group_of_near_copies_stays(spark):
+    a, b, c = (" ".join(f"{name}{i}" for i in range(40)) for name in "abc")
+    docs = spark.createDataFrame([(5, a), (5, b), (9, b), (None, c), (None, c), (None, c)], "doc_id long, text string")
+    kept = rows(simhash.first_of_each(docs), "doc_id", "text")
+    assert sorted(kept, key=str) == sorted([(5, a), (5, b), (None, c)], key=str)
+    near = docs.selectExpr("doc_id", "if(doc_id = 9, concat(text, ' '), text) text", "map('k', text) extra")
+    assert sorted(r[:2] for r in simhash.first_of_each(near).collect() if r["doc_id"]) == [(5, a), (5, b)]
