@@ -5,8 +5,12 @@ for length, in full to the parent, half to the grandparent, less further up. A c
 sum is discounted by its link density (the share of its characters inside links). The best
 container is kept (the article around it, if there is one), with those of its siblings
 that score well or are text paragraphs. Menus, page headers and footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments are cut out by element and by the
-words of class, id and role before anything is scored.
+adverts, forms, scripts, styles and reader comments are cut out: by element and role before
+anything is scored, by the words of class and id only after the scores of the whole tree. An
+element with such a name stays, its points halved, if it holds the article or a first heading,
+or most of the points and no article or heading stands outside it; inside an article also if it
+has a paragraph and its name (`WEAK_WORDS`) may be that of a section. In a name, words
+behind `no`, `has`, `with` and the like do not count. If nothing is left, names are ignored.
 
 Character references are decoded, white space inside a block becomes one space, blocks
 are joined in page order by one space. Nothing else is dropped.
@@ -47,6 +51,13 @@ CUT_WORDS = frozenset(
     "footer foot header masthead topbar toolbar social share sharing related recommended comment comments disqus respond replies "
     "reply discussion reviews login search skip".split()
 )
+#: Those of them that also name sections of an article.
+WEAK_WORDS = frozenset(
+    "notice notices alert share sharing related recommended discussion reviews search respond replies reply login promotion "
+    "promoted consent subscription notification notifications navigation menu menus rail foot head header skip".split()
+)
+#: In a compound name the words behind these say what else the page has, or lacks.
+ABOUT = frozenset("no not non has have with without hide hides hidden".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 PARAGRAPHS = frozenset(("p", "td", "pre", "blockquote", "li", "dd", "div", "section", "article", "main", *HEADINGS))
 #: Elements whose start closes an open one of the same kind, up to the given containers.
@@ -60,6 +71,18 @@ ENDS_PARAGRAPH = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "c
 TOKENS = re.compile(r"[A-Za-z]+")
 BLANKS = re.compile(r"\s+")
 SIBLING_SHARE, SIBLING_CHARS, SIBLING_LINKS = 0.2, 80, 0.25
+UNLIKELY_SHARE = 0.5
+
+
+def _name_words(names: str) -> set[str]:
+    """The words of class or id names that speak of the element itself."""
+    found = set()
+    for name in names.split():
+        for word in TOKENS.findall(name.lower()):
+            if word in ABOUT:
+                break
+            found.add(word)
+    return found
 
 
 class Tree(HTMLParser):
@@ -68,6 +91,8 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.cut = ["#root"], [-1], [False]
+        #: The words of `CUT_WORDS` in an element's names.
+        self.names: list[set[str]] = [set()]
         self.open = [0]
         self.runs: list[tuple[int, int, str]] = []
         self.block = 0
@@ -93,20 +118,25 @@ class Tree(HTMLParser):
         parent = self.open[-1]
         self.tags.append(tag)
         self.parents.append(parent)
-        self.cut.append(self.cut[parent] or self._is_cut(tag, attrs))
+        inside = any(self.tags[i] in ("article", "main") for i in self.open)
+        self.cut.append(self.cut[parent] or self._is_cut(tag, attrs, inside))
+        self.names.append(self._unlikely(tag, attrs, inside))
         self.open.append(len(self.tags) - 1)
 
-    def _is_cut(self, tag, attrs) -> bool:
-        inside = any(self.tags[i] in ("article", "main") for i in self.open)
+    def _is_cut(self, tag, attrs, inside) -> bool:
         if tag in CUT or (tag == "header" and not inside):
             return True
         if tag in ("html", "body", "article", "main") or not attrs:
             return False
         known = dict(attrs)
-        if "hidden" in known or (known.get("role") or "").lower() in CUT_ROLES or known.get("aria-hidden") == "true":
-            return True
-        words = {w.lower() for name in ("class", "id") for w in TOKENS.findall(known.get(name) or "")}
-        return not words.isdisjoint(CUT_WORDS if not inside else CUT_WORDS - {"header"})
+        return "hidden" in known or (known.get("role") or "").lower() in CUT_ROLES or known.get("aria-hidden") == "true"
+
+    def _unlikely(self, tag, attrs, inside) -> set[str]:
+        if tag in ("html", "body", "article", "main") or not attrs:
+            return set()
+        known = dict(attrs)
+        words = {w for name in ("class", "id") for w in _name_words(known.get(name) or "")}
+        return words & (CUT_WORDS if not inside else CUT_WORDS - {"header"})
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -126,8 +156,8 @@ class Tree(HTMLParser):
             self.runs.append((self.open[-1], self.block, data))
 
 
-def _scores(tree: Tree) -> tuple[list[float], list[int]]:
-    """(score, characters) of every element."""
+def _scores(tree: Tree, gone: list[bool], share: list[float]) -> tuple[list[float], list[int], list[float]]:
+    """(score, characters, worth of its own text) of every element; share: what its points count."""
     size = len(tree.tags)
     chars, linked, commas = [0] * size, [0] * size, [0] * size
     owner: dict[int, int] = {}
@@ -136,7 +166,7 @@ def _scores(tree: Tree) -> tuple[list[float], list[int]]:
         in_link[i] = tree.tags[i] == "a" or in_link[tree.parents[i]]
     for node, _, text in tree.runs:
         count = len(text.strip())
-        if not count:
+        if not count or gone[node]:
             continue
         if node not in owner:
             up = node
@@ -147,11 +177,12 @@ def _scores(tree: Tree) -> tuple[list[float], list[int]]:
         chars[own] += count
         commas[own] += text.count(",")
         linked[own] += count * in_link[node]
-    points = [0.0] * size
+    points, worths = [0.0] * size, [0.0] * size
     for own in set(owner.values()):
         if own <= 0 or not chars[own]:
             continue
-        worth = (1 + commas[own] + min(chars[own] / 100, 3)) * (1 - linked[own] / chars[own])
+        worth = (1 + commas[own] + min(chars[own] / 100, 3)) * (1 - linked[own] / chars[own]) * share[own]
+        worths[own] = worth
         level, up = 1, tree.parents[own]
         if tree.tags[own] not in ("p", "pre", "li", "td", "dd", *HEADINGS):
             points[own] += worth  # text straight inside a container
@@ -162,7 +193,41 @@ def _scores(tree: Tree) -> tuple[list[float], list[int]]:
     for i in range(size - 1, 0, -1):
         total[tree.parents[i]] += total[i]
         total_linked[tree.parents[i]] += total_linked[i]
-    return [p * (1 - (total_linked[i] / total[i] if total[i] else 0)) for i, p in enumerate(points)], total
+    return [p * (1 - (total_linked[i] / total[i] if total[i] else 0)) for i, p in enumerate(points)], total, worths
+
+
+def _gone(tree: Tree) -> tuple[list[bool], list[float]]:
+    """Of every element, whether it goes for its names, and what its points count if not."""
+    size = len(tree.tags)
+    gone, share = [False] * size, [1.0] * size
+    if not any(tree.names):
+        return gone, share
+    held = _scores(tree, gone, share)[2]
+    paragraphs = [tree.tags[i] == "p" and held[i] > 0 for i in range(size)]
+    heads = [tree.tags[i] == "h1" and not tree.cut[i] for i in range(size)]
+    for i in range(size - 1, 0, -1):
+        up = tree.parents[i]
+        held[up] += held[i]
+        paragraphs[up] |= paragraphs[i]
+        heads[up] |= heads[i]
+    leads = [i for i in range(size) if tree.tags[i] == "article" and held[i] > 0] or [i for i in range(size) if tree.tags[i] == "main" and held[i] > 0]
+    up = max(leads, key=held.__getitem__, default=-1)
+    around = set()
+    while up > 0:
+        around.add(up)
+        up = tree.parents[up]
+    elsewhere = bool(leads) or heads[0]
+    inside = [False] * size
+    for i in range(1, size):
+        up = tree.parents[i]
+        inside[i] = inside[up] or tree.tags[up] in ("article", "main")
+        gone[i], share[i] = gone[up], share[up]
+        if tree.names[i]:
+            share[i] = UNLIKELY_SHARE
+            most = 2 * held[i] > held[0] and not elsewhere
+            section = inside[i] and paragraphs[i] and tree.names[i] <= WEAK_WORDS
+            gone[i] |= not (i in around or heads[i] or most or section)
+    return gone, share
 
 
 def extract(html: str | None) -> str:
@@ -174,7 +239,14 @@ def extract(html: str | None) -> str:
     tree.close()
     if not tree.runs:
         return ""
-    scores, chars = _scores(tree)
+    gone, share = _gone(tree)
+    text = _chosen(tree, gone, share)
+    return text if text or not any(gone) else _chosen(tree, [False] * len(gone), [1.0] * len(gone))
+
+
+def _chosen(tree: Tree, gone: list[bool], share: list[float]) -> str:
+    """The text of the best container and its good siblings, without elements that are gone."""
+    scores, chars, _ = _scores(tree, gone, share)
     best = max(range(len(scores)), key=scores.__getitem__)
     up = best
     while up > 0:  # the article around the best container is the whole of it
@@ -184,7 +256,7 @@ def extract(html: str | None) -> str:
     kept = {best}
     if best > 0 and tree.tags[best] not in ("article", "main", "body", "html"):
         for i in range(1, len(scores)):
-            if i == best or tree.parents[i] != tree.parents[best] or tree.cut[i]:
+            if i == best or tree.parents[i] != tree.parents[best] or tree.cut[i] or gone[i]:
                 continue
             text = tree.tags[i] == "p" and chars[i] >= SIBLING_CHARS
             if scores[i] >= SIBLING_SHARE * scores[best] or text or tree.tags[i] in HEADINGS:
@@ -195,7 +267,7 @@ def extract(html: str | None) -> str:
     blocks: list[list[str]] = []
     last = None
     for node, block, text in tree.runs:
-        if inside[node]:
+        if inside[node] and not gone[node]:
             if block != last:
                 blocks.append([])
                 last = block

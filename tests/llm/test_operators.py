@@ -247,6 +247,21 @@ def test_page_without_article_element():
     assert pages.extract(html) == "Title & more First, long paragraph, with commas, and words. Second one é."
 
 
+def test_page_with_names_of_other_parts_around_its_text():
+    body = "<p>First paragraph, with commas, and words.</p><p>Second one, longer than it.</p>"
+    text = "First paragraph, with commas, and words. Second one, longer than it."
+    for name in ("content no-sidebar", "layout-with-nav", "post has-comments", "sidebar", "comments", "content search"):
+        assert pages.extract(f"<body><div class='menu'><a href=/>Home</a></div><div class='{name}'>{body}</div></body>") == text
+        assert pages.extract(f"<body><div class='{name}'><article>{body}</article><div class='share'>Tell</div></div></body>") == text
+        assert pages.extract(f"<body><div class='{name}'><h1>T</h1>{body}</div></body>") == "T " + text
+    for name in ("id='discussion'", "class='reviews'", "class='search'", "class='notice'", "class='share'"):
+        assert pages.extract(f"<body><article>{body}<section {name}><h2>H</h2><p>More, of it.</p></section></article></body>") == text + " H More, of it."
+    reader = "<div class='comments'>" + "<p>Great, really, great, yes, so, great!</p>" * 9 + "</div>"
+    for page in (f"<article>{body}{reader}</article>", f"<div><h1>T</h1>{body}</div>{reader}", f"<article>{body}</article>{reader}"):
+        assert "Great" not in pages.extract(f"<body>{page}<div class=share><a href=/>Share</a></div></body>")
+    assert pages.extract("<body><div class='ad'><a href=/>Only this</a></div></body>") == "Only this"
+
+
 def test_bpe(spark, tables, hard, empty):
     import public_tokenizers
 
