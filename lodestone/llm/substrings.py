@@ -8,7 +8,9 @@ How the rows travel: a task first settles the windows it can (the least document
 hash within the task stays, the others are repeats already), so a passage that a third
 of all documents share is sent once per task and not once per document. What is left is
 packed into one binary row per target partition: 8 bytes of hash and about 2 of place
-for each window, which is a fifth of one row per window.
+for each window, which is a fifth of one row per window. Repeated windows go by a hash of
+doc_id and text, so rows with null or one equal doc_id are spread like any others; rows
+equal in both have the same windows and are sent once per task.
 
 Windows are compared by their hash. Two different windows agree with a probability of
 2**-64 for each pair that is compared (about 4e-4 for one wrong pair among all 130
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.flat import Words, slices
+from lodestone.llm.flat import Words, mix, slices
 from lodestone.llm.tables import parallelism, read, side
 
 WINDOW = 50
@@ -79,16 +81,26 @@ def _least(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _dealt(ids: np.ndarray, twins: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of a document, by its id and text."""
+    spread = mix(mix(ids.astype(np.uint64)) ^ twins.astype(np.uint64))
+    return (spread >> np.uint64(32)).astype(np.int64) * parts >> 32
+
+
 def _windows(parts: int, size: int):
     def send(ids, twins, hashes, docs, positions) -> Iterator[pa.RecordBatch]:
         """ids, twins: of each held document; docs: index of a window's document."""
         if not len(hashes):
             return
+        first = np.zeros(len(ids), dtype=bool)
+        first[np.unique(np.stack([ids, twins], axis=1), axis=0, return_index=True)[1]] = True
+        once = first[docs]
+        hashes, docs, positions = hashes[once], docs[once], positions[once]
         least = _least(hashes, ids[docs])
         target = (hashes >> np.uint64(32)).astype(np.int64) * parts >> 32
         rows = []
         for settled, chosen in ((False, np.flatnonzero(least)), (True, np.flatnonzero(~least))):
-            goes = target[chosen] if not settled else ids[docs[chosen]] % parts
+            goes = target[chosen] if not settled else _dealt(ids[docs[chosen]], twins[docs[chosen]], parts)
             chosen = chosen[np.argsort(goes, kind="stable")]
             goes = np.sort(goes)
             cuts = np.flatnonzero(np.concatenate([[True], goes[1:] != goes[:-1]])) if len(goes) else []
@@ -123,7 +135,7 @@ def _windows(parts: int, size: int):
 
 def _by_document(ids, twins, positions, parts: int) -> Iterator[pa.RecordBatch]:
     """Repeated windows, packed by the partition of their document."""
-    goes = ids % parts
+    goes = _dealt(ids, twins, parts)
     order = np.lexsort((positions, twins, ids, goes))
     goes, ids, twins, positions = goes[order], ids[order], twins[order], positions[order]
     cuts = np.flatnonzero(np.concatenate([[True], goes[1:] != goes[:-1]])) if len(goes) else []

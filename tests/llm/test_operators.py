@@ -1,6 +1,7 @@
 """Operators against brute force, on the smallest tables and on hard small rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from tokenizers import Tokenizer
@@ -64,6 +65,17 @@ def test_substring_dedup_keeps_rows_of_one_id_apart(spark):
     assert got == sorted([(1, 70, 0), (2, 71, 70), (2, 70, 70), (2, 70, 70), (None, 70, 70)], key=str)
 
 
+def test_repeated_windows_of_equal_ids_are_spread():
+    passage = " ".join(f"p{i}" for i in range(60))
+    for own in (None, 7, 16):
+        ids, texts = [own and own * (i + 1) if own == 16 else own for i in range(64)], [f"{passage} tail{i}" for i in range(64)]
+        batch = pa.RecordBatch.from_arrays([pa.array([0, *ids], pa.int64()), pa.array([passage, *texts]), pa.array(range(65), pa.int64())], ["doc_id", "text", "twin"])
+        sent = [r for b in substrings._windows(16, 50)([batch]) for r in b.to_pylist()]
+        assert len({r["part"] for r in sent if r["settled"]}) > 8
+        again = pa.Table.from_batches([batch, batch]).combine_chunks().to_batches()
+        assert sum(len(r["steps"]) for b in substrings._windows(16, 50)(again) for r in b.to_pylist()) == sum(len(r["steps"]) for r in sent)
+
+
 def test_simhash(spark, tables, hard, empty):
     got = set(rows(QUERIES["op8_simhash_near_dedup"](spark, FOLDER), "doc_id", "fingerprint", "component_id"))
     assert got == brute.simhash(tables["documents"])
