@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lodestone.llm.tables import shipped
 
-MODULES = ("lines", "substrings", "minhash", "decontaminate", "encoded", "pii", "language", "simhash", "pages", "bpe")
+MODULES = ("lines", "substrings", "minhash", "decontaminate", "encoded", "pii", "language", "simhash", "pages", "bpe", "whitening", "chat", "spelling")
 
 
 def _merged(attribute: str) -> dict:
