@@ -50,6 +50,8 @@ def _correction(matrix: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np
     """(correction, eigenvalues, least gap it can tell apart) of one Ogita-Aishima round."""
     defect = np.eye(len(matrix), dtype=WIDE) - vectors.T @ vectors
     product = vectors.T @ (matrix @ vectors)
+    # Symmetric to the last bit: else the correction of a close pair would not be a rotation.
+    defect, product = (defect + defect.T) / 2, (product + product.T) / 2
     values = np.diag(product) / (1 - np.diag(defect))
     off = product - np.diag(values)
     apart = 2 * (np.sqrt((off * off).sum()) + np.abs(matrix).sum(axis=0).max() * np.sqrt((defect * defect).sum()))
@@ -91,7 +93,8 @@ def eigenpairs(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             vectors[:, part] = own @ turn.astype(WIDE)
         if settled and turned < 1e-9:
             break
-    vectors = vectors / np.sqrt((vectors * vectors).sum(axis=0))
+    for _ in range(2):
+        vectors = vectors @ (1.5 * np.eye(len(scaled), dtype=WIDE) - 0.5 * (vectors.T @ vectors))
     values = np.einsum("ij,ij->j", vectors, scaled @ vectors) * largest
     order = np.argsort(-values, kind="stable")
     return values[order].astype(np.float64), vectors[:, order].astype(np.float64)
