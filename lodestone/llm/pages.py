@@ -6,11 +6,17 @@ sum is discounted by its link density (the share of its characters inside links)
 container is kept (the article around it, if there is one), with those of its siblings
 that score well or are text paragraphs. Menus, page headers and footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments are cut out: by element and role before
-anything is scored, by the words of class and id only after the scores of the whole tree. An
+anything is scored, forms and the words of class and id only after the scores of the whole tree. An
 element with such a name stays, its points halved, if it holds the article or a first heading,
 or most of the points and no article or heading stands outside it; inside an article also if it
 has a paragraph and its name (`WEAK_WORDS`) may be that of a section. In a name, words
 behind `no`, `has`, `with` and the like do not count. If nothing is left, names are ignored.
+A form is judged like such an element, so that one around the page is a container; only with
+`FORM_POINTS` or more can most of the points make it one, and it is never a section.
+
+Time and memory grow with the length of a page also where it is nested very deeply, closes
+elements that are not open, or ends inside tags: points halve at each ancestor until they add
+nothing, and the open elements of each name are known.
 
 Character references are decoded, white space inside a block becomes one space, blocks
 are joined in page order by one space. Nothing else is dropped.
@@ -24,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -40,10 +47,12 @@ BLOCKS = frozenset(
     "tfoot th thead tr ul".split()
 )
 CUT = frozenset(
-    "head script style noscript template nav footer aside form button select option textarea input label iframe object svg "
+    "head script style noscript template nav footer aside button select option textarea input label iframe object svg "
     "canvas audio video map dialog menu math title".split()
 )
-CUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
+#: Cut too, unless the tree says that it is a container.
+FORM = "form"
+CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar toolbar".split())
 CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion promoted "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay subscribe subscription newsletter signup "
@@ -72,6 +81,10 @@ TOKENS = re.compile(r"[A-Za-z]+")
 BLANKS = re.compile(r"\s+")
 SIBLING_SHARE, SIBLING_CHARS, SIBLING_LINKS = 0.2, 80, 0.25
 UNLIKELY_SHARE = 0.5
+FORM_POINTS = 4.0
+#: Points below this are not passed on.
+LEAST_POINTS = 1e-9
+COMMENT_END = re.compile(r"--\s*>")
 
 
 def _name_words(names: str) -> set[str]:
@@ -90,21 +103,41 @@ class Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tags, self.parents, self.cut = ["#root"], [-1], [False]
+        self.tags, self.parents, self.cut, self.inside = ["#root"], [-1], [False], [False]
         #: The words of `CUT_WORDS` in an element's names.
         self.names: list[set[str]] = [set()]
         self.open = [0]
+        #: Depths of the open elements of each name.
+        self.depths: dict[str, list[int]] = {}
         self.runs: list[tuple[int, int, str]] = []
         self.block = 0
+        self.last_comment_end = -1
+
+    def goahead(self, end):
+        if end and not self.cdata_elem and ">" not in self.rawdata:
+            # Nothing that is open here can end: all of it is text, looked at once.
+            if self.rawdata:
+                self.handle_data(unescape(self.rawdata))
+            self.rawdata = ""
+            return
+        self.last_comment_end = max((m.start() for m in COMMENT_END.finditer(self.rawdata)), default=-1)
+        super().goahead(end)
+
+    def parse_comment(self, i, report=1):
+        return super().parse_comment(i, report) if self.last_comment_end >= i else -1
+
+    def _deepest(self, names: tuple[str, ...]) -> int:
+        return max((held[-1] for name in names if (held := self.depths.get(name))), default=0)
+
+    def _close_from(self, depth: int) -> None:
+        for element in self.open[depth:]:
+            self.depths[self.tags[element]].pop()
+        del self.open[depth:]
 
     def _pop_to(self, names: tuple[str, ...], within: tuple[str, ...]) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.tags[self.open[depth]]
-            if tag in names:
-                del self.open[depth:]
-                return
-            if tag in within:
-                return
+        depth = self._deepest(names)
+        if depth and depth > self._deepest(within):
+            self._close_from(depth)
 
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_PARAGRAPH:
@@ -118,9 +151,11 @@ class Tree(HTMLParser):
         parent = self.open[-1]
         self.tags.append(tag)
         self.parents.append(parent)
-        inside = any(self.tags[i] in ("article", "main") for i in self.open)
+        inside = self.inside[parent] or self.tags[parent] in ("article", "main")
+        self.inside.append(inside)
         self.cut.append(self.cut[parent] or self._is_cut(tag, attrs, inside))
         self.names.append(self._unlikely(tag, attrs, inside))
+        self.depths.setdefault(tag, []).append(len(self.open))
         self.open.append(len(self.tags) - 1)
 
     def _is_cut(self, tag, attrs, inside) -> bool:
@@ -132,6 +167,8 @@ class Tree(HTMLParser):
         return "hidden" in known or (known.get("role") or "").lower() in CUT_ROLES or known.get("aria-hidden") == "true"
 
     def _unlikely(self, tag, attrs, inside) -> set[str]:
+        if tag == FORM or (attrs and (dict(attrs).get("role") or "").lower() == FORM):
+            return {FORM}
         if tag in ("html", "body", "article", "main") or not attrs:
             return set()
         known = dict(attrs)
@@ -146,10 +183,8 @@ class Tree(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.block += 1
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.tags[self.open[depth]] == tag:
-                del self.open[depth:]
-                return
+        if depth := self._deepest((tag,)):
+            self._close_from(depth)
 
     def handle_data(self, data):
         if not self.cut[self.open[-1]]:
@@ -183,12 +218,12 @@ def _scores(tree: Tree, gone: list[bool], share: list[float]) -> tuple[list[floa
             continue
         worth = (1 + commas[own] + min(chars[own] / 100, 3)) * (1 - linked[own] / chars[own]) * share[own]
         worths[own] = worth
-        level, up = 1, tree.parents[own]
+        part, up = worth, tree.parents[own]
         if tree.tags[own] not in ("p", "pre", "li", "td", "dd", *HEADINGS):
             points[own] += worth  # text straight inside a container
-        while up > 0:
-            points[up] += worth / level
-            level, up = level * 2, tree.parents[up]
+        while up > 0 and part > LEAST_POINTS:
+            points[up] += part
+            part, up = part / 2, tree.parents[up]
     total, total_linked = chars[:], linked[:]
     for i in range(size - 1, 0, -1):
         total[tree.parents[i]] += total[i]
@@ -217,15 +252,13 @@ def _gone(tree: Tree) -> tuple[list[bool], list[float]]:
         around.add(up)
         up = tree.parents[up]
     elsewhere = bool(leads) or heads[0]
-    inside = [False] * size
     for i in range(1, size):
         up = tree.parents[i]
-        inside[i] = inside[up] or tree.tags[up] in ("article", "main")
         gone[i], share[i] = gone[up], share[up]
         if tree.names[i]:
             share[i] = UNLIKELY_SHARE
-            most = 2 * held[i] > held[0] and not elsewhere
-            section = inside[i] and paragraphs[i] and tree.names[i] <= WEAK_WORDS
+            most = 2 * held[i] > held[0] and not elsewhere and (FORM not in tree.names[i] or held[i] >= FORM_POINTS)
+            section = tree.inside[i] and paragraphs[i] and tree.names[i] <= WEAK_WORDS
             gone[i] |= not (i in around or heads[i] or most or section)
     return gone, share
 
@@ -241,7 +274,12 @@ def extract(html: str | None) -> str:
         return ""
     gone, share = _gone(tree)
     text = _chosen(tree, gone, share)
-    return text if text or not any(gone) else _chosen(tree, [False] * len(gone), [1.0] * len(gone))
+    if text or not any(gone):
+        return text
+    forms = [False] * len(gone)
+    for i in range(1, len(gone)):  # the names are ignored, not what forms hold
+        forms[i] = forms[tree.parents[i]] or (gone[i] and FORM in tree.names[i])
+    return _chosen(tree, forms, [1.0] * len(gone))
 
 
 def _chosen(tree: Tree, gone: list[bool], share: list[float]) -> str:
