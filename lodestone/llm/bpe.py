@@ -9,10 +9,14 @@ A cut may fall inside a piece, so joins are repaired: the last pieces of the lef
 (`MARGIN` characters or more, which is further than the rule looks ahead) and the first
 pieces of the right side are split anew, and the window grows until both splittings agree
 on a boundary. From there on they are the same, since the rule reads left to right and
-looks back at nothing. Special tokens in a text are cut out first, as the library does.
+looks back at nothing. Chunks without a boundary inside (parts of one long run of letters,
+digits, marks or blanks) are put together again and split once, and pieces are encoded when
+all joins are made, so a long run is encoded once, as a whole. Special tokens in a text are
+cut out first, as the library does.
 
-What a worker remembers is bounded (`PIECES` and `CHUNK_CHARS`); it lives in the worker,
-so nothing is shuffled and a lost executor costs its own tasks only.
+What a worker remembers is bounded (`PIECES` of `encoded.LONGEST_KEPT` characters at most,
+and `CHUNK_CHARS`); it lives in the worker, so nothing is shuffled and a lost executor costs
+its own tasks only.
 
 Cases: null text counts as empty (no ids, empty text); repeated rows are encoded each;
 a null doc_id stays null.
@@ -75,18 +79,12 @@ class ChunkCoder:
             return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         return PIECE.findall(text)
 
-    def code(self, piece: str) -> bytes:
-        known = self.ids.new.get(piece)
-        if known is None:
-            self.ids.learn([piece])
-            known = self.ids.new[piece]
-        return known
-
     def learn(self, chunks: Iterable[bytes]) -> None:
         new = [(chunk, self.split(chunk.decode())) for chunk in set(chunks).difference(self.chunks)]
-        self.ids.learn(chain.from_iterable(pieces for _, pieces in new))
+        self.ids.learn(chain.from_iterable(pieces for _, pieces in new if len(pieces) > 1))
         for chunk, pieces in new:
-            self.chunks[chunk] = pieces, list(map(self.ids.new.__getitem__, pieces))
+            codes = list(map(self.ids.new.__getitem__, pieces)) if len(pieces) > 1 else None
+            self.chunks[chunk] = pieces, codes
             self.held += len(chunk)
 
     def forget(self) -> None:
@@ -94,9 +92,23 @@ class ChunkCoder:
         if self.held > CHUNK_CHARS:
             self.chunks, self.held = {}, 0
 
-    def join(self, pieces: list[str], codes: list[bytes], chunk: bytes) -> None:
-        """Append a chunk to the pieces of a text, splitting anew around the join."""
-        right, right_codes = self.chunks[chunk]
+    def parts(self, chunks: list[bytes]) -> Iterator[tuple[list[str], list[bytes | None]]]:
+        """(pieces, their codes) of the chunks of a text; neighbours without a boundary inside are one."""
+        run: list[bytes] = []
+        for chunk in [*chunks, None]:
+            pieces, codes = self.chunks[chunk] if chunk is not None else ((), ())
+            if codes is None:
+                run.append(chunk)
+                continue
+            if run:
+                whole = self.split(b"".join(run).decode()) if len(run) > 1 else self.chunks[run[0]][0]
+                yield whole, [None] * len(whole)
+                run = []
+            if pieces:
+                yield pieces, codes
+
+    def join(self, pieces: list[str], codes: list[bytes | None], right: list[str], right_codes: list[bytes | None]) -> None:
+        """Append a part to the pieces of a text, splitting anew around the join."""
         tail, size = len(pieces), 0
         while tail and size < MARGIN:
             tail -= 1
@@ -118,7 +130,7 @@ class ChunkCoder:
                     j += 1
             if a == b <= trusted:
                 pieces[tail:] = anew[:i]
-                codes[tail:] = map(self.code, anew[:i])
+                codes[tail:] = [None] * i
                 pieces += right[j:]
                 codes += right_codes[j:]
                 return
@@ -126,14 +138,17 @@ class ChunkCoder:
 
     def encode(self, chunks: list[bytes]) -> bytes:
         """32-bit ids of a text without special tokens, given as its chunks."""
-        if not chunks:
-            return b""
-        first, codes = self.chunks[chunks[0]]
-        if len(chunks) == 1:
-            return b"".join(codes)
-        pieces, codes = list(first), list(codes)
-        for chunk in chunks[1:]:
-            self.join(pieces, codes, chunk)
+        pieces: list[str] = []
+        codes: list[bytes | None] = []
+        for own, own_codes in self.parts(chunks):
+            if pieces:
+                self.join(pieces, codes, own, own_codes)
+            else:
+                pieces, codes = list(own), list(own_codes)
+        missing = [i for i, code in enumerate(codes) if code is None]
+        self.ids.learn(pieces[i] for i in missing)
+        for i in missing:
+            codes[i] = self.ids.new[pieces[i]]
         return b"".join(codes)
 
     def decode(self, ids: list[int]) -> str:

@@ -38,6 +38,8 @@ FILE_IDS = 1 << 20
 END_ID = 1
 #: Distinct words a worker remembers the ids of.
 WORDS_KEPT = 400_000
+#: Longer ones are not remembered beyond the texts at hand.
+LONGEST_KEPT = 256
 COUNTS = np.array([n for n, _ in FORMS] + [1], dtype=np.int64)
 
 
@@ -190,6 +192,7 @@ class WordIds:
         self.tokenizer.no_padding()
         self.new: dict[bytes | str, bytes] = {}
         self.old: dict[bytes | str, bytes] = {}
+        self.long: list[bytes | str] = []
 
     def learn(self, words: Iterable[bytes | str]) -> None:
         missing = []
@@ -203,6 +206,7 @@ class WordIds:
             part = missing[low : low + 20_000]
             coded = self.tokenizer.encode_batch_fast([w if isinstance(w, str) else w.decode() for w in part], add_special_tokens=False)
             self.new.update(zip(part, (np.array(x.ids, dtype="<u4").tobytes() for x in coded)))
+            self.long += [w for w in part if len(w) > LONGEST_KEPT]
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with *end* behind."""
@@ -213,6 +217,9 @@ class WordIds:
         return coded
 
     def forget(self) -> None:
+        for word in self.long:
+            del self.new[word]
+        self.long.clear()
         if len(self.new) > self.kept:
             self.old, self.new = self.new, {}
 
