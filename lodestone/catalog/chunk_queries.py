@@ -44,8 +44,8 @@ NL2 = "chr(10) || chr(10)"
 CLOSERS = "[.!?…][\"''»”’)\\]]*"
 FIT = f"length(a.cur) + 1 + length(x.cur) <= {MAX}"
 SQL_LINES = """all_lines AS (
-  SELECT document_id, line_no, line FROM md_lines
-  UNION ALL SELECT document_id, line_no + 1, under FROM md_lines),
+  SELECT document_id, line_no, line, CASE WHEN box <> 'html' THEN box END AS box FROM md_lines
+  UNION ALL SELECT document_id, line_no + 1, under, CASE WHEN box <> 'html' THEN box END FROM md_lines),
 fence_lines AS (
   SELECT document_id, unnest(list_reduce(list_prepend(
       {'open': '', 'run': '', 'bare': false, 'n': -1::BIGINT, 'at': CAST([] AS BIGINT[])}, list(c ORDER BY c.n)), lambda a, x:
@@ -62,7 +62,7 @@ fenced AS (
       SELECT l.*, f.line_no IS NOT NULL AS is_fence FROM all_lines l
       LEFT JOIN fence_lines f ON f.document_id = l.document_id AND f.line_no = l.line_no))),
 shaped AS (
-  SELECT *, NOT in_code AND regexp_matches(line, '^ {0,3}#{1,6}([ \\t]|$)') AS h,
+  SELECT *, NOT in_code AND box IS NULL AND regexp_matches(line, '^ {0,3}#{1,6}([ \\t]|$)') AS h,
     NOT in_code AND regexp_matches(line, '^ {0,3}(=+|-+)[ \\t]*$') AS shape FROM fenced),
 lined AS (
   SELECT *, shape AND coalesce(lag(NOT in_code AND NOT h AND NOT shape AND regexp_matches(line, '[^\\s\\p{Z}]')) OVER w, false) AS u,
@@ -85,9 +85,9 @@ blocks AS (
     row_number() OVER (PARTITION BY document_id, section_no ORDER BY start) AS block_no FROM (
     SELECT document_id, section_no, min(line_no) AS start, any_value(kind) AS kind,
       regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '{SQL_WS}+$', '') AS text
-    FROM (SELECT *, CASE WHEN in_code THEN 'code' WHEN shape AND line LIKE '%---%' THEN 'other' ELSE 'paragraph' END AS kind,
-            CASE WHEN in_code THEN -((fence_no + 1) // 2) ELSE line_no END AS place
-          FROM headed WHERE NOT in_heading AND (in_code OR regexp_matches(line, '[^\\s\\p{{Z}}]')))
+    FROM (SELECT *, CASE WHEN in_code THEN 'code' WHEN box IS NOT NULL THEN box WHEN shape AND line LIKE '%---%' THEN 'other' ELSE 'paragraph' END AS kind,
+            CASE WHEN in_code THEN -((fence_no + 1) // 2) WHEN box IS NOT NULL THEN 1000000000 + line_no // 2 ELSE line_no END AS place
+          FROM headed WHERE NOT in_heading AND (in_code OR box IS NOT NULL OR regexp_matches(line, '[^\\s\\p{{Z}}]')))
     GROUP BY document_id, section_no, place) WHERE text <> '')"""
 SQL_FRAGMENTS = SQL_BLOCKS + f""",
 failed AS (SELECT DISTINCT document_id FROM blocks WHERE kind = 'code' AND length(text) > {MAX}),
@@ -204,6 +204,20 @@ def blocks(spark, folder):
     return found.select("document_id", "section_no", "block_no", "kind", digests.sha256(F.col("text")).alias("sha"))
 
 
+@query(
+    "html_blocks",
+    d.with_sql(
+        "md_lines",
+        "SELECT document_id, section_no, block_no, CASE kind WHEN 'html' THEN 'other' ELSE kind END AS kind, sha256(text) AS sha FROM blocks",
+        SQL_BLOCKS.replace("CASE WHEN box <> 'html' THEN box END", "box"),
+    ),
+)
+def html_blocks(spark, folder):
+    """C5 with raw HTML as blocks: no heading inside a comment opens a section."""
+    found = structure.blocks(structure.analyze(d.markdown(spark, folder), html=True))
+    return found.select("document_id", "section_no", "block_no", "kind", digests.sha256(F.col("text")).alias("sha"))
+
+
 @query(
     "fit_block",
     d.with_sql(

@@ -62,12 +62,15 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 #: Lines 1 to 4 of a nested fence (number modulo 4) and the underlines of setext headings.
 NESTED = ("~~~~ ", "~~~~", "```", "~~~")
 UNDERLINES = ("===", "---", "")
+#: Containers around every seventh line of some documents, and the heading inside: by number modulo 11.
+BOXES = {7: ("list", "- ", "  ## in a list"), 9: ("quote", "> ", "> ## in a quote"), 2: ("html", "<!-- ", "## in a comment -->")}
 
 
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
     """document_id, content: the text with headings of both kinds, blank lines and fences.
 
-    Some fences hold shorter fences and fences of the other character.
+    Some fences hold shorter fences and fences of the other character; some list items,
+    quotes and comments hold headings.
     """
     docs = table(spark, folder, "documents")
 
@@ -75,10 +78,13 @@ def markdown(spark: SparkSession, folder: str) -> DataFrame:
         fence = (F.col("doc_id") % 11 == 0) & ((number == 1) | (number == 4))
         nested = (F.col("doc_id") % 11 == 4) & number.between(1, 4)
         under = F.when((number % 7 == 5) & (F.col("doc_id") % 3 < 2), pick(F.col("doc_id"), UNDERLINES))
+        start = F.when(fence, "```").when(nested, pick(number, NESTED))
+        for residue, (_, mark, heading) in BOXES.items():
+            boxed = (F.col("doc_id") % 11 == residue) & (number % 7 == 2)
+            start = start.when(boxed, F.concat(F.lit(mark), line))
+            under = F.when(boxed, heading).otherwise(under)
         return F.concat(
-            F.when(fence, "```")
-            .when(nested, pick(number, NESTED))
-            .when(number % 7 == 0, F.concat(F.lit("## "), line))
+            start.when(number % 7 == 0, F.concat(F.lit("## "), line))
             .when(number % 7 == 3, F.concat(F.lit("### "), line))
             .otherwise(line),
             F.lit("\n"),
@@ -105,8 +111,11 @@ SQL["docs"] = f"""docs AS (
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 SQL["md_lines"] = f"""md_lines AS (
   SELECT doc_id, 'doc-' || doc_id AS document_id, 2 * i AS line_no,
-    CASE WHEN i % 7 = 5 THEN {sql_pick("doc_id", UNDERLINES)} ELSE '' END AS under,
-    CASE WHEN doc_id % 11 = 0 AND i IN (1, 4) THEN '```'
+    CASE {"".join(f"WHEN doc_id % 11 = {n} AND i % 7 = 2 THEN '{b[2]}' " for n, b in BOXES.items())}
+         WHEN i % 7 = 5 THEN {sql_pick("doc_id", UNDERLINES)} ELSE '' END AS under,
+    CASE {"".join(f"WHEN doc_id % 11 = {n} AND i % 7 = 2 THEN '{b[0]}' " for n, b in BOXES.items())} END AS box,
+    CASE {"".join(f"WHEN doc_id % 11 = {n} AND i % 7 = 2 THEN '{b[1]}' || line " for n, b in BOXES.items())}
+         WHEN doc_id % 11 = 0 AND i IN (1, 4) THEN '```'
          WHEN doc_id % 11 = 4 AND i BETWEEN 1 AND 4 THEN {sql_pick("i", NESTED)}
          WHEN i % 7 = 0 THEN '## ' || line
          WHEN i % 7 = 3 THEN '### ' || line ELSE line END AS line

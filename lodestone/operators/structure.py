@@ -1,8 +1,7 @@
-"""Markdown structure as windows over lines: fences, headings, sections, blocks.
+"""Markdown structure: lines of documents, their headings, sections and blocks.
 
-The model is line based: ATX and setext headings, fences that close with their own
-character at their own length or more, thematic breaks, quotes, lists and blank-line
-blocks. Tables are read as text.
+`markdown_lines` tells what each line of a document is; a document is one row, so this
+needs no shuffle. Sections, heading paths and blocks are windows and groups over the lines.
 
 Every window is partitioned by document, so one shuffle by document id serves
 everything up to the finished chunks. A window task holds lines of one document;
@@ -11,25 +10,37 @@ no other key is ever collected.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
-from lodestone.functions.binding import let
+from lodestone.operators.markdown_lines import read_lines
 
 HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
-LIST_MARK = r"^ {0,3}(?:[-*+]|\d{1,9}[.)])(?:[ \t]|$)"
-QUOTE_MARK = r"^ {0,3}>"
-RULE_LINE = r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$"
-INDENTED = r"^(?: {2,}|\t)"
-CODE_INDENT = r"^(?: {4,}|\t)"
-UNDERLINE = r"^ {0,3}(?:=+|-+)[ \t]*$"
-# A fence with its lines: up to the first bare run of the same character that is at least
-# as long, or up to the end of the text. Backticks do not occur behind opening backticks.
-TICKS = r"(`{3,}+)[^`\n]*$", r"\n {0,3}\1`*[ \t]*"
-TILDES = r"(~{3,}+)[^\n]*$", r"\n {0,3}\2~*[ \t]*"
-FENCED = rf"(?smd)^ {{0,3}}(?:{TICKS[0]}(?:.*?{TICKS[1]}$|.*)|{TILDES[0]}(?:.*?{TILDES[1]}$|.*))"
-CLOSED = rf"(?smd)\A {{0,3}}(?:{TICKS[0]}.*?{TICKS[1]}\z|{TILDES[0]}.*?{TILDES[1]}\z)"
+LINES = pa.schema(
+    [
+        ("document_id", pa.string()),
+        ("line_no", pa.int32()),
+        ("line", pa.string()),
+        ("kind", pa.string()),
+        ("block_no", pa.int32()),
+        ("item_no", pa.int32()),
+        ("is_fence", pa.bool_()),
+        ("fence_no", pa.int32()),
+        ("heading_level", pa.int32()),
+        ("heading_text", pa.string()),
+        ("in_heading", pa.bool_()),
+    ]
+)
+LINES_SQL = (
+    "document_id string, line_no int, line string, kind string, block_no int, item_no int, is_fence boolean, "
+    "fence_no int, heading_level int, heading_text string, in_heading boolean"
+)
+#: Lines sent at once.
+BATCH = 20_000
 
 
 def explode_lines(documents: DataFrame) -> DataFrame:
@@ -48,147 +59,56 @@ def _so_far(*keys: str):
     )
 
 
-def mark_fences(documents: DataFrame) -> DataFrame:
-    """Lines with is_fence, fence_no (null outside) and in_code (a fence line or inside one).
+def _read(html: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = LINES.names[3:]
+        columns: list[list] = [[] for _ in LINES]
 
-    One pattern cuts a text into fences and what lies between them; the lines of both
-    are put together again in order. An unclosed fence reaches to the end of its text.
-    """
-    placed = documents.select("document_id", "content").repartition("document_id")
-    content = F.col("content")
-
-    def row(line: Column, is_fence: Column, number: Column) -> Column:
-        return F.struct(
-            line.alias("line"),
-            is_fence.alias("is_fence"),
-            number.cast("int").alias("fence_no"),
-            number.isNotNull().alias("in_code"),
-        )
+        def sent() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, LINES)], schema=LINES)
+            for column in columns:
+                column.clear()
+            return done
 
-    def outside(piece: Column, fences: Column, n: Column) -> Column:
-        """Lines of a piece; the line ends that touch a fence belong to no line of it."""
-        after, before = (n > 0).cast("int"), (n < fences).cast("int")
-        lines = let(
-            F.split(piece, "\n"), lambda all_: F.slice(all_, after + 1, F.size(all_) - after - before)
-        )
-        return F.transform(lines, lambda line: row(line, F.lit(False), F.lit(None)))
-
-    def inside(block: Column, n: Column) -> Column:
-        parts = F.struct(F.split(block, "\n").alias("lines"), block.rlike(CLOSED).alias("closed"))
-
-        def fence_line(whole: Column, i: Column) -> Column:
-            return (i == 0) | (whole["closed"] & (i == F.size(whole["lines"]) - 1))
-
-        return let(
-            parts,
-            lambda whole: F.transform(
-                whole["lines"], lambda line, i: row(line, fence_line(whole, i), n + 1)
-            ),
-        )
+        for batch in batches:
+            for document_id, content in zip(batch.column(0), batch.column(1)):
+                if not content.is_valid:
+                    continue
+                own_id = document_id.as_py()
+                for number, line in enumerate(read_lines(content.as_py(), html)):
+                    columns[0].append(own_id)
+                    columns[1].append(number)
+                    columns[2].append(line.text)
+                    for column, name in zip(columns[3:], names):
+                        column.append(getattr(line, name))
+                    if len(columns[0]) >= BATCH:
+                        yield sent()
+        if columns[0]:
+            yield sent()
 
-    fences = F.regexp_extract_all(content, F.lit(FENCED), F.lit(0))
-    rows = let(
-        F.struct(F.split(content, FENCED, -1).alias("between"), fences.alias("fences")),
-        lambda cut: F.flatten(
-            F.zip_with(
-                F.transform(cut["between"], lambda piece, n: outside(piece, F.size(cut["fences"]), n)),
-                F.transform(cut["fences"], inside),
-                lambda text, code: F.concat(text, F.coalesce(code, F.slice(text, 1, 0))),
-            )
-        ),
-    )
-    return placed.select("document_id", F.posexplode(rows).alias("line_no", "_l")).select(
-        "document_id", "line_no", "_l.*"
-    )
+    return run
 
 
-def _paragraphs(lines: DataFrame) -> DataFrame:
-    """Adds _para (a line of a paragraph), _under (an underline below one) and _par_no.
+def mark_lines(documents: DataFrame, html: bool = False) -> DataFrame:
+    """document_id, content -> one row a line with its kind, block, list item, fence and heading.
 
-    Underlines in a row take turns: the one after a heading is text again.
+    Columns: document_id, line_no, line; kind and block_no (null outside blocks), item_no (in
+    lists); is_fence, fence_no and in_code for fences outside lists and quotes; heading_level
+    and heading_text, and in_heading for all lines of a heading. A null content has no lines.
     """
-    order = Window.partitionBy("document_id").orderBy("line_no")
-    so_far = _so_far("document_id")
-    line, outside = F.col("line"), ~F.col("in_code")
+    rows = documents.select("document_id", "content").mapInArrow(_read(html), LINES_SQL)
+    atx = F.col("heading_level").isNotNull() & F.col("heading_text").isNull()
+    title = F.when(atx, t.strip(F.regexp_extract("line", HEADING, 2))).otherwise(F.col("heading_text"))
+    marked = rows.withColumn("heading_text", title).withColumn("in_code", F.col("fence_no").isNotNull())
+    return marked.repartition("document_id")
 
-    def before(name: str) -> Column:
-        return F.coalesce(F.lag(name).over(order), F.lit(False))
 
-    shape = lines.select(
-        "*",
-        (outside & line.rlike(HEADING)).alias("_atx"),
-        (outside & line.rlike(RULE_LINE)).alias("_rule"),
-        (outside & line.rlike(UNDERLINE)).alias("_shape"),
-    ).withColumn("_plain", outside & ~F.col("_atx") & ~F.col("_rule") & line.rlike(r"(?U)\S"))
-    first = F.col("_plain") & ~before("_plain")
-    mark = (
-        F.when(~outside, "code")
-        .when(F.col("_atx"), "heading")
-        .when(F.col("_rule"), "other")
-        .when(~F.col("_plain"), None)
-        .when(line.rlike(LIST_MARK) & (first | ~F.col("_shape")), "list")
-        .when(line.rlike(QUOTE_MARK), "quote")
-        .when(first & line.rlike(INDENTED), "indent")
-        .when(first, "paragraph")
-    )
-    anchor = F.last(F.when(F.col("_mark") != "indent", F.col("_mark")), ignorenulls=True).over(so_far)
-    indented = F.when(
-        F.coalesce(F.col("_anchor") != "list", F.lit(True)) & ~line.rlike(CODE_INDENT), "paragraph"
-    ).otherwise("indent")
-    state = F.last(
-        F.when(F.col("_mark") == "indent", indented).otherwise(F.col("_mark")), ignorenulls=True
-    ).over(so_far)
-    known = (
-        shape.withColumn("_mark", mark)
-        .withColumn("_anchor", anchor)
-        .withColumn("_para", F.col("_plain") & (state == "paragraph"))
-        .withColumn("_turn", F.col("_para") & F.col("_shape"))
-    )
-    other = F.when(~F.col("_turn"), F.struct("line_no", "_para"))
-    known = known.withColumn("_other", F.last(other, ignorenulls=True).over(so_far))
-    distance = F.col("line_no") - F.coalesce(F.col("_other.line_no"), F.lit(-1))
-    odd = F.coalesce(F.col("_other._para"), F.lit(False)).cast("int")
-    text_under = F.col("_turn") & (distance % 2 == odd)
-    known = known.withColumn("_text_under", text_under).withColumn(
-        "_open", F.col("_para") & ~F.col("_text_under")
-    )
-    under = F.col("_text_under") | (F.col("_rule") & F.col("_shape") & before("_open"))
-    known = known.withColumn("_under", under)
-    starts = F.col("_para") & ~before("_open")
-    return known.withColumn("_par_no", F.count(F.when(starts, 1)).over(so_far)).drop(
-        "_rule", "_shape", "_plain", "_mark", "_anchor", "_turn", "_other", "_text_under", "_open"
-    )
-
-
-def mark_headings(lines: DataFrame) -> DataFrame:
-    """Adds heading_level, heading_text (null on other lines) and in_heading.
+def mark_fences(documents: DataFrame) -> DataFrame:
+    """Lines with is_fence, fence_no (null outside) and in_code (a fence line or inside one).
 
-    A setext heading stands on its underline and takes the whole paragraph above as its
-    text; in_heading is true for these lines too, which are no content of any block.
+    An unclosed fence reaches to the end of its text.
     """
-    paragraph = Window.partitionBy("document_id", "_par_no")
-    known = _paragraphs(lines).withColumn("_headed", F.max("_under").over(paragraph))
-    title = F.when(F.col("_headed") & F.col("_para") & ~F.col("_under"), F.col("line"))
-    above = F.collect_list(title).over(
-        paragraph.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    atx, under = F.col("_atx"), F.col("_under")
-    depth = F.when(F.col("line").contains("="), 1).otherwise(2)
-    return (
-        known.withColumn("_above", above)
-        .withColumn(
-            "heading_level",
-            F.when(atx, F.length(F.regexp_extract("line", HEADING, 1))).when(under, depth),
-        )
-        .withColumn(
-            "heading_text",
-            F.when(atx, t.strip(F.regexp_extract("line", HEADING, 2))).when(
-                under, t.strip(F.array_join("_above", "\n"))
-            ),
-        )
-        .withColumn("in_heading", atx | under | (F.col("_headed") & F.col("_para")))
-        .drop("_atx", "_para", "_under", "_par_no", "_headed", "_above")
-    )
+    return mark_lines(documents).select("document_id", "line_no", "line", "is_fence", "fence_no", "in_code")
 
 
 def heading_path(lines: DataFrame) -> DataFrame:
@@ -225,126 +145,36 @@ def heading_path(lines: DataFrame) -> DataFrame:
     return marked.withColumn("heading_path", path).drop(*[f"_h{level}" for level in last])
 
 
-def _line_kinds(lines: DataFrame) -> DataFrame:
-    """Block kind of every content line, and whether a new block starts on it."""
-    section = Window.partitionBy("document_id", "section_no").orderBy("line_no")
-    so_far = section.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    line = F.col("line")
-    blank = ~F.col("in_code") & ~line.rlike(r"(?U)\S")
-    own_block = ~F.col("in_code") & line.rlike(RULE_LINE)
-    shaped = (
-        lines.filter(~F.col("in_heading"))
-        .withColumn("blank", blank)
-        .withColumn("code_no", F.col("fence_no"))
-        .withColumn("rule", own_block)
-        .withColumn("prev_blank", F.coalesce(F.lag("blank").over(section), F.lit(True)))
-        .withColumn("prev_code", F.lag("code_no").over(section))
-        .withColumn("prev_rule", F.coalesce(F.lag("rule").over(section), F.lit(False)))
-    )
-    plain = ~F.col("blank") & ~F.col("in_code")
-    run_start = plain & (
-        F.col("prev_blank") | F.col("prev_code").isNotNull() | F.col("prev_rule") | F.col("rule")
-    )
-    mark = (
-        F.when(~plain, None)
-        .when(F.col("rule") & run_start, "other")
-        .when(line.rlike(LIST_MARK), "list")
-        .when(line.rlike(QUOTE_MARK), "quote")
-        .when(run_start & line.rlike(INDENTED), "indent")
-        .when(run_start, "paragraph")
-    )
-    # An indented run after a list belongs to the list; anywhere else it is code or text.
-    anchor = F.last(
-        F.when(F.col("in_code"), "code").when(F.col("mark") != "indent", F.col("mark")),
-        ignorenulls=True,
-    ).over(so_far)
-    indent_kind = (
-        F.when(F.col("anchor") == "list", "list")
-        .when(line.rlike(CODE_INDENT), "code")
-        .otherwise("paragraph")
-    )
-    resolved = (
-        shaped.withColumn("mark", mark)
-        .withColumn("anchor", anchor)
-        .withColumn("mark", F.when(F.col("mark") == "indent", indent_kind).otherwise(F.col("mark")))
-        .withColumn("run_start", run_start)
-        .withColumn("state", F.last("mark", ignorenulls=True).over(so_far))
-    )
-    kind = F.when(F.col("in_code"), "code").otherwise(F.col("state"))
-    content = ~F.col("blank") | F.col("in_code")
-    listed = resolved.filter(content).withColumn("kind", kind)
-    prev_kind, prev_code = F.lag("kind").over(section), F.lag("code_no").over(section)
-    joins_list = (F.col("kind") == "list") & (F.col("prev_kind") == "list")
-    starts = (
-        F.col("prev_kind").isNull()
-        | (F.col("kind") != F.col("prev_kind"))
-        | ~F.col("code_no").eqNullSafe(F.col("prev_block_code"))
-        | (F.col("run_start") & ~joins_list)
-    )
-    return listed.withColumn("prev_kind", prev_kind).withColumn(
-        "prev_block_code", prev_code
-    ).withColumn("starts", starts)
-
-
 def blocks(lines: DataFrame) -> DataFrame:
     """One row per block: document_id, section_no, block_no, kind, text, units.
 
-    *units* are the top-level items of a list, in order; null for other kinds.
+    *units* are the top-level items of a list, in order; null for other kinds. Texts are
+    the lines as they stand, trimmed at the end.
     """
-    so_far = (
-        Window.partitionBy("document_id", "section_no")
-        .orderBy("line_no")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    numbered = _line_kinds(lines).withColumn("block_no", F.sum(F.col("starts").cast("int")).over(so_far))
-    item = (F.col("kind") == "list") & F.col("line").rlike(LIST_MARK)
-    numbered = numbered.withColumn("item_no", F.sum(item.cast("int")).over(so_far))
-    pieces = F.sort_array(F.collect_list(F.struct("line_no", "item_no", "line")))
-    grouped = numbered.groupBy("document_id", "section_no", "block_no").agg(
-        F.first("kind").alias("kind"), F.first("heading_path").alias("heading_path"),
-        pieces.alias("pieces"),
+    grouped = lines.filter(F.col("kind").isNotNull()).groupBy("document_id", "section_no", "block_no").agg(
+        F.first("kind").alias("kind"),
+        F.first("heading_path").alias("heading_path"),
+        F.sort_array(F.collect_list(F.struct("line_no", "item_no", "line"))).alias("pieces"),
     )
 
     def joined(rows: Column) -> Column:
-        """Lines with the blank lines between them put back."""
-        first = F.element_at(rows, 1)["line_no"]
-        seed = F.struct(first.alias("at"), F.lit("").alias("text"))
-        folded = F.aggregate(
-            rows,
-            seed,
-            lambda acc, row: F.struct(
-                row["line_no"].alias("at"),
-                F.concat(
-                    acc["text"],
-                    F.repeat(F.lit("\n"), (row["line_no"] - acc["at"]).cast("int")),
-                    row["line"],
-                ).alias("text"),
-            ),
-            lambda acc: acc["text"],
-        )
-        return t.rstrip(folded)
+        return t.rstrip(F.array_join(F.transform(rows, lambda row: row["line"]), "\n"))
 
-    # Only lists contain blank lines; every other block is a plain join of its lines.
-    text = F.when(F.col("kind") == "list", joined(F.col("pieces"))).otherwise(
-        t.rstrip(F.array_join(F.transform("pieces", lambda row: row["line"]), "\n"))
-    )
     numbers = F.array_distinct(F.transform("pieces", lambda row: row["item_no"]))
-    units = F.when(
-        F.col("kind") == "list",
-        F.transform(
-            numbers,
-            lambda number: joined(F.filter("pieces", lambda row: row["item_no"] == number)),
-        ),
+    units = F.transform(
+        numbers, lambda number: joined(F.filter("pieces", lambda row: row["item_no"] == number))
     )
-    return grouped.select(
+    found = grouped.select(
         "document_id", "section_no", "block_no", "kind", "heading_path",
-        text.alias("text"), units.alias("units"),
+        joined(F.col("pieces")).alias("text"), F.when(F.col("kind") == "list", units).alias("units"),
     ).filter(F.col("text") != "")
+    order = Window.partitionBy("document_id", "section_no").orderBy("block_no")
+    return found.withColumn("block_no", F.row_number().over(order))
 
 
-def analyze(documents: DataFrame) -> DataFrame:
-    """Lines of all documents with fences, headings, section numbers and paths."""
-    return heading_path(mark_headings(mark_fences(documents)))
+def analyze(documents: DataFrame, html: bool = False) -> DataFrame:
+    """Lines of all documents with blocks, headings, section numbers and paths."""
+    return heading_path(mark_lines(documents, html))
 
 
 def sections(documents: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import pytest
 
 from lodestone.operators import chunking, structure
+from lodestone.operators.markdown_lines import read_lines
 from lodestone.policies import ChunkingPolicy
 
 TEXT = """intro line
@@ -95,6 +96,89 @@ def test_fences_and_setext_headings(spark):
         assert [(r.heading_path, r.kind, r.text) for r in own] == expected, text
 
 
+CONTAINERS = [
+    ("- item\n  ## in list\n- two\n\n  para\n\n## top\n- a\n1. b", [
+        ([], "list", "- item\n  ## in list\n- two\n\n  para"), (["top"], "list", "- a"), (["top"], "list", "1. b")]),
+    ("> q\nlazy\n> ## h\n\n> next", [([], "quote", "> q\nlazy\n> ## h"), ([], "quote", "> next")]),
+    ("- a\n  ```\n  # x\n  ```\nend", [([], "list", "- a\n  ```\n  # x\n  ```"), ([], "paragraph", "end")]),
+    ("- a\n  ```\n# x\nend", [([], "list", "- a\n  ```"), (["x"], "paragraph", "end")]),
+    ("> ```\n> # x\nend", [([], "quote", "> ```\n> # x"), ([], "paragraph", "end")]),
+    ("1. a\n2. b\n\n   c\n\n       code\n- x\nlazy\n\nz", [
+        ([], "list", "1. a\n2. b\n\n   c\n\n       code"), ([], "list", "- x\nlazy"), ([], "paragraph", "z")]),
+    ("text\n2. no\n-\nhead", [(["text\n2. no"], "paragraph", "head")]),
+    ("text\n- yes", [([], "paragraph", "text"), ([], "list", "- yes")]),
+    ("-\n\n  foo", [([], "list", "-"), ([], "paragraph", "  foo")]),
+    ("-\n  foo", [([], "list", "-\n  foo")]),
+    ("- a\n\n\n- b\n***\n- c", [([], "list", "- a\n\n\n- b"), ([], "other", "***"), ([], "list", "- c")]),
+    ("- a\n* b", [([], "list", "- a"), ([], "list", "* b")]),
+    ("> - a\n> - b\nlazy\n- c", [([], "quote", "> - a\n> - b\nlazy"), ([], "list", "- c")]),
+    ("-\tx\n\n\ty\n\n    z", [([], "list", "-\tx\n\n\ty\n\n    z")]),
+    ("    code\n\n    more\npar\n    cont", [([], "code", "    code\n\n    more"), ([], "paragraph", "par\n    cont")]),
+    ("[a]: /u 'x'\n[b]: <c>\ntext", [([], "paragraph", "text")]),
+    ("| a | b |\n| - | - |\n| 1 | 2 |", [([], "paragraph", "| a | b |\n| - | - |\n| 1 | 2 |")]),
+]
+RAW_HTML = [
+    # text, without and with HTML blocks
+    ("<!--\n# hidden\n-->\ntext", [([], "paragraph", "<!--"), (["hidden"], "paragraph", "-->\ntext")], [([], "other", "<!--\n# hidden\n-->"), ([], "paragraph", "text")]),
+    ("<div>\n## inside\n</div>\n\n# out\nx", [([], "paragraph", "<div>"), (["inside"], "paragraph", "</div>"), (["out"], "paragraph", "x")],
+     [([], "other", "<div>\n## inside\n</div>"), (["out"], "paragraph", "x")]),
+    ("a\n<b>\n\n<i x='1'>\n# no\n\ny", [([], "paragraph", "a\n<b>"), ([], "paragraph", "<i x='1'>"), (["no"], "paragraph", "y")],
+     [([], "paragraph", "a\n<b>"), ([], "other", "<i x='1'>\n# no"), ([], "paragraph", "y")]),
+    ("<pre>\n\n# no\n</pre> t\nz", [([], "paragraph", "<pre>"), (["no"], "paragraph", "</pre> t\nz")], [([], "other", "<pre>\n\n# no\n</pre> t"), ([], "paragraph", "z")]),
+    ("- <!--\n  # no\n\n# yes\nz", [([], "list", "- <!--\n  # no"), (["yes"], "paragraph", "z")], [([], "list", "- <!--\n  # no"), (["yes"], "paragraph", "z")]),
+]
+
+
+def read_blocks(spark, texts, html=False):
+    found = structure.blocks(structure.analyze(frame(spark, *texts), html)).collect()
+    return [
+        [(r.heading_path, r.kind, r.text) for r in sorted((r for r in found if r.document_id == f"doc-{n}"), key=lambda r: (r.section_no, r.block_no))]
+        for n in range(len(texts))
+    ]
+
+
+def test_blocks_inside_lists_and_quotes_open_no_section(spark):
+    for (text, expected), got in zip(CONTAINERS, read_blocks(spark, [t for t, _ in CONTAINERS])):
+        assert got == expected, text
+
+
+def test_raw_html_is_text_unless_asked_for(spark):
+    texts = [t for t, _, _ in RAW_HTML]
+    for (text, plain, html), got, got_html in zip(RAW_HTML, read_blocks(spark, texts), read_blocks(spark, texts, True)):
+        assert (got, got_html) == (plain, html), text
+
+
+def test_items_are_the_direct_ones(spark):
+    text = "- outer\n  - inner one\n  - inner two\n\n  # in\n- second\nlazy\n\n- third"
+    row = structure.blocks(structure.analyze(frame(spark, text))).first()
+    assert row.units == ["- outer\n  - inner one\n  - inner two\n\n  # in", "- second\nlazy", "- third"]
+
+
+def test_every_line_is_kept_and_blocks_do_not_mix():
+    rng = random.Random(11)
+    parts = ["# h", "text", "", "> q", "- a", "  b", "1. c", "```", "---", "    d", "\t e", "> - f", "<!--", "-->", "<div>", "===", "[x]: y", "*", "2) g"]
+    for _ in range(3000):
+        text = "\n".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 2))) for _ in range(rng.randint(0, 12)))
+        for html in (False, True):
+            lines = read_lines(text, html)
+            assert "\n".join(line.text for line in lines) == text
+            last, seen = None, set()
+            for line in lines:
+                if line.heading_level:
+                    seen = set()
+                assert not (line.in_heading and line.kind)
+                assert line.kind or line.in_heading or not line.text.strip() or line.text.lstrip().startswith("[x]"), text
+                if line.kind and (line.kind, line.block_no) != last:
+                    assert line.block_no not in seen, text
+                    seen.add(line.block_no)
+                last = (line.kind, line.block_no) if line.kind else last if not line.heading_level else None
+
+
+def test_long_documents_take_time_in_proportion():
+    for text in ("- " * 3000, "> " * 3000 + "x", "\n".join(["- a"] * 20_000), "\n".join(["x"] * 50_000) + "\n---"):
+        assert "\n".join(line.text for line in read_lines(text)) == text
+
+
 def test_fence_lines_follow_a_plain_scan(spark):
     rng = random.Random(3)
     parts = ["```", "````", "~~~", "~~~~~", "``` py", "~~~ js", "text", "", "   ```", "    ```", "``` `", "# h"]
