@@ -176,9 +176,17 @@ def similarity_join(spark, folder):
 
 @query("similarity_join_grid", sql("SELECT query_id, id, rank, round(score, 6) AS score FROM matches"))
 def similarity_join_grid(spark, folder):
-    """The same with both sides laid out on the grid of cells."""
+    """The same with three blocks of queries, each with its copy of the records."""
     public = retrieval.public_only(index(spark, folder))
-    found = retrieval.similarity_join(query_vectors(spark, folder), public, POLICY.top_k, 64, broadcast_bytes=0)
+    found = retrieval.similarity_join(query_vectors(spark, folder), public, POLICY.top_k, 64, query_blocks=3)
+    return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("similarity_join_few", sql("SELECT query_id, id, rank, round(score, 6) AS score FROM matches"))
+def similarity_join_few(spark, folder):
+    """The same with the queries sent to every task."""
+    public = retrieval.public_only(index(spark, folder))
+    found = retrieval.similarity_join_few(query_vectors(spark, folder), public, POLICY.top_k)
     return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 

@@ -12,13 +12,17 @@ from pyspark.sql.types import StructType
 
 from lodestone.functions import text as t
 from lodestone.functions import vectors
+from lodestone.functions.binding import let
 from lodestone.policies import RetrievalPolicy
 
 SCORE_DIGITS = 12
-BROADCAST_BYTES = 64 * 1024 * 1024
+#: Scores are rounded, so a bound this little below the k-th best score may still reach it.
+SLACK = 1e-9
 BLOCK_QUERIES = 1024
-CELL_QUERIES = 16_384
-CELL_RECORDS = 16_384
+#: Records compared at once: at most, and at least where the direction changes.
+BLOCK_RECORDS = 4096
+LEAST_RECORDS = 64
+FEW_QUERIES = 50_000
 
 
 # --- filters ------------------------------------------------------------------
@@ -70,42 +74,65 @@ def cap_per_document(matches: DataFrame, window: int, per_document: int, k: int)
 
 
 # --- similarity join ----------------------------------------------------------
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
-    """Per query the positions of its k best (score desc, id asc)."""
-    chosen = []
-    for row in scores:
-        if len(row) > k:
-            edge = np.partition(row, len(row) - k)[len(row) - k]
-            near = np.flatnonzero(row >= edge)
-        else:
-            near = np.arange(len(row))
-        order = np.lexsort((ids[near], -row[near]))
-        chosen.append(near[order[:k]])
-    return chosen
-
-
-def _score(query_vectors: np.ndarray, batch: pd.DataFrame, query_ids, k: int) -> pd.DataFrame:
-    ids = batch["id"].to_numpy()
-    scores = np.round(query_vectors @ np.stack(batch["embedding"].to_numpy()).T, SCORE_DIGITS) + 0.0
-    picked = _best(scores, ids, k)
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(query_ids, [len(p) for p in picked]),
-            "id": np.concatenate([ids[p] for p in picked]),
-            "score": np.concatenate([scores[n][p] for n, p in enumerate(picked)]),
-        }
-    )
-
-
-def _score_blocks(query_vectors: np.ndarray, batch: pd.DataFrame, query_ids, k: int) -> pd.DataFrame:
-    starts = range(0, len(query_ids), BLOCK_QUERIES)
-    blocks = [slice(at, at + BLOCK_QUERIES) for at in starts]
-    return pd.concat([_score(query_vectors[b], batch, query_ids[b], k) for b in blocks])
+class Scan:
+    """The k best records of every query over blocks of records, with blocks skipped exactly.
 
+    A block has a centre and a radius, the greatest angle between the centre and a record.
+    No record of it scores more than the cosine of (angle to the centre - radius), so a
+    block is compared only with queries whose k-th best score so far is not above that.
+    """
 
-def _merge(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    rows = pd.concat(parts).sort_values(["query_id", "score", "id"], ascending=[True, False, True])
-    return rows.groupby("query_id", sort=False).head(k)
+    def __init__(self, query_ids: Sequence, query_vectors: np.ndarray, k: int):
+        self.query_ids, self.vectors, self.k = query_ids, query_vectors, k
+        self.scores: list[np.ndarray] = [np.zeros(0)] * len(query_ids)
+        self.ids: list[np.ndarray] = [np.zeros(0, dtype=object)] * len(query_ids)
+        #: The k-th best score of each query.
+        self.least = np.full(len(query_ids), -np.inf)
+        #: (query, record) pairs scored, and pairs that were skipped.
+        self.compared = self.skipped = 0
+
+    def bounds(self, block: np.ndarray) -> np.ndarray:
+        """What no score of a query with this block exceeds."""
+        centre = block.mean(axis=0)
+        length = np.linalg.norm(centre)
+        if length < 1e-9:
+            return np.full(len(self.vectors), np.inf)
+        centre /= length
+        radius = np.arccos(np.clip(block @ centre, -1.0, 1.0)).max()
+        angles = np.arccos(np.clip(self.vectors @ centre, -1.0, 1.0))
+        most = np.cos(np.maximum(angles - radius, 0.0))
+        # A vector of no length has the score 0 and no angle.
+        zero = (np.abs(block).max(axis=1) == 0).any()
+        return np.where(np.abs(self.vectors).max(axis=1) == 0, 0.0, np.maximum(most, 0.0) if zero else most)
+
+    def add(self, ids: np.ndarray, block: np.ndarray) -> None:
+        for low in range(0, len(self.vectors), BLOCK_QUERIES):
+            near = np.flatnonzero(self.bounds(block)[low : low + BLOCK_QUERIES] >= self.least[low : low + BLOCK_QUERIES] - SLACK) + low
+            self.skipped += (min(BLOCK_QUERIES, len(self.vectors) - low) - len(near)) * len(ids)
+            self.compared += len(near) * len(ids)
+            if not len(near):
+                continue
+            found = np.round(self.vectors[near] @ block.T, SCORE_DIGITS) + 0.0
+            for place, row in zip(near.tolist(), found):
+                kept = np.flatnonzero(row >= self.least[place])
+                if not len(kept):
+                    continue
+                scores = np.concatenate([self.scores[place], row[kept]])
+                own = np.concatenate([self.ids[place], ids[kept]])
+                order = np.lexsort((own, -scores))[: self.k]
+                self.scores[place], self.ids[place] = scores[order], own[order]
+                if len(order) == self.k:
+                    self.least[place] = scores[order[-1]]
+
+    def result(self) -> pd.DataFrame:
+        counts = [len(scores) for scores in self.scores]
+        return pd.DataFrame(
+            {
+                "query_id": np.repeat(np.asarray(self.query_ids, dtype=object), counts),
+                "id": np.concatenate(self.ids) if counts else [],
+                "score": np.concatenate(self.scores) if counts else [],
+            }
+        )
 
 
 def _output_schema(queries: DataFrame, index: DataFrame) -> StructType:
@@ -117,79 +144,112 @@ def _output_schema(queries: DataFrame, index: DataFrame) -> StructType:
     )
 
 
-def similarity_join(
-    queries: DataFrame, index: DataFrame, k: int, dimensions: int,
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """queries(query_id, embedding) x index(id, embedding) -> query_id, id, score, rank.
-
-    Exact. Vectors are scaled to length one, scores are blocks of matrix products
-    inside tasks and only the k best per query leave a task. A query set whose
-    measured size is under *broadcast_bytes* goes to every task and the index is not
-    shuffled; a larger one is laid out with the index on a grid of bounded cells.
-    """
-    q = queries.select("query_id", vectors.unit(F.col("embedding")).alias("embedding"))
-    records = index.select("id", vectors.unit(F.col("embedding")).alias("embedding"))
-    limit = max(1, broadcast_bytes // (8 * dimensions + 64))
-    head = q.limit(limit + 1).toPandas()
-    if len(head) <= limit:
-        scored = _join_broadcast(head, records, _output_schema(queries, index), k)
-    else:
-        scored = _join_grid(q, records, _output_schema(queries, index), k)
-    return top_k(scored, k)
+def _direction(vector: Column) -> Column:
+    """The axis, with its sign, that a vector is closest to: near vectors mostly share it."""
 
+    def of(sizes: Column) -> Column:
+        at = F.array_position(sizes, F.array_max(sizes)).cast("int")
+        return at * 2 + (F.element_at(vector, at) < 0).cast("int")
 
-def _join_broadcast(
-    queries: pd.DataFrame, records: DataFrame, schema: StructType, k: int
-) -> DataFrame:
-    if queries.empty:
-        return records.sparkSession.createDataFrame([], schema)
-    shared = records.sparkSession.sparkContext.broadcast(
-        (queries["query_id"].to_numpy(), np.stack(queries["embedding"].to_numpy()))
-    )
+    return F.when(F.size(vector) > 0, let(F.transform(vector, lambda v: F.abs(v)), of)).otherwise(0)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, query_vectors = shared.value
-        best: pd.DataFrame | None = None
-        for batch in batches:
-            if batch.empty:
-                continue
-            found = _score_blocks(query_vectors, batch, query_ids, k)
-            best = found if best is None else _merge([best, found], k)
-        if best is not None:
-            yield best
 
-    return records.mapInPandas(score, schema)
+def similarity_join(
+    queries: DataFrame, index: DataFrame, k: int, dimensions: int, query_blocks: int = 1
+) -> DataFrame:
+    """queries(query_id, embedding) x index(id, embedding) -> query_id, id, score, rank.
 
+    Exact, and one plan: nothing runs while it is built. Vectors are scaled to length one.
+    Records are dealt evenly over the shuffle partitions by a hash of their id and sorted by
+    direction inside; every partition gets all queries and streams its records past them in
+    blocks (`Scan`), which are skipped for queries they cannot improve. Only the k best per
+    query leave a task. A task holds one block of queries: choose *query_blocks* so that
+    this fits (each block has its own copy of the records).
+    """
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    schema = _output_schema(queries, index)
 
-def _join_grid(q: DataFrame, records: DataFrame, schema: StructType, k: int) -> DataFrame:
-    """Cells of (query block, record group), both hashed evenly over unique ids."""
-    groups = max(1, -(-records.count() // CELL_RECORDS))
-    query_blocks = max(1, -(-q.count() // CELL_QUERIES))
+    def everywhere(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
     def spread(column: str, count: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
 
-    left = q.select(
-        spread("query_id", query_blocks).alias("b"),
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"),
-        "query_id",
-        "embedding",
-    )
-    right = records.select(
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("b"),
-        spread("id", groups).alias("g"),
-        "id",
-        "embedding",
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields}
+    vector = vectors.unit(F.col("embedding")).alias("embedding")
+    left = queries.select(
+        spread("query_id", query_blocks).alias("b"), everywhere(parts).alias("p"), F.lit(-1).alias("cell"),
+        "query_id", none["id"], vector,
     )
+    right = index.select(everywhere(query_blocks).alias("b"), spread("id", parts).alias("p"), "id", vector)
+    right = right.select("b", "p", _direction(F.col("embedding")).alias("cell"), none["query_id"], "id", "embedding")
+    placed = left.union(right).repartition(parts * query_blocks, "b", "p").sortWithinPartitions("b", "p", "cell", "id")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, asked, held, running = None, [], [], None
+
+        def cell_done() -> None:
+            if held and running is not None:
+                rows = pd.concat(held)
+                running.add(rows["id"].to_numpy(dtype=object), np.stack(rows["embedding"].to_numpy()))
+            held.clear()
+
+        def started() -> Scan | None:
+            rows = pd.concat(asked) if asked else None
+            asked.clear()
+            if rows is None:
+                return None
+            return Scan(rows["query_id"].tolist(), np.stack(rows["embedding"].to_numpy()), k)
 
-    def score(block: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
-        if block.empty or cell.empty:
-            return pd.DataFrame({name: [] for name in schema.names})
-        query_vectors = np.stack(block["embedding"].to_numpy())
-        return _score_blocks(query_vectors, cell, block["query_id"].to_numpy(), k)
+        for batch in batches:
+            for (b, p, cell), rows in batch.groupby(["b", "p", "cell"], sort=False):
+                if (b, p) != group:
+                    cell_done()
+                    if running is not None:
+                        yield running.result()
+                    group, running, last = (b, p), None, None
+                    asked.clear()
+                if cell < 0:
+                    asked.append(rows)
+                    continue
+                if asked:
+                    running = started()
+                if sum(map(len, held)) >= (BLOCK_RECORDS if cell == last else LEAST_RECORDS):
+                    cell_done()
+                last = cell
+                held.append(rows)
+        cell_done()
+        if running is not None:
+            yield running.result()
+
+    return top_k(placed.mapInPandas(scan, schema), k)
+
+
+def similarity_join_few(queries: DataFrame, index: DataFrame, k: int, most: int = FEW_QUERIES) -> DataFrame:
+    """The same for at most *most* queries, which the caller knows to be few.
+
+    They are read while the plan is built and sent to every task, so the index is not shuffled.
+    More of them are refused.
+    """
+    rows = queries.select("query_id", vectors.unit(F.col("embedding")).alias("embedding")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} queries: use similarity_join")
+    schema = _output_schema(queries, index)
+    if not rows:
+        return queries.sparkSession.createDataFrame([], schema.add("rank", "int"))
+    asked = [r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], dtype=float)
+    shared = queries.sparkSession.sparkContext.broadcast(asked)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        running = Scan(*shared.value, k)
+        for batch in batches:
+            for low in range(0, len(batch), BLOCK_RECORDS):
+                rows = batch.iloc[low : low + BLOCK_RECORDS]
+                running.add(rows["id"].to_numpy(dtype=object), np.stack(rows["embedding"].to_numpy()))
+        yield running.result()
 
-    return left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInPandas(score, schema)
+    records = index.select("id", vectors.unit(F.col("embedding")).alias("embedding"))
+    return top_k(records.mapInPandas(scan, schema), k)
 
 
 # --- retrieval ----------------------------------------------------------------

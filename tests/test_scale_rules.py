@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,13 +114,45 @@ def test_streaks_do_not_depend_on_the_span(spark):
     assert whole[-1] == (2, 49, 50)
 
 
-def test_grid_equals_broadcast_with_ties(spark):
+def test_blocks_that_cannot_help_are_skipped():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 16))
+    data = np.concatenate([c + 0.05 * rng.normal(size=(200, 16)) for c in centres])
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    ids = np.array([f"r{n}" for n in range(len(data))], dtype=object)
+    queries = data[rng.choice(len(data), 300, replace=False)]
+    scan = retrieval.Scan(list(range(300)), queries, 5)
+    for low in range(0, len(data), 100):
+        scan.add(ids[low : low + 100], data[low : low + 100])
+    assert scan.compared + scan.skipped == 300 * len(data) and scan.skipped > 0.5 * 300 * len(data)
+    got = scan.result().groupby("query_id")["id"].apply(list).to_dict()
+    scores = np.round(queries @ data.T, retrieval.SCORE_DIGITS)
+    for n in range(300):
+        assert got[n] == ids[np.lexsort((ids, -scores[n]))[:5]].tolist()
+
+
+def test_nothing_runs_while_the_join_is_planned(spark):
+    index = spark.range(50).selectExpr("id", "array(double(id), 1.0D) as embedding")
+    # A query that fails when it runs.
+    queries = spark.range(5).selectExpr("id as query_id", "array(double(raise_error('ran')), 1.0D) as embedding")
+    found = retrieval.similarity_join(queries, index, 3, 2)
+    with pytest.raises(Exception, match="ran"):
+        found.collect()
+    with pytest.raises(ValueError, match="more than 2 queries"):
+        retrieval.similarity_join_few(index.withColumnRenamed("id", "query_id"), index, 3, most=2)
+    empty = index.limit(0)
+    assert retrieval.similarity_join(empty.withColumnRenamed("id", "query_id"), index, 3, 2).collect() == []
+    assert retrieval.similarity_join(index.withColumnRenamed("id", "query_id"), empty, 3, 2).collect() == []
+
+
+def test_blocks_of_queries_agree_with_ties(spark):
     data = [(n, [float(n % 5), 1.0, 0.0]) for n in range(300)] + [(999, [0.0, 0.0, 0.0])]
     index = spark.createDataFrame(data, "id long, embedding array<double>")
     queries = index.withColumnRenamed("id", "query_id")
     one = retrieval.similarity_join(queries, index, 4, 3).collect()
-    two = retrieval.similarity_join(queries, index, 4, 3, broadcast_bytes=0).collect()
-    assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+    two = retrieval.similarity_join(queries, index, 4, 3, query_blocks=3).collect()
+    few = retrieval.similarity_join_few(queries, index, 4).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two)) == sorted(map(tuple, few))
     ties = sorted((r["rank"], r.id) for r in one if r.query_id == 0)
     assert [i for _, i in ties] == [0, 5, 10, 15]
     assert [r.score for r in one if r.query_id == 999] == [0.0] * 4
