@@ -275,6 +275,13 @@ def projected_cost(spark, folder):
     return done.select("run_id", "position", "seen", F.round("projected", 6).alias("projected"), "band", "over_budget")
 
 
+@query("projected_cost_spans", SQL_PROJECTED)
+def projected_cost_spans(spark, folder):
+    """The same with runs cut into short spans, each with what it needs of those before."""
+    done = cost.projected_cost(records(spark, folder), 400, 20.0, BUDGET, span=700)
+    return done.select("run_id", "position", "seen", F.round("projected", 6).alias("projected"), "band", "over_budget")
+
+
 # --- ledger lines -----------------------------------------------------------------------
 def ledger_lines(spark, folder):
     """Every event as one ledger line; some lines are damaged, blank or incomplete."""

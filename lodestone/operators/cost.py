@@ -8,16 +8,13 @@ output_tokens, max_output_tokens, finish_reason, http_attempts. Null tokens mean
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
 from datetime import date
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import constants as k
-from lodestone.operators import order_statistics
+from lodestone.operators import order_statistics, running_median
 from lodestone.policies import BudgetPolicy, ContextPolicy, CostProfile
 
 def usage_reported() -> Column:
@@ -300,24 +297,15 @@ def projected_cost(
     policy: BudgetPolicy = BudgetPolicy(),
     known: float = 0.0,
     reserve_overridden: bool = False,
+    span: int = running_median.SPAN,
 ) -> DataFrame:
     """After every question: what the whole run will have cost, and whether to stop.
 
     costs(run_id, position, cost). The rate blends the median of the run's own
-    questions with the forecast, own weight n / (n + 5). The running median streams
-    through each sorted run with two heaps; only costs are kept, never rows.
+    questions with the forecast, own weight n / (n + 5). A run is cut into spans of
+    *span* positions that go to different tasks; see `running_median`.
     """
-    run_type = costs.schema["run_id"].dataType.simpleString()
-    position_type = costs.schema["position"].dataType.simpleString()
-    ordered = (
-        costs.select("run_id", "position", F.col("cost").cast("double").alias("cost"))
-        .repartition("run_id")
-        .sortWithinPartitions("run_id", "position")
-    )
-    running = ordered.mapInPandas(
-        _running_cost,
-        f"run_id {run_type}, position {position_type}, cost double, seen bigint, spent double, own_median double",
-    )
+    running = running_median.running(costs, span)
     weight = F.col("seen") / (F.col("seen") + k.GUARD_PRIOR_WEIGHT)
     rate = weight * F.col("own_median") + (1 - weight) * forecast_per_question
     remaining = F.greatest(F.lit(total_questions) - F.col("seen"), F.lit(0))
@@ -330,22 +318,3 @@ def projected_cost(
         .withColumn("band", cost_band(F.col("projected"), policy.daily_budget))
         .withColumn("over_budget", over)
     )
-
-
-def _running_cost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Count, sum and median so far; batches arrive sorted by run and position."""
-    run, low, high, spent = None, [], [], 0.0
-    for batch in batches:
-        seen, total, median = [], [], []
-        for run_id, cost in zip(batch["run_id"], batch["cost"], strict=True):
-            if run_id != run:
-                run, low, high, spent = run_id, [], [], 0.0
-            # low is a max-heap (negated) of the smaller half, high a min-heap of the rest.
-            heapq.heappush(high, -heapq.heappushpop(low, -cost))
-            if len(high) > len(low):
-                heapq.heappush(low, -heapq.heappop(high))
-            spent += cost
-            seen.append(len(low) + len(high))
-            total.append(spent)
-            median.append(-low[0] if len(low) > len(high) else (high[0] - low[0]) / 2)
-        yield batch.assign(seen=seen, spent=total, own_median=median)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.catalog import derived, retrieval_queries
-from lodestone.operators import chunking, context, cost, indexing, order_statistics, retrieval
+from lodestone.operators import chunking, context, cost, indexing, order_statistics, retrieval, running_median
 from lodestone.sources import index_table
 from lodestone.policies import EmbeddingSpec
 
@@ -103,6 +103,35 @@ def test_the_running_median_of_the_guard():
             assert Middle(dict(middle.counts)).median() == middle.median()
 
 
+@pytest.mark.parametrize("kind", ["distinct", "ties", "rising", "one value"])
+def test_running_medians_over_spans(spark, kind):
+    rng = random.Random(9)
+    draw = {
+        "distinct": lambda n: rng.lognormvariate(0, 2), "ties": lambda n: float(rng.choice([1, 1, 1, 2, 3, 50])),
+        "rising": lambda n: float(n), "one value": lambda n: 4.0,
+    }[kind]
+    data = [("long", n * 3, draw(n)) for n in range(1500)] + [("short", n, draw(n)) for n in range(7)] + [(None, 5, 2.0)]
+    rows = spark.createDataFrame(data, "run_id string, position int, cost double").repartition(5)
+    for span in (40, 1000, 10_000):
+        got = {}
+        for r in running_median.running(rows, span).collect():
+            got.setdefault(r.run_id, []).append((r.position, r.seen, r.spent, r.own_median))
+        for run in ("long", "short"):
+            costs = [c for name, _, c in data if name == run]
+            own = sorted(got[run])
+            assert [(seen, median) for _, seen, _, median in own] == [(n, statistics.median(costs[:n])) for n in range(1, len(costs) + 1)]
+            assert own[-1][2] == pytest.approx(sum(costs))
+        assert got[None] == [(5, 1, 2.0, 2.0)]
+
+
+def test_a_span_gets_little_of_a_long_run(spark):
+    rows = spark.range(60_000).selectExpr("'r' as run_id", "id as position", "double(pmod(xxhash64(id), 1000000007)) as cost")
+    spanned = rows.withColumn("_span", F.floor(F.col("position") / 1000).cast("long"))
+    spans = spanned.groupBy("run_id", "_span").agg(F.count(F.lit(1)).alias("_n")).withColumn("_n_before", F.col("_span") * 1000)
+    near = running_median._around_the_middle(spanned, spans).groupBy("_span").agg(F.sum("c").alias("c"))
+    assert near.agg(F.max("c")).first()[0] < 60_000 / 8
+
+
 def test_streaks_do_not_depend_on_the_span(spark):
     rng = random.Random(2)
     data = [(1, n, rng.choice(["timeout", "timeout", None])) for n in range(400)] + [(2, n, "timeout") for n in range(50)]
