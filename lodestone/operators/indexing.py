@@ -172,15 +172,26 @@ def list_state(index: DataFrame) -> DataFrame:
     return index.select(*[c for c in STATE if c in index.columns]).orderBy("id")
 
 
-def synchronized(plan: DataFrame, index: DataFrame, embedded: DataFrame, spec: EmbeddingSpec) -> DataFrame:
-    """The next version of the index: plan, stored vectors and new vectors put together."""
-    space = identity.space_literal(spec)
+def changed_records(plan: DataFrame, index: DataFrame, embedded: DataFrame, spec: EmbeddingSpec) -> DataFrame:
+    """The records of a plan that are new or differ, with their vectors."""
     written = assign_vectors(plan, embedded).unionByName(
         reuse_vectors(plan, index), allowMissingColumns=True
     )
-    records = written.select(
-        "id", space.alias("spec"), *WANTED, F.col("embedding").cast("array<double>")
+    return written.select(
+        "id", identity.space_literal(spec).alias("spec"), *WANTED, F.col("embedding").cast("array<double>")
     )
+
+
+def deleted_records(plan: DataFrame, index: DataFrame) -> DataFrame:
+    """(id, document_id) of the records that a plan deletes."""
+    gone = plan.filter(F.col("action") == "delete").select("id")
+    return index.select("id", F.col("metadata.document_id").alias("document_id")).join(gone, "id", "left_semi")
+
+
+def synchronized(plan: DataFrame, index: DataFrame, embedded: DataFrame, spec: EmbeddingSpec) -> DataFrame:
+    """The next version of the index: plan, stored vectors and new vectors put together."""
+    space = identity.space_literal(spec)
+    records = changed_records(plan, index, embedded, spec)
     kept = index.join(
         plan.filter(F.col("action") == "unchanged").select("id"), "id", "left_semi"
     ).select("id", space.alias("spec"), *WANTED, F.col("embedding").cast("array<double>"))

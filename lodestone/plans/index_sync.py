@@ -20,7 +20,9 @@ def sync_index(
 ) -> DataFrame:
     """Plan, embed what changed, write and commit the next version; returns counts by action.
 
-    A second run over the same corpus plans nothing and writes nothing. The plan and
+    A second run over the same corpus plans nothing and writes nothing; a small change
+    writes the buckets of the documents it touches. When another writer commits in between,
+    this one is refused (`index_table.ConcurrentWrite`). The plan and
     the new vectors are staged: both feed several branches, and the provider must not be
     asked twice.
     """
@@ -46,7 +48,12 @@ def sync_index(
     bad = problems.limit(1).collect()
     if bad:
         raise ValueError(f"embedding {bad[0].embedding_fingerprint}: {bad[0].problem}")
-    index_table.write_index(indexing.synchronized(plan, index, made, spec), root, spec)
+    if found is None or rebuild:
+        index_table.write_index(indexing.synchronized(plan, index, made, spec), root, spec, base=found)
+        return counts
+    puts = stage(indexing.changed_records(plan, index, made, spec), "puts")
+    deletes = stage(indexing.deleted_records(plan, index), "deletes")
+    index_table.update_index(puts, deletes, root, spec, found)
     return counts
 
 

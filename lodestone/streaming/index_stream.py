@@ -1,8 +1,7 @@
-"""Continuous index sync: every micro-batch of documents becomes one set of changes.
+"""Continuous index sync: every micro-batch of documents becomes one version of the index table.
 
-A batch writes puts and deletes for the documents it touches; nothing else is
-rewritten. The live index is the newest change per record, and compact() folds the
-changes into a committed version.
+A batch reads and writes only the buckets of the documents it holds. The number of the last
+batch stands in the manifest, so a batch that comes again changes nothing.
 """
 
 from __future__ import annotations
@@ -12,31 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators import chunking, embeddings, indexing
-from lodestone.operators.identity import space_literal
+from lodestone.plans.index_sync import empty_index
 from lodestone.policies import ChunkingPolicy, EmbeddingSpec
 from lodestone.session import stage
 from lodestone.sources import index_table
 
 
-def _changes(spark: SparkSession, root: str) -> DataFrame | None:
-    try:
-        return spark.read.option("basePath", f"{root}/changes").parquet(f"{root}/changes")
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
+def live_index(spark: SparkSession, root: str) -> DataFrame | None:
+    """The newest state of every record; null before the first batch."""
+    if index_table.current_version(spark, root) is None:
         return None
-
-
-def live_index(spark: SparkSession, root: str, before_batch: int | None = None) -> DataFrame | None:
-    """Newest state of every record that was not deleted; null before the first batch."""
-    changes = _changes(spark, root)
-    if changes is None:
-        return None
-    if before_batch is not None:
-        changes = changes.filter(F.col("batch") < before_batch)
-    fields = [c for c in changes.columns if c not in ("id", "batch")]
-    newest = changes.groupBy("id").agg(F.max_by(F.struct(*fields), "batch").alias("r"))
-    return newest.select("id", "r.*").filter(F.col("change") == "put").drop("change")
+    return index_table.read_index(spark, root)
 
 
 def apply_batch(
@@ -46,13 +31,18 @@ def apply_batch(
     spec: EmbeddingSpec,
     provider: embeddings.Embedder,
     policy: ChunkingPolicy = ChunkingPolicy(),
+    stream: str = "documents",
 ) -> None:
-    """Write the changes of one batch. Replaying a batch writes the same files again.
+    """Commit the changes of one batch; a batch of *stream* that is part of the index is left out.
 
     When a document comes twice in a batch, its row with the greatest fingerprint wins,
     so that every replay decides alike.
     """
     spark = documents.sparkSession
+    found = index_table.current_version(spark, root)
+    known = index_table.manifest(spark, root, found) if found else None
+    if known and known.batches.get(stream, -1) >= batch_id:
+        return
     fields = [c for c in documents.columns if c != "document_id"]
     latest = (
         documents.groupBy("document_id")
@@ -61,31 +51,23 @@ def apply_batch(
     )
     docs = stage(latest, "batch")
     desired = indexing.desired_state(chunking.chunk_corpus(docs, policy), spec)
-    index = live_index(spark, root, before_batch=batch_id)
-    if index is None:
-        actual = desired.filter(F.lit(False)).select(
-            "id", space_literal(spec).alias("spec"), *indexing.WANTED,
-            F.lit(None).cast("array<double>").alias("embedding"),
-        )
-    else:
-        actual = index.join(
-            docs.select("document_id"),
-            F.col("metadata.document_id") == docs["document_id"],
-            "left_semi",
-        )
+    if known is None:
+        empty = empty_index(desired, spec)
+        found = index_table.write_index(empty, root, spec, base=None)
+        known = index_table.manifest(spark, root, found)
+    bucket = index_table.bucket_of(F.col("document_id"), known.buckets)
+    touched = {r["b"] for r in docs.select(bucket.alias("b")).distinct().collect()}
+    actual = index_table.read_index(spark, root, found, touched).join(
+        docs.select("document_id"), F.col("metadata.document_id") == docs["document_id"], "left_semi"
+    )
     plan = stage(indexing.plan_index(desired, actual), "plan")
     needed = indexing.embeddings_required(plan)
     made = stage(
         embeddings.embed(needed, "embedding_fingerprint", "embedding_text", provider), "vectors"
     )
-    written = plan.filter(F.col("action").isin("create", "reembed", "metadata_update"))
-    next_rows = indexing.synchronized(plan, actual, made, spec)
-    puts = next_rows.join(written.select("id"), "id", "left_semi").withColumn("change", F.lit("put"))
-    gone = plan.filter(F.col("action") == "delete").select("id", F.lit("delete").alias("change"))
-    indexing.require_valid_vectors(puts, spec)
-    puts.unionByName(gone, allowMissingColumns=True).write.mode("overwrite").parquet(
-        f"{root}/changes/batch={batch_id}"
-    )
+    puts = stage(indexing.changed_records(plan, actual, made, spec), "puts")
+    deletes = stage(indexing.deleted_records(plan, actual), "deletes")
+    index_table.update_index(puts, deletes, root, spec, found, (stream, batch_id))
 
 
 def stream_index_sync(
@@ -100,19 +82,19 @@ def stream_index_sync(
     """documents is a stream of new and changed documents (the input of chunk_corpus).
 
     A file stream does not see removed files: deleting whole documents stays with the
-    batch job.
+    batch job. One stream writes to *root*; it is named by its checkpoint.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch, batch_id, root, spec, provider, policy)
+        apply_batch(batch, batch_id, root, spec, provider, policy, checkpoint)
 
     writer = documents.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def compact(spark: SparkSession, root: str, target: str, spec: EmbeddingSpec) -> int:
-    """Commit the live index as a new version of the index table."""
+    """Write the live index whole, as a new version of the index table *target*."""
     live = live_index(spark, root)
     if live is None:
         raise ValueError(f"no changes under {root}")
-    return index_table.write_index(live, target, spec)
+    return index_table.write_index(live.drop("visibility"), target, spec)

@@ -82,12 +82,55 @@ def test_stream_equals_batch(spark, folder):
     wanted = indexing.desired_state(chunking.chunk_corpus(now), SPEC)
     assert counts(indexing.plan_counts(indexing.plan_index(wanted, live))) == {"unchanged": 3}
     before = sorted(map(repr, live.collect()))
-    index_stream.apply_batch(two, 1, root, SPEC, provider)
+    version = index_table.current_version(spark, root)
+    index_stream.apply_batch(two, 1, root, SPEC, provider, stream=folder + "/checkpoint")
+    assert index_table.current_version(spark, root) == version
+    index_stream.apply_batch(two, 0, root, SPEC, provider, stream="another")
     assert sorted(map(repr, index_stream.live_index(spark, root).collect())) == before
     index_stream.compact(spark, root, folder + "/table", SPEC)
     assert index_table.read_index(spark, folder + "/table").count() == 3
 
 
+def record(name, document, size):
+    return name, {"visibility": "public", "document_id": document}, [float(size)] * 2
+
+
+RECORDS = "id string, metadata struct<visibility:string,document_id:string>, embedding array<double>"
+
+
+def test_a_change_of_one_row_leaves_other_buckets(spark, folder):
+    spec = EmbeddingSpec("tables", "given", 2)
+    rows = spark.createDataFrame([record(f"d{n}--0", f"d{n}", n) for n in range(60)], RECORDS)
+    none = spark.createDataFrame([], "id string, document_id string")
+    assert index_table.write_index(rows, folder, spec, buckets=8) == 1
+    puts = spark.createDataFrame([record("d7--0", "d7", 100), record("d7--1", "d7", 101)], RECORDS)
+    assert index_table.update_index(puts, none, folder, spec, base=1) == 2
+    one, two = (index_table.manifest(spark, folder, v).folders for v in (1, 2))
+    assert sum(one[b] != two[b] for b in one) == 1 and set(one) == set(two)
+    stored = {r.id: r.embedding[0] for r in index_table.read_index(spark, folder).collect()}
+    assert len(stored) == 61 and (stored["d7--0"], stored["d7--1"], stored["d8--0"]) == (100.0, 101.0, 8.0)
+    gone = rows.select("id", "metadata.document_id")
+    assert index_table.update_index(puts.limit(0), gone, folder, spec, base=2) == 3
+    assert [r.id for r in index_table.read_index(spark, folder).collect()] == ["d7--1"]
+    assert index_table.update_index(puts.limit(0), none, folder, spec, base=3) == 4
+    assert index_table.read_index(spark, folder, 1).count() == 60
+
+
+def test_a_second_writer_is_refused(spark, folder):
+    spec = EmbeddingSpec("tables", "given", 2)
+    rows = spark.createDataFrame([record("a--0", "a", 1)], RECORDS)
+    none = spark.createDataFrame([], "id string, document_id string")
+    index_table.write_index(rows, folder, spec)
+    assert index_table.update_index(rows, none, folder, spec, base=1) == 2
+    with pytest.raises(index_table.ConcurrentWrite, match="version 2"):
+        index_table.update_index(rows, none, folder, spec, base=1)
+    with pytest.raises(index_table.ConcurrentWrite, match="version 1"):
+        index_table.write_index(rows, folder, spec, base=None)
+    assert index_table.current_version(spark, folder) == 2
+    with pytest.raises(ValueError, match="no committed version 9"):
+        index_table.read_index(spark, folder, 9)
+
+
 def test_guard_stream_equals_batch(spark, folder):
     tables = "/root/testdata/sf0.001"
     key = "spark.sql.streaming.stateStore.providerClass"
