@@ -95,9 +95,14 @@ def signatures(values: DataFrame) -> DataFrame:
     return deleted.select((F.col("i").cast("long") * F.lit(1 << SEGMENT_BITS) + rest).alias("key"), "fp")
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bits differ; of a signed number numpy would count those of its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _forest(members: np.ndarray) -> list[tuple[int, int]]:
     """(member, least member it is linked to) inside one bucket of sorted fingerprints."""
-    near = np.bitwise_count(members[:, None] ^ members[None, :]) <= DISTANCE
+    near = differing(members[:, None], members[None, :]) <= DISTANCE
     label = np.arange(len(members))
     while True:
         least = np.where(near, label[None, :], len(members)).min(axis=1)
@@ -115,7 +120,7 @@ def _bucket_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(starts, len(keys)))
         two = starts[sizes == 2]
-        near = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= DISTANCE]
+        near = two[differing(fps[two], fps[two + 1]) <= DISTANCE]
         left, right = [fps[near + 1]], [fps[near]]
         large = []
         for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
@@ -185,6 +190,11 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = stage(fingerprints(docs, id_col, text_col), "simhash")
     found = stage(rows.join(_placed(rows), "fp").select("doc_id", "twin", "component"), "simhash-groups")
+    return keep_one_of_each(docs, found, id_col, text_col)
+
+
+def keep_one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of *docs* for each component of *found* (doc_id, twin, component), chosen as above."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "twin")
     first = found.groupBy("component").agg(F.min(order).alias("first")).select("first.doc_id", "first.twin", F.lit(0).alias("n"), F.lit(True).alias("stays"))
     counts = found.select("doc_id", "twin", F.lit(1).alias("n"), F.lit(False).alias("stays")).union(first)
