@@ -241,3 +241,12 @@ def leaks(rows, items):
                 if score >= (0.5 if len(own) >= 8 else 1.0):
                     out.add((d, i))
     return out
+
+
+def near_copies(rows, least=0.8):
+    """(doc_id, least doc_id reachable over pairs of texts with a five-word similarity of *least* or more)."""
+    sets = {}
+    for d, t in rows:
+        words = (t or "").encode().lower().split()
+        sets[d] = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    return components(sets, lambda a, b: len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]))

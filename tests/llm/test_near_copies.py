@@ -57,7 +57,7 @@ def test_a_large_family_is_one_group(spark):
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "One  two"), (5, "one two three four five six"), (None, "one two"), (None, "alone é"), (7, "x " * 50_000), (8, "x " * 50_001), (9, "y")]
     kept = sorted((str(r["doc_id"]), (r["text"] or "")[:3]) for r in near_copies.one_of_each(frame(spark, rows)).collect())
-    assert kept == sorted([("1", ""), ("3", " \n"), ("4", "one"), ("5", "one"), ("None", "alo"), ("7", "x x"), ("9", "y")])
+    assert kept == sorted([("1", ""), ("4", "one"), ("5", "one"), ("None", "alo"), ("7", "x x"), ("9", "y")])
     assert near_copies.one_of_each(frame(spark, rows).limit(0)).collect() == []
 
 

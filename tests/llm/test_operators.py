@@ -305,7 +305,7 @@ def test_pipeline_stages(spark, hard, empty):
             found = stage(spark, docs, FOLDER)
             assert found.columns == docs.columns and found.dtypes == docs.dtypes
     kept = {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, hard, FOLDER).collect()}
-    part = {d: c for d, _, c in brute.simhash(HARD)}
+    part = brute.near_copies(HARD)
     assert kept == {d for d in part if part[d] == d}
     twice = hard.union(hard)
     assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, twice, FOLDER).collect()) == sorted(kept)
@@ -316,7 +316,7 @@ def test_pipeline(spark, tables):
     ids = [r["doc_id"] for r in got]
     assert len(set(ids)) == len(ids) and set(ids) <= {d for d, _ in tables["documents"]}
     leaked = {d for d, _ in brute.leaks(tables["documents"], tables["benchmark"])}
-    copies = {d for d, _, c in brute.simhash(tables["documents"]) if c != d}
+    copies = {d for d, c in brute.near_copies(tables["documents"]).items() if c != d}
     assert {d for d, _ in tables["documents"]} - set(ids) <= leaked | copies
 
 
