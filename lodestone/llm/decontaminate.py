@@ -1,17 +1,20 @@
 """Documents that hold test items: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are compared without case and punctuation. Of every item, each place gives one seed:
-the shortest n-gram from there, of 3 to 8 words, whose words meet by chance at most once in
-1 / `CHANCE` places by their shares of the corpus, which are counted over all documents.
-Seeds join documents to items; hits that predict about the same place are one candidate,
-and the item is aligned with the words around it. The score is the alignment's over that
-of a whole copy; `LEAST_SCORE` decides, so edited, shortened and extended copies count.
+Words are compared without case and punctuation. Of every item, each place gives one rare
+seed: the shortest n-gram from there, of 3 to 8 words, whose words meet by chance at most
+once in 1 / `CHANCE` places by their shares of the corpus, which are counted over all
+documents. Leaks raise these shares and edits break long n-grams, so each place also gives
+three short seeds, of three words in a row and with one left out (`SHORT_SEEDS`). Seeds join
+documents to items; hits that predict about the same place are one candidate, if one of them
+is rare or two short ones agree, and the item is aligned with the words around it. The score
+is the alignment's over that of a whole copy; it must reach `needed(words)`, a half from eight
+words on and more for fewer, so edited, shortened and extended copies count.
 
 Documents are never shuffled: the seeds of at most `PASS_BYTES` of item text are sent to
 every executor, and a larger benchmark takes several passes over the documents.
 
-Cases: null or wordless texts and items match nothing; items of fewer than `SHORT` words
-count only as whole copies; a null doc_id or item_id is returned as null; repeated rows are
+Cases: null or wordless texts and items match nothing; items of four words or fewer
+count only as whole copies, those of five or six with one word changed; a null doc_id or item_id is returned as null; repeated rows are
 reported each; without items or documents the result is empty.
 """
 
@@ -31,7 +34,10 @@ from lodestone.llm.tables import read
 SEED_WORDS = (3, 8)
 CHANCE = 1e-9
 MATCH, MISMATCH, GAP = 2, -1, -1
-LEAST_SCORE, SHORT = 0.5, 8
+LEAST_SCORE, MORE_A_WORD = 0.5, 0.075
+#: Places of the words of a short seed.
+SHORT_SEEDS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+SHORT_BASE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 PASS_BYTES = 8 << 20
 FILTER_BITS = 20
 BATCH_CELLS = 4_000_000
@@ -58,6 +64,24 @@ def words_of(texts: list[str]) -> tuple[Words, np.ndarray]:
     return words, words.hashes()
 
 
+def needed(sizes: np.ndarray) -> np.ndarray:
+    """The least score of an item by its words: falls with each word, down to `LEAST_SCORE`."""
+    return np.maximum(LEAST_SCORE, 1 - MORE_A_WORD * (sizes - 1))
+
+
+def short_seeds(words: Words, hashes: np.ndarray, shape: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the short seeds of one shape, inside texts."""
+    places = SHORT_SEEDS[shape]
+    size = len(hashes) - places[-1]
+    if size <= 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    value = np.full(size, shape, dtype=np.uint64)
+    for base, place in zip(SHORT_BASE, places):
+        value += hashes[place : place + size] * base
+    starts = np.flatnonzero(words.rows[:size] == words.rows[places[-1] :])
+    return starts, mix(value[starts])
+
+
 def _count(vocabulary):
     """Occurrences of the given word hashes, and of all words under hash 0 (as null)."""
 
@@ -85,9 +109,18 @@ class Items:
         self.words, self.hashes = words_of(texts)
         self.firsts, self.counts = self.words.firsts, self.words.counts
         self.vocabulary = np.unique(self.hashes)
+        #: By length for rare seeds, by -1 - shape for short ones.
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.filters: dict[int, np.ndarray] = {}
 
+    def _enter(self, kind: int, hashes: np.ndarray, at: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        rows = self.words.rows[at[order]]
+        self.seeds[kind] = hashes[order], rows, at[order] - self.firsts[rows]
+        table = np.zeros(1 << FILTER_BITS, dtype=bool)
+        table[hashes >> np.uint64(64 - FILTER_BITS)] = True
+        self.filters[kind] = table
+
     def choose(self, shares: np.ndarray) -> None:
         """Seeds from the share of each word of the vocabulary in the corpus."""
         logs = np.log(np.maximum(shares, 1e-12))[np.searchsorted(self.vocabulary, self.hashes)] if len(self.hashes) else np.zeros(0)
@@ -111,26 +144,24 @@ class Items:
         prefixes = prefix(self.hashes, WINDOW_BASE)
         for n in np.unique(size[size > 0]).tolist():
             at = np.flatnonzero(size == n)
-            hashes = mix(ranges(prefixes, at, at + n, WINDOW_BASE) + np.uint64(n))
-            order = np.argsort(hashes)
-            rows = self.words.rows[at[order]]
-            self.seeds[n] = hashes[order], rows, at[order] - self.firsts[rows]
-            table = np.zeros(1 << FILTER_BITS, dtype=bool)
-            table[hashes >> np.uint64(64 - FILTER_BITS)] = True
-            self.filters[n] = table
-
-    def hits(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word of a hit, item, place in the item)."""
+            self._enter(n, mix(ranges(prefixes, at, at + n, WINDOW_BASE) + np.uint64(n)), at)
+        for shape in range(len(SHORT_SEEDS)):
+            at, hashes = short_seeds(self.words, self.hashes, shape)
+            if len(at):
+                self._enter(-1 - shape, hashes, at)
+
+    def hits(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first word of a hit, item, place in the item, whether the seed is rare)."""
         out = []
         for n, (seeds, items, places) in self.seeds.items():
-            starts, found = words.windows(hashes, n)
+            starts, found = words.windows(hashes, n) if n > 0 else short_seeds(words, hashes, -1 - n)
             maybe = np.flatnonzero(self.filters[n][found >> np.uint64(64 - FILTER_BITS)])
             low, high = np.searchsorted(seeds, found[maybe]), np.searchsorted(seeds, found[maybe], "right")
             many = high - low
             seed = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            out.append((np.repeat(starts[maybe], many), items[seed], places[seed]))
+            out.append((np.repeat(starts[maybe], many), items[seed], places[seed], np.full(len(seed), n > 0)))
         if not out:
-            return (np.zeros(0, dtype=np.int64),) * 3
+            return (np.zeros(0, dtype=np.int64),) * 4
         return tuple(map(np.concatenate, zip(*out)))
 
 
@@ -175,16 +206,20 @@ def found_in(known: Items, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[
     """(row, item) -> (score, place of the item's first word in the text) of the items in a slice."""
     words = Words(lowered(data), offsets, SEPARATORS)
     hashes = words.hashes()
-    at, item, place = known.hits(words, hashes)
+    at, item, place, rare = known.hits(words, hashes)
     if not len(at):
         return {}
     row, start = words.rows[at], at - place
     order = np.lexsort((start, item, row))
-    row, item, start = row[order], item[order], start[order]
+    row, item, start, rare = row[order], item[order], start[order], rare[order]
     slack = known.counts[item] // 4 + 2
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > slack[1:])])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(row)) - 1
+    told = np.logical_or.reduceat(rare, first) | (last > first)
+    first, last = first[told], last[told]
+    if not len(first):
+        return {}
     begin = np.maximum(start[first] - slack[first], words.firsts[row[first]])
     end = np.minimum(start[last] + known.counts[item[first]] + slack[first], words.firsts[row[first] + 1])
     row, item, start = row[first], item[first], start[first]
@@ -192,7 +227,7 @@ def found_in(known: Items, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[
     scores = align([hashes[a:b] for a, b in zip(begin.tolist(), end.tolist())], own)
     sizes = known.counts[item]
     shares = scores / (MATCH * sizes)
-    good = np.where(sizes < SHORT, shares >= 1.0, shares >= LEAST_SCORE)
+    good = shares >= needed(sizes) - 1e-9
     best: dict[tuple[int, int], tuple[float, int]] = {}
     for r, i, share, b in zip(row[good].tolist(), item[good].tolist(), shares[good].tolist(), start[good].tolist()):
         best[r, i] = max(best.get((r, i), (0.0, 0)), (share, -max(0, b - int(words.firsts[r]))))

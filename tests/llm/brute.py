@@ -238,7 +238,7 @@ def leaks(rows, items):
         for i, own in known:
             if own and 2 * sum(w in have for w in own) >= len(own):
                 score = alignment(own, words) / (2 * len(own))
-                if score >= (0.5 if len(own) >= 8 else 1.0):
+                if score >= max(0.5, 1 - 0.075 * (len(own) - 1)) - 1e-9:
                     out.add((d, i))
     return out
 
