@@ -246,6 +246,32 @@ def comparable_runs(spark, folder):
     return found.select("run.run_id", F.size("notes").alias("notes"))
 
 
+@query(
+    "comparable_runs_changed",
+    sql(
+        """SELECT run_id, array_to_string(list_filter([
+            CASE n % 3 WHEN 0 THEN run_id || ' ran with prompt version p1, now p2' WHEN 2 THEN run_id || ' does not record its prompt version' END,
+            CASE WHEN n % 5 = 0 THEN run_id || ' ran with top_k 9, now 7' END], lambda x: x IS NOT NULL), '; ') AS notes
+          FROM (SELECT run_id, substr(run_id, 5)::BIGINT AS n FROM facts) WHERE n % 4 <> 2"""
+    ),
+)
+def comparable_runs_changed(spark, folder):
+    """Models, prompts and top_k that differ by run number; the texts of the notes."""
+    run, n = F.col("run"), F.substring("run.run_id", 5, 20).cast("long")
+    model, top = run["generation"]["model"], run["retrieval_policy"]["top_k"]
+    prompt = F.when(n % 3 == 0, "p1").when(n % 3 == 1, "p2")
+    read = runs.parse_runs(run_documents(spark, folder)).withColumn(
+        "run",
+        run.withField("generation.model", F.when(n % 4 == 2, "model-b").otherwise(model))
+        .withField("generation.prompt_version", prompt)
+        .withField("retrieval_policy.top_k", F.when(n % 5 == 0, F.lit(9).cast("int")).otherwise(top)),
+    )
+    wanted = {"generation.model": "model-a", "generation.prompt_version": "p2", "retrieval_policy.top_k": 7}
+    soft = {"generation.prompt_version": "prompt version", "retrieval_policy.top_k": "top_k"}
+    found = audit.comparable_runs(read, wanted, ("generation.model",), soft)
+    return found.select("run.run_id", F.array_join("notes", "; ").alias("notes"))
+
+
 # --- records of runs ------------------------------------------------------------------
 SMOKE = ("unclassified", "provider_status", "timeout")
 
@@ -258,15 +284,33 @@ SMOKE = ("unclassified", "provider_status", "timeout")
         count(*) FILTER (event_id % 40 = 0 AND event_id % 3 = 2) AS notes, (count(*) FILTER (event_id % 211 = 0) > 0)::INT AS unsafe FROM events GROUP BY user_id)""",
 )
 def smoke_verdict(spark, folder):
+    judged = audit.smoke_verdict(smoke_records(spark, folder))
+    return judged.select("run_id", "passed", F.size("reasons").alias("reasons"))
+
+
+def smoke_records(spark, folder):
     events = d.table(spark, folder, "events")
-    records = events.select(
+    return events.select(
         F.col("user_id").alias("run_id"), F.concat(F.lit("q-"), F.col("event_id").cast("string")).alias("query_id"),
         F.when(F.col("event_id") % 40 == 0, d.pick(F.col("event_id"), SMOKE)).alias("error_category"),
         F.when(F.col("event_id") % 211 == 0, F.array(F.lit("internal_label_leak"))).otherwise(F.array().cast("array<string>")).alias("failures"),
         F.lit(None).cast("string").alias("aborted"),
     )
-    judged = audit.smoke_verdict(records)
-    return judged.select("run_id", "passed", F.size("reasons").alias("reasons"))
+
+
+@query(
+    "smoke_reasons",
+    """WITH r AS (SELECT user_id AS run_id, event_id, 'q-' || event_id AS q, event_id % 40 = 0 AS bad FROM events)
+    SELECT run_id, 'refused' AS kind, q AS query_id, q || CASE event_id % 3 WHEN 0 THEN ': unclassified provider failure'
+      ELSE ': provider refused the request' END AS reason FROM r WHERE bad AND event_id % 3 <> 2
+    UNION ALL SELECT run_id, 'note', q, q || ': timeout (classified)' FROM r WHERE bad AND event_id % 3 = 2
+    UNION ALL SELECT run_id, 'safety', q, 'safety: ' || q FROM r WHERE event_id % 211 = 0
+    UNION ALL SELECT run_id, 'technical', NULL, count(*) FILTER (bad) || ' of ' || count(*) || ' questions failed technically'
+      FROM r GROUP BY run_id HAVING count(*) FILTER (bad) >= 2""",
+)
+def smoke_reasons(spark, folder):
+    """F36 as rows, with their texts."""
+    return audit.smoke_reasons(smoke_records(spark, folder)).select("run_id", "kind", "query_id", "reason")
 
 
 @query(

@@ -331,6 +331,33 @@ def chunk_invariants(spark, folder):
     return chunking.chunk_invariants(chunking.chunk_corpus(d.markdown(spark, folder), POLICY), POLICY)
 
 
+SQL_BROKEN = """broken AS (
+  SELECT document_id, ordinal, printf('%s--%04d', document_id, CASE WHEN r = 4 AND ordinal = 1 THEN 0 ELSE ordinal END) AS id,
+    CASE WHEN r = 2 AND ordinal = 0 THEN repeat(content, 9) WHEN r = 3 AND ordinal = 0 THEN ' ' ELSE content END AS content
+  FROM (SELECT *, substr(document_id, 5)::BIGINT % 7 AS r FROM chunks) WHERE NOT (r = 1 AND ordinal = 1))"""
+
+
+@query(
+    "chunk_invariants_broken",
+    d.with_sql(
+        "md_lines",
+        f"""SELECT count(*) AS chunks, count(*) FILTER (length(content) > {MAX}) AS over_max, count(*) FILTER (content = ' ') AS empty,
+          (SELECT count(*) FROM (SELECT 1 FROM broken GROUP BY document_id HAVING list(ordinal ORDER BY ordinal) <> range(count(*)))) AS gaps,
+          (SELECT count(*) FROM (SELECT 1 FROM broken GROUP BY id HAVING count(*) > 1)) AS repeated_ids FROM broken""",
+        SQL_PIECES + ",\n" + SQL_BROKEN,
+    ),
+)
+def chunk_invariants_broken(spark, folder):
+    """C10 over chunks of which some are missing, too long, blank or named twice, by document number modulo 7."""
+    chunks = chunking.chunk_corpus(d.markdown(spark, folder), POLICY)
+    rest = F.substring("document_id", 5, 20).cast("long") % 7
+    first, second = F.col("ordinal") == 0, F.col("ordinal") == 1
+    content = F.when((rest == 2) & first, F.repeat("content", 9)).when((rest == 3) & first, " ").otherwise(F.col("content"))
+    name = F.when((rest == 4) & second, t.chunk_id(F.col("document_id"), F.lit(0))).otherwise(F.col("id"))
+    broken = chunks.filter(~((rest == 1) & second)).withColumn("content", content).withColumn("id", name)
+    return chunking.chunk_invariants(broken, POLICY)
+
+
 @query(
     "chunk_statistics",
     d.with_sql(

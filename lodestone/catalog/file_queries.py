@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lodestone.catalog import audit_queries, index_queries, retrieval_queries
@@ -13,7 +14,7 @@ from lodestone.operators import retrieval
 from lodestone.operators.embeddings import hash_vectors
 from lodestone.policies import EmbeddingSpec
 from lodestone.session import shared_folder
-from lodestone.sources import index_table, runs
+from lodestone.sources import corpus, index_table, runs
 from lodestone.streaming import index_stream
 
 QUERIES, ORACLE = {}, {}
@@ -60,6 +61,76 @@ def write_index(spark, folder):
     return both[0].unionByName(both[1])
 
 
+#: Front matter of a written corpus file; {} is the number of the file.
+FRONT = (
+    "---", "schema_version: 1", "id: block-{}", "title: Block {}", "document_type: faq", "language: en", "topics: [storage]",
+    "source: notes", "source_type: authored", "version: 2", "updated_at: 2026-01-15", "---",
+)
+FILE_DOCUMENTS = 250
+SQL_FILES = f"""files AS (
+  SELECT doc_id // {FILE_DOCUMENTS} AS block, string_agg(sha256(coalesce(text, '')), chr(10) ORDER BY doc_id) AS body
+  FROM documents GROUP BY ALL)"""
+
+
+def written_corpus(spark, folder, headless: bool = False) -> str:
+    """The folder of a corpus: Markdown files of 250 documents, one line for each with the digest of its text.
+
+    Files are written by Spark's writers in one shuffle. With *headless*, every second file has no front matter.
+    """
+    docs = d.table(spark, folder, "documents")
+    block = F.floor(F.col("doc_id") / FILE_DOCUMENTS).alias("block")
+    bodies = docs.select(block, F.col("doc_id").cast("long").alias("n"), digests.sha256(F.coalesce("text", F.lit(""))).alias("line"))
+    number = F.col("block").cast("string")
+    front = F.array(*[F.replace(F.lit(line), F.lit("{}"), number) for line in FRONT])
+    heads = docs.select(block).distinct().filter(F.lit(not headless) | (F.col("block") % 2 == 0))
+    heads = heads.select("block", F.posexplode(front).alias("n", "line")).withColumn("n", F.col("n").cast("long") - len(FRONT))
+    rows = heads.unionByName(bodies).repartition("block").sortWithinPartitions("block", "n").select("block", "line")
+    root = scratch(spark, "corpus")
+    rows.write.partitionBy("block").option("extension", "md").option("quote", "").csv(root)
+    return root
+
+
+def block_number():
+    return F.regexp_extract("source_path", r"block=(\d+)/", 1).cast("long").alias("block")
+
+
+@query(
+    "scan_corpus",
+    f"""WITH {SQL_FILES}, whole AS (
+      SELECT block, {" || chr(10) || ".join("'" + line.replace("{}", "' || block || '") + "'" for line in FRONT)} || chr(10) || body || chr(10) AS content
+      FROM files) SELECT block, strlen(content) AS bytes, sha256(content) AS content_sha FROM whole""",
+)
+def scan_corpus(spark, folder):
+    """A1: the files of a written corpus, byte for byte."""
+    files = corpus.scan_corpus(spark, written_corpus(spark, folder))
+    return files.select(
+        block_number(), F.octet_length("content").cast("long").alias("bytes"), digests.sha256(F.col("content").cast("string")).alias("content_sha")
+    )
+
+
+@query(
+    "load_corpus_strict",
+    f"""WITH {SQL_FILES}
+    SELECT block, 'block-' || block AS document_id, 'Block ' || block AS title, sha256(body) AS content_sha FROM files
+    UNION ALL SELECT max(block), 'refused', 'headless', NULL FROM files HAVING max(block) > 0
+    UNION ALL SELECT max(block), 'refused', 'missing root', NULL FROM files""",
+)
+def load_corpus_strict(spark, folder):
+    """A4: a sound corpus is read; one with files without front matter and a missing root are refused."""
+    sound = written_corpus(spark, folder)
+    read = corpus.load_corpus(spark, sound, "strict")
+    rows = read.select(block_number(), "document_id", F.col("metadata.title").alias("title"), digests.sha256(F.col("content")).alias("content_sha"))
+    last = d.table(spark, folder, "documents").agg(F.floor(F.max("doc_id") / FILE_DOCUMENTS).alias("block"))
+    roots = {"headless": written_corpus(spark, folder, headless=True), "missing root": f"{sound}-absent"}
+    for case, root in roots.items():
+        try:
+            corpus.load_corpus(spark, root, "strict")
+        except (ValueError, AnalysisException):
+            refused = last.select("block", F.lit("refused").alias("document_id"), F.lit(case).alias("title"))
+            rows = rows.unionByName(refused.withColumn("content_sha", F.lit(None).cast("string")))
+    return rows
+
+
 def hashed(texts):
     return hash_vectors(texts, STREAMED.dimensions).tolist()
 

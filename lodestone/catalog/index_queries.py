@@ -339,9 +339,10 @@ def sql_lexical(name: str, table: str, key: str, text: str) -> str:
 )
 def lexical_embedding(spark, folder):
     """U3, one row per non-zero value."""
-    made = embeddings.lexical_embedding(d.table(spark, folder, "documents"), "doc_id", "text")
-    flat = made.select("doc_id", F.posexplode("embedding").alias("bucket", "value"))
-    return flat.filter(F.col("value") != 0.0)
+    docs = d.table(spark, folder, "documents")
+    made = docs.select("doc_id", embeddings.lexical_vector(F.col("text")).alias("v"))
+    pairs = made.select("doc_id", F.explode(F.arrays_zip("v.buckets", "v.values")).alias("p"))
+    return pairs.select("doc_id", F.col("p.buckets").alias("bucket"), F.col("p.values").alias("value"))
 
 
 @query(

@@ -298,6 +298,17 @@ def internal_leaks(spark, folder):
     return evaluation.internal_leaks(scores(spark, folder))
 
 
+@query(
+    "internal_leaks_found",
+    sql("SELECT count(DISTINCT query_id) AS internal_leaks FROM judged WHERE position <= 2 AND query_id % 5 = 0"),
+)
+def internal_leaks_found(spark, folder):
+    """F8 where the two best hits of every fifth question count as internal."""
+    leaked = (F.col("query_id") % 5 == 0) & (F.col("position") <= 2)
+    seen = judged(spark, folder).withColumn("visibility", F.when(leaked, "internal").otherwise(F.col("visibility")))
+    return evaluation.internal_leaks(evaluation.score_retrieval(questions(spark, folder), seen))
+
+
 SETTINGS = (
     ("k5", -1.0, 5, None), ("k7", -1.0, 7, None), ("k8", -1.0, 8, None),
     ("k7-two", -1.0, 7, 2), ("t30", 0.3, 7, None), ("t45", 0.45, 7, None),
@@ -422,8 +433,8 @@ def experiment_plan(spark, folder):
 def lexical_retrieve(spark, folder):
     """Benchmark texts as questions over all public documents, lexical vectors."""
     docs = d.documents(spark, folder)
-    vectors_of = embeddings.lexical_embedding(docs, "doc_id", "content")
-    records = vectors_of.join(docs.select("doc_id", "visibility"), "doc_id").select(
+    vectors_of = embeddings.lexical_embedding(docs, "doc_id", "content", keep=("visibility",))
+    records = vectors_of.select(
         F.col("doc_id").alias("id"), F.struct("visibility").alias("metadata"), "embedding"
     )
     asked = d.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), t.normalize_query(F.col("text")).alias("text"))

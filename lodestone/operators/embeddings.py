@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from lodestone import constants as k
 from lodestone.functions import text as t
 from lodestone.functions import vectors
+from lodestone.functions.binding import let
 from lodestone.policies import EmbeddingSpec
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
@@ -77,34 +78,55 @@ def hash_embedding(dimensions: int = 256):
     return vector
 
 
-def lexical_embedding(texts: DataFrame, key: str, text: str, dimensions: int = 64) -> DataFrame:
-    """Hashed bag of words, unit length, all in Spark functions.
+def lexical_vector(text: Column, dimensions: int = 64) -> Column:
+    """Hashed bag of words of unit length, sparse: struct(buckets ascending, values).
 
     Words of three letters and more that are no function words; the bucket is the first
-    32 bits of the word's SHA-256. A text without words gets the first unit vector.
-    Words are counted inside each row before anything is shuffled: at most *dimensions*
-    counters leave a row.
+    32 bits of the word's SHA-256. A null text or one without words gets the first unit
+    vector. Sorted buckets are counted by the ends of their runs, so the work is linear
+    in the words but for the sort, and no row leaves the JVM.
     """
-    found = F.filter(
-        t.words(F.col(text)),
-        lambda w: (F.length(w) >= 3) & ~w.isin(k.LEXICAL_STOPWORDS),
-    )
-    bucket = F.transform(
+    found = F.filter(t.words(text), lambda w: (F.length(w) >= 3) & ~w.isin(k.LEXICAL_STOPWORDS))
+    hashed = F.transform(
         found,
         lambda w: (F.conv(F.substring(F.sha2(w, 256), 1, 8), 16, 10).cast("long") % dimensions).cast("int"),
     )
-    return texts.select(key, _count_buckets(dimensions)(bucket).alias("embedding"))
+    nothing = F.array(F.lit(0))
 
+    def runs(buckets: Column) -> Column:
+        last = F.filter(
+            F.sequence(F.lit(1), F.size(buckets)),
+            lambda i: ~F.get(buckets, i - 1).eqNullSafe(F.get(buckets, i)),
+        )
+        return let(last, lambda ends: _unit(buckets, ends))
 
-def _count_buckets(dimensions: int):
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def unit_counts(buckets: pd.Series) -> pd.Series:
-        def one(row) -> np.ndarray:
-            counts = np.bincount(np.asarray(row, dtype=np.int64), minlength=dimensions).astype(float)
-            if len(row) == 0:
-                counts[0] = 1.0
-            return counts / np.sqrt((counts * counts).sum())
+    used = F.coalesce(F.sort_array(hashed), nothing)
+    return let(used, lambda b: let(F.when(F.size(b) > 0, b).otherwise(nothing), runs))
+
+
+def _unit(buckets: Column, ends: Column) -> Column:
+    """Buckets and values from the sorted buckets and the (1-based) ends of their runs."""
+    counts = F.transform(ends, lambda e, i: (e - F.coalesce(F.get(ends, i - 1), F.lit(0))).cast("double"))
+
+    def scaled(n: Column) -> Column:
+        squares = F.sqrt(F.aggregate(n, F.lit(0.0), lambda a, x: a + x * x))
+        return F.struct(
+            F.transform(ends, lambda e: F.get(buckets, e - 1)).alias("buckets"),
+            let(squares, lambda length: F.transform(n, lambda x: x / length)).alias("values"),
+        )
+
+    return let(counts, scaled)
+
+
+def dense(vector: Column, dimensions: int) -> Column:
+    """A sparse vector as an array of *dimensions* values."""
+    return let(
+        F.map_from_arrays(vector["buckets"], vector["values"]),
+        lambda m: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda b: F.coalesce(m[b], F.lit(0.0))),
+    )
 
-        return buckets.map(one)
 
-    return unit_counts
+def lexical_embedding(texts: DataFrame, key: str, text: str, dimensions: int = 64, keep: Sequence[str] = ()) -> DataFrame:
+    """key, the columns of *keep*, and the lexical vector of *text* as a dense embedding."""
+    vector = let(lexical_vector(F.col(text), dimensions), lambda v: dense(v, dimensions))
+    return texts.select(key, *keep, vector.alias("embedding"))
