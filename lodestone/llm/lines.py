@@ -1,13 +1,15 @@
 """Removal of repeated and nearly repeated lines by a segment-partition edit join.
 
-Lines of `LEAST` = 16 characters or more are near when at most `EDITS` = 2 characters are
-inserted, deleted or replaced (so at least 0.87 of the longer line agrees); shorter lines
-only repeat exactly. A line is cut into three segments, of which two edits leave one
+Lines are near when few enough characters are inserted, deleted or replaced. How many is a
+parameter: `classes` names least lengths and the edits from there on, and the shorter line
+of a pair decides. `CLASSES` allows 2 edits from 16 characters (at least 0.87 of the longer
+line agrees), `TENTHS` about a tenth of the length; lines below the first class only repeat
+exactly. A line of a class of e edits is cut into e + 1 segments, of which e edits leave one
 whole. Segments are indexed under line length, place and content; a line probes, for its
-own length and the two below, the substrings that a segment may have moved to. Keys meet
-in Spark, packed into one binary row per task and target partition. A sketch of 16 letter
-counters travels with each key and rejects most pairs that share a segment only; the rest
-is verified by a bit-parallel edit distance in a band of 2 * EDITS + 1 cells.
+own length and the e below, the substrings that a segment may have moved to. Keys meet
+in Spark, packed into one binary row per task, target partition and class. A sketch of 16
+letter counters travels with each key and rejects most pairs that share a segment only; the
+rest is verified by a bit-parallel edit distance in a band of 2 * e + 1 cells.
 
 Classes are the connected components of links. Of all occurrences of all lines of a class
 the first, by (doc_id, line), stays; the others are removed. Lines without any character
@@ -21,7 +23,6 @@ all its lines and is then empty.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,11 @@ from lodestone.llm.flat import WORD_BASE, mix, powers
 from lodestone.llm.tables import parallelism, read, side
 from lodestone.session import stage
 
-EDITS, LEAST = 2, 16
+Classes = tuple[tuple[int, int], ...]
+#: (least length, edits) of classes of line lengths, lengths and edits rising.
+CLASSES = ((16, 2),)
+#: Wider classes for callers who pay for them: a line has about edits ** 3 / 3 probes.
+TENTHS = ((16, 2), (40, 4), (80, 8))
 #: Characters of distinct lines a task holds before it sends their keys.
 HELD_CHARS = 1_000_000
 #: Entries of one key compared at once.
@@ -45,25 +50,40 @@ NO_ID = np.iinfo(np.int64).max
 
 
 # --- keys ----------------------------------------------------------------------
-def segments(length: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, size) of segment i of EDITS + 1 in lines of these lengths; longer ones stand last."""
-    size, rest = length // (EDITS + 1), length % (EDITS + 1)
-    longer = i - (EDITS + 1 - rest)
+def segments(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, size) of segment i of edits + 1 in lines of these lengths; longer ones stand last."""
+    size, rest = length // (edits + 1), length % (edits + 1)
+    longer = i - (edits + 1 - rest)
     return size * i + np.maximum(longer, 0), size + (longer >= 0)
 
 
-def probes() -> list[tuple[int, int, int]]:
+def probes(edits: int) -> list[tuple[int, int, int]]:
     """(length difference, segment, shift) that a longer or equal line probes."""
     out = []
-    for delta in range(EDITS + 1):
-        for i in range(EDITS + 1):
-            low, high = max(-i, delta - (EDITS - i)), min(i, delta + (EDITS - i))
+    for delta in range(edits + 1):
+        for i in range(edits + 1):
+            low, high = max(-i, delta - (edits - i)), min(i, delta + (edits - i))
             out += [(delta, i, shift) for shift in range(low, high + 1)]
     return out
 
 
-def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, line number, whether it is an index key) of all segments and probes, and sketches."""
+def checked(classes: Classes) -> Classes:
+    """The classes as a tuple, if lengths and edits rise and every segment has a character."""
+    classes = tuple((int(least), int(edits)) for least, edits in classes)
+    rising = all(a[0] < b[0] and a[1] <= b[1] for a, b in zip(classes, classes[1:]))
+    if not classes or not rising or any(edits < 0 or least <= edits for least, edits in classes):
+        raise ValueError("classes are (least length, edits), rising, with fewer edits than characters")
+    return classes
+
+
+def edits_for(length: int, classes: Classes) -> int:
+    """Edits allowed where the shorter line of a pair has this length; -1 below the first class."""
+    return max((edits for least, edits in classes if length >= least), default=-1)
+
+
+def line_keys(lines: list[str], classes: Classes = CLASSES) -> tuple[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """For each class (edits, keys, line numbers, whether it is an index key) of its segments and
+    of all probes for its lines, and the sketches of the lines."""
     lengths = np.array([len(x) for x in lines], dtype=np.int64)
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     first = np.cumsum(lengths) - lengths
@@ -75,18 +95,22 @@ def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     counts = np.bincount(owner * 16 + (values >> np.uint64(60)).astype(np.int64), minlength=16 * len(lines))
     nibbles = (counts & 15).astype(np.uint8).reshape(-1, 16)
     sketches = (nibbles[:, ::2] | nibbles[:, 1::2] << 4).copy().view("<u8")[:, 0]
-    keys, numbers, index = [], [], []
-    for delta, i, shift in probes():
-        own = lengths - delta
-        start, size = segments(own, i)
-        start = start + shift
-        fits = np.flatnonzero((own >= LEAST - EDITS) & (start >= 0) & (start + size <= lengths))
-        at = first[fits] + start[fits]
-        content = (sums[at + size[fits]] - sums[at]) * down[at]
-        keys.append(mix(content + mix(own[fits].astype(np.uint64) * np.uint64(8) + np.uint64(i))))
-        numbers.append(fits)
-        index.append(np.full(len(fits), delta == 0 and shift == 0))
-    return np.concatenate(keys), np.concatenate(numbers), np.concatenate(index), sketches
+    out = []
+    for (least, edits), above in zip(classes, [n for n, _ in classes[1:]] + [np.inf]):
+        keys, numbers, index = [], [], []
+        for delta, i, shift in probes(edits):
+            own = lengths - delta
+            start, size = segments(own, i, edits)
+            start = start + shift
+            fits = np.flatnonzero((own >= least) & (own < above) & (start >= 0) & (start + size <= lengths))
+            at = first[fits] + start[fits]
+            content = (sums[at + size[fits]] - sums[at]) * down[at]
+            place = own[fits].astype(np.uint64) * np.uint64(edits + 1) + np.uint64(i)
+            keys.append(mix(content + mix(place)))
+            numbers.append(fits)
+            index.append(np.full(len(fits), delta == 0 and shift == 0))
+        out.append((edits, np.concatenate(keys), np.concatenate(numbers), np.concatenate(index)))
+    return out, sketches
 
 
 def line_id(line: str) -> int:
@@ -95,21 +119,25 @@ def line_id(line: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-PACKED = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("lines", pa.binary()), ("sketches", pa.binary()), ("index", pa.binary())])
-PACKED_SQL = "part int, keys binary, lines binary, sketches binary, index binary"
+PACKED = pa.schema([("part", pa.int32()), ("edits", pa.int32()), ("keys", pa.binary()), ("lines", pa.binary()), ("sketches", pa.binary()), ("index", pa.binary())])
+PACKED_SQL = "part int, edits int, keys binary, lines binary, sketches binary, index binary"
 
 
-def _keys(parts: int):
+def _keys(parts: int, classes: Classes):
     def send(lines: list[str]) -> Iterator[pa.RecordBatch]:
         ids = np.fromiter(map(line_id, lines), dtype=np.int64, count=len(lines))
-        keys, numbers, index, sketches = line_keys(lines)
-        target = (keys >> np.uint64(32)).astype(np.int64) * parts >> 32
-        order = np.argsort(target, kind="stable")
-        bounds = np.searchsorted(target[order], np.arange(parts + 1))
-        for part in np.flatnonzero(np.diff(bounds)).tolist():
-            own = order[bounds[part] : bounds[part + 1]]
-            row = (part, keys[own].astype("<u4").tobytes(), ids[numbers[own]].tobytes(), sketches[numbers[own]].tobytes(), np.packbits(index[own]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, PACKED)], schema=PACKED)
+        by_class, sketches = line_keys(lines, classes)
+        for edits, keys, numbers, index in by_class:
+            target = (keys >> np.uint64(32)).astype(np.int64) * parts >> 32
+            order = np.argsort(target, kind="stable")
+            bounds = np.searchsorted(target[order], np.arange(parts + 1))
+            for part in np.flatnonzero(np.diff(bounds)).tolist():
+                own = order[bounds[part] : bounds[part + 1]]
+                row = (
+                    part, edits, keys[own].astype("<u4").tobytes(), ids[numbers[own]].tobytes(),
+                    sketches[numbers[own]].tobytes(), np.packbits(index[own]).tobytes(),
+                )
+                yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, PACKED)], schema=PACKED)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, None] = {}
@@ -117,7 +145,7 @@ def _keys(parts: int):
         for batch in batches:
             for text in batch.column(0):
                 for line in (text.as_py() or "").split("\n"):
-                    if len(line) >= LEAST and line not in held and line.encode("utf-8", "surrogatepass").split():
+                    if len(line) >= classes[0][0] and line not in held and line.encode("utf-8", "surrogatepass").split():
                         held[line] = None
                         size += len(line)
                 if size >= HELD_CHARS:
@@ -141,14 +169,21 @@ def apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [row for batch in batches for row in batch.to_pylist()]
-    if not rows:
-        return
+    by_edits: dict[int, list[dict]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            by_edits.setdefault(row["edits"], []).append(row)
+    for edits in sorted(by_edits):
+        yield from _pairs(by_edits.pop(edits), edits)
+
+
+def _pairs(rows: list[dict], edits: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of lines under one key of a class, an index key on one side, whose sketches allow it."""
     keys = np.concatenate([np.frombuffer(r["keys"], dtype="<u4") for r in rows])
     lines = np.concatenate([np.frombuffer(r["lines"], dtype=np.int64) for r in rows])
     sketches = np.concatenate([np.frombuffer(r["sketches"], dtype=np.uint64) for r in rows])
     index = np.concatenate([np.unpackbits(np.frombuffer(r["index"], dtype=np.uint8), count=len(r["keys"]) // 4) for r in rows]).astype(bool)
-    del rows
+    rows.clear()
     order = np.lexsort((~index, lines, keys))
     keys, lines, sketches, index = keys[order], lines[order], sketches[order], index[order]
     kept = np.concatenate([[True], (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])])
@@ -162,7 +197,7 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def keep(a: np.ndarray, b: np.ndarray) -> None:
         good = (index[a] | index[b])
         a, b = a[good], b[good]
-        near = apart(sketches[a], sketches[b]) <= 2 * EDITS
+        near = apart(sketches[a], sketches[b]) <= 2 * edits
         if near.any():
             found.append(np.stack([lines[a[near]], lines[b[near]]], axis=1))
 
@@ -181,7 +216,7 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = np.arange(first, min(first + BLOCK, high))
             for second in range(first, high, BLOCK):
                 right = np.arange(second, min(second + BLOCK, high))
-                near = (apart(sketches[left][:, None], sketches[right][None, :]) <= 2 * EDITS) & (index[left][:, None] | index[right][None, :])
+                near = (apart(sketches[left][:, None], sketches[right][None, :]) <= 2 * edits) & (index[left][:, None] | index[right][None, :])
                 a, b = np.nonzero(near)
                 a, b = left[a], right[b]
                 found.append(np.stack([lines[a], lines[b]], axis=1)[a < b])
@@ -229,14 +264,18 @@ def edit_distance(left: str, right: str, most: int) -> int:
     return next((d for d in range(most + 1) if reached[d] & last), most + 1)
 
 
-def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b, left, right = (c.to_pylist() for c in batch.columns)
-        gaps = list(map(edit_distance, left, right, repeat(EDITS)))
-        good = [i for i, gap in enumerate(gaps) if gap <= EDITS]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([v[i] for i in good], pa.int64()) for v in (a, b)] + [pa.array([gaps[i] for i in good], pa.int32())], ["a", "b", "distance"]
-        )
+def _verify(classes: Classes):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, left, right = (c.to_pylist() for c in batch.columns)
+            most = [edits_for(min(len(x), len(y)), classes) for x, y in zip(left, right)]
+            gaps = list(map(edit_distance, left, right, most))
+            good = [i for i, gap in enumerate(gaps) if gap <= most[i]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v[i] for i in good], pa.int64()) for v in (a, b)] + [pa.array([gaps[i] for i in good], pa.int32())], ["a", "b", "distance"]
+            )
+
+    return run
 
 
 # --- the join ------------------------------------------------------------------
@@ -251,10 +290,11 @@ def occurrences(texts: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(SOLID)).withColumn("id", F.xxhash64("line"))
 
 
-def line_links(texts: DataFrame) -> DataFrame:
+def line_links(texts: DataFrame, classes: Classes = CLASSES) -> DataFrame:
     """(a, b, distance), a < b: all pairs of different lines that are near, by line id."""
+    classes = checked(classes)
     parts = parallelism(texts.sparkSession)
-    packed = texts.select("text").mapInArrow(_keys(parts), PACKED_SQL).repartitionById(parts, F.col("part"))
+    packed = texts.select("text").mapInArrow(_keys(parts, classes), PACKED_SQL).repartitionById(parts, F.col("part"))
     pairs = stage(packed.mapInArrow(_candidates, "a long, b long").distinct(), "line-pairs")
     needed = side(pairs.select(F.explode(F.array("a", "b")).alias("needed")).distinct(), "line-ids", F.lit(8))
     lines = occurrences(texts).join(needed, F.col("id") == F.col("needed")).groupBy("id").agg(F.min("line").alias("line"))
@@ -262,15 +302,15 @@ def line_links(texts: DataFrame) -> DataFrame:
     left = lines.select(F.col("id").alias("a"), F.col("line").alias("left"))
     right = lines.select(F.col("id").alias("b"), F.col("line").alias("right"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return joined.mapInArrow(_verify, "a long, b long, distance int")
+    return joined.mapInArrow(_verify(classes), "a long, b long, distance int")
 
 
-def line_classes(texts: DataFrame) -> DataFrame:
+def line_classes(texts: DataFrame, classes: Classes = CLASSES) -> DataFrame:
     """(id, class_id, n_links, first_doc, first_line) of lines that repeat or have links.
 
     class_id is the least id of the class; the first occurrence is that of the class.
     """
-    links = stage(line_links(texts), "line-links")
+    links = stage(line_links(texts, classes), "line-links")
     ends = links.select("a").union(links.select("b"))
     degree = ends.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
     parts = connected_components(links.select("a", "b")).withColumnRenamed("node", "id")
@@ -288,10 +328,10 @@ def line_classes(texts: DataFrame) -> DataFrame:
 REMOVED = "array<struct<line_no:int,class_id:bigint>>"
 
 
-def removals(texts: DataFrame) -> DataFrame:
+def removals(texts: DataFrame, classes: Classes = CLASSES) -> DataFrame:
     """(cut_id, cut_twin, cut_lines, cut_links), once for each text with repeated or linked lines."""
-    classes = side(line_classes(texts), "line-classes", F.lit(44))
-    hit = occurrences(texts).drop("line").join(classes, "id")
+    known = side(line_classes(texts, classes), "line-classes", F.lit(44))
+    hit = occurrences(texts).drop("line").join(known, "id")
     first = (F.coalesce("doc_id", F.lit(int(NO_ID))) == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
     gone = F.when(~first, F.struct("line_no", "class_id"))
     # One entry for each line of a text, also where rows repeat.
@@ -303,7 +343,7 @@ def removals(texts: DataFrame) -> DataFrame:
     return side(per_text, "line-removed", 40 + 16 * F.size("cut_lines"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: Classes = CLASSES) -> DataFrame:
     """(doc_id, twin, n_lines, n_links, removed, kept) for every row of *docs*.
 
     n_lines counts lines that are not blank, n_links the links of its lines to other lines,
@@ -312,7 +352,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     texts = _texts(docs, id_col, text_col)
     rows = texts.withColumn("twin", F.xxhash64("text"))
-    joined = rows.join(removals(texts), F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("twin") == F.col("cut_twin")), "left")
+    joined = rows.join(removals(texts, classes), F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("twin") == F.col("cut_twin")), "left")
     removed = F.coalesce(F.col("cut_lines"), F.array().cast(REMOVED))
     lines = F.split("text", "\n")
     return joined.select(
@@ -330,9 +370,9 @@ def kept_text(text: Column) -> Column:
     return F.when(F.size("cut_lines") > 0, _kept(F.split(text, "\n"), F.col("cut_lines"))).otherwise(text)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: Classes = CLASSES) -> DataFrame:
     """The rows and columns of *docs* with the removed lines taken out of the text."""
-    cut = removals(_texts(docs, id_col, text_col))
+    cut = removals(_texts(docs, id_col, text_col), classes)
     names = {c: f"cut__{c}" for c in cut.columns}
     same = F.col(id_col).cast("long").eqNullSafe(F.col("cut__cut_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("cut__cut_twin"))
     joined = docs.join(cut.withColumnsRenamed(names), same, "left")
