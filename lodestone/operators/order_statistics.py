@@ -2,7 +2,9 @@
 
 A sketch of each group gives two values close below and above every wanted rank. They cut
 the group into a few ranges; counts tell which range holds a rank, and only that range, a
-few thousandths of the group, is ordered by value. The sketch decides where the cuts are
+few thousandths of the group, is looked at again: `AGAIN` times it is cut into `WAYS` parts
+of about as many distinct values, and only the part that holds the rank goes on. What is
+left, a few millionths of the group, is ordered by value. Sketches decide where the cuts are
 and never what is returned: a poor cut makes a range larger, not the result wrong. Cuts
 follow the ranks of the values, so outliers do not crowd a range.
 """
@@ -13,9 +15,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 #: Half the width of the range around a wanted share, and the inverse error of the sketch.
 AROUND, ACCURACY = 0.0005, 10_000
+#: Parts of a range that is cut again, and how often that happens.
+WAYS, AGAIN = 128, 1
 
 
 def values_at_ranks(
@@ -27,6 +32,30 @@ def values_at_ranks(
     groups without any value are absent.
     """
     by = keys or ["_all"]
+    left = ranges(rows, keys, value, ranks, shares)
+    upto = F.sum("c").over(_running([*by, "name"], "v"))
+    found = left.withColumn("upto", upto).filter(
+        (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c"))
+    )
+    out = found.groupBy(*by).agg(
+        *[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks]
+    )
+    return out if keys else out.drop("_all")
+
+
+def ranges(
+    rows: DataFrame,
+    keys: list[str],
+    value: str,
+    ranks: Mapping[str, Column],
+    shares: list[float],
+    again: int = AGAIN,
+) -> DataFrame:
+    """(keys or _all, name, rank, v, c): the distinct values, with counts, around each rank.
+
+    The rank counts from the first of them. They are all that is ordered in one task.
+    """
+    by = keys or ["_all"]
     source = rows if keys else rows.withColumn("_all", F.lit(1))
     source = source.select(*by, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
     counts = source.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
@@ -36,15 +65,10 @@ def values_at_ranks(
     )
     bucket = F.size(F.filter("cuts", lambda cut: cut <= F.col("v")))
     placed = counts.join(bounds, by).select(*by, "v", "c", "n", bucket.alias("bucket"))
-    running = (
-        Window.partitionBy(*by)
-        .orderBy("bucket")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
     histogram = (
         placed.groupBy(*by, "bucket", "n")
         .agg(F.sum("c").alias("in_bucket"))
-        .withColumn("before", F.sum("in_bucket").over(running) - F.col("in_bucket"))
+        .withColumn("before", F.sum("in_bucket").over(_running(by, "bucket")) - F.col("in_bucket"))
     )
     wanted = F.array(
         *[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()]
@@ -57,21 +81,34 @@ def values_at_ranks(
         )
         .select(*by, "bucket", "before", "w.name", "w.rank")
     )
-    in_bucket = (
-        Window.partitionBy(*by, "name")
-        .orderBy("v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    found = (
-        placed.select(*by, "bucket", "v", "c")
-        .join(located, [*by, "bucket"])
-        .withColumn("upto", F.col("before") + F.sum("c").over(in_bucket))
-        .filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c")))
-    )
-    out = found.groupBy(*by).agg(
-        *[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks]
+    left = placed.join(located, [*by, "bucket"])
+    left = left.select(*by, "name", (F.col("rank") - F.col("before")).alias("rank"), "v", "c")
+    for _ in range(again):
+        left = _closer(left, [*by, "name"])
+    return left
+
+
+def _running(by: list[str], order: str) -> WindowSpec:
+    """From the first row of a group to this one."""
+    return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _closer(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of each range the part that holds its rank, the rank counted from there."""
+    # Dealt by value, once for the three uses below; a range is a small share of its group.
+    rows = rows.repartition(*by, "v")
+    cuts = [step / WAYS for step in range(1, WAYS)]
+    bounds = rows.groupBy(*by).agg(F.percentile_approx("v", cuts, ACCURACY).alias("cuts"))
+    bucket = F.size(F.filter("cuts", lambda cut: cut <= F.col("v")))
+    placed = rows.join(bounds, by).select(*by, "rank", "v", "c", bucket.alias("bucket"))
+    located = (
+        placed.groupBy(*by, "rank", "bucket")
+        .agg(F.sum("c").alias("in_bucket"))
+        .withColumn("before", F.sum("in_bucket").over(_running(by, "bucket")) - F.col("in_bucket"))
+        .filter((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("in_bucket")))
+        .select(*by, "bucket", "before")
     )
-    return out if keys else out.drop("_all")
+    return placed.join(located, [*by, "bucket"]).select(*by, (F.col("rank") - F.col("before")).alias("rank"), "v", "c")
 
 
 def nearest_rank(share: float) -> Column:
