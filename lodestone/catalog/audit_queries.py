@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone import constants as k
 from lodestone.catalog import cost_queries
 from lodestone.catalog import derived as d
 from lodestone.operators import audit, generation, identity
+from lodestone.operators import segment_order as segment_order_rules
 from lodestone.session import shared_folder
 from lodestone.sources import runs
 from lodestone.streaming.run_guard import GuardSettings, run_guard
@@ -313,6 +315,49 @@ def smoke_reasons(spark, folder):
     return audit.smoke_reasons(smoke_records(spark, folder)).select("run_id", "kind", "query_id", "reason")
 
 
+@query(
+    "segment_order",
+    """WITH base AS (SELECT o_custkey AS run_id, 'q-' || o_orderkey AS q, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY o_custkey) AS n
+        FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+      ends AS (SELECT run_id, n, run_id % 8 AS flaw, min(q) FILTER (place = 0) AS head, min(q) FILTER (place = n - 1) AS tail FROM base GROUP BY ALL)
+    SELECT run_id, 'recorded_out_of_plan' AS kind, n - n % 2 AS n, 0 AS first_at, tail AS first_question FROM ends WHERE flaw = 1 AND n > 1
+    UNION ALL SELECT run_id, 'completed_out_of_order', n - n % 2, 0, head FROM ends WHERE flaw = 1 AND n > 1
+    UNION ALL SELECT run_id, 'planned_not_recorded', 1, n - 1, tail FROM ends WHERE flaw = 2
+    UNION ALL SELECT run_id, 'completed_twice', 1, 1000, head FROM ends WHERE flaw = 3
+    UNION ALL SELECT run_id, 'completed_out_of_order', 1, n, head FROM ends WHERE flaw = 3
+    UNION ALL SELECT run_id, 'interrupted_after_completion', 1, 2, head FROM ends WHERE flaw = 4
+    UNION ALL SELECT run_id, 'never_asked_again', 1, 1, 'x' || head FROM ends WHERE flaw = 5""",
+)
+def segment_order(spark, folder):
+    """F34 on rows: a customer is a run, orders are its questions, four to a segment; flaws by the customer's key."""
+    orders = d.table(spark, folder, "orders")
+    keys = Window.partitionBy("o_custkey")
+    base = orders.select(
+        F.col("o_custkey").alias("run_id"), F.concat(F.lit("q-"), F.col("o_orderkey").cast("string")).alias("question_id"),
+        (F.row_number().over(keys.orderBy("o_orderkey")) - 1).alias("place"), F.count(F.lit(1)).over(keys).alias("n"),
+    ).withColumn("flaw", F.col("run_id") % 8)
+    names = ["run_id", "place", "question_id"]
+    lost = F.when(F.col("flaw") == 2, 1).when(F.col("flaw") == 7, 2).otherwise(0)
+    asked = base.filter(F.col("place") < F.col("n") - lost)
+    turned = F.when(F.col("flaw") == 1, F.col("n") - 1 - F.col("place")).otherwise(F.col("place"))
+    in_segment = asked.select(
+        "run_id", (F.floor(F.col("place") / 4) + 1).alias("segment"), (F.col("place") % 4).alias("place"), "question_id"
+    )
+    head = base.filter("place = 0")
+    again = head.filter("flaw = 3").select("run_id", F.lit(1000).alias("segment"), "place", "question_id")
+    cut = [
+        head.filter("flaw = 4").select("run_id", F.lit(2).alias("segment"), "question_id"),
+        head.filter("flaw = 5").select("run_id", F.lit(1).alias("segment"), F.concat(F.lit("x"), "question_id").alias("question_id")),
+        base.filter("flaw = 6 AND place = n - 1").select("run_id", F.floor(F.col("place") / 4).alias("segment"), "question_id"),
+    ]
+    found = segment_order_rules.order_findings(
+        runs=head.select("run_id", (F.col("flaw") != 7).alias("complete")),
+        recorded=asked.withColumn("place", turned).select(names), planned=base.select(names),
+        completed=in_segment.unionByName(again), interrupted=cut[0].unionByName(cut[1]).unionByName(cut[2]),
+    )
+    return segment_order_rules.order_summary(found)
+
+
 @query(
     "segment_usage",
     """SELECT user_id AS run_id, day(ts) // 10 AS segment, count(*) FILTER (event_type <> 'click') AS calls,
