@@ -66,14 +66,16 @@ def recovery_evidence(calls: DataFrame, recovery_cap: int) -> DataFrame:
     )
 
 
-def nearest_rank_percentile(values: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """An occurring value, never interpolated, per group."""
-    return order_statistics.percentiles(values, keys, value, {"percentile": share})
+def nearest_rank_percentile(
+    values: DataFrame, keys: list[str], value: str, share: float, again: int = 0
+) -> DataFrame:
+    """An occurring value, never interpolated, per group; *again* cuts more for very large groups."""
+    return order_statistics.percentiles(values, keys, value, {"percentile": share}, again)
 
 
-def robust_cost(values: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """max(p75, mean capped at p90) per group, as column *column*."""
-    edges = order_statistics.percentiles(values, keys, column, {"_p75": 0.75, "_p90": 0.9})
+def robust_cost(values: DataFrame, keys: list[str], column: str, again: int = 0) -> DataFrame:
+    """max(p75, mean capped at p90) per group, as column *column*; *again* as for percentiles."""
+    edges = order_statistics.percentiles(values, keys, column, {"_p75": 0.75, "_p90": 0.9}, again)
     joined = values.select(*keys, column).join(edges, keys)
     capped_mean = F.avg(F.least(F.col(column).cast("double"), F.col("_p90")))
     return joined.groupBy(*keys).agg(F.greatest(F.max("_p75"), capped_mean).alias(column))

@@ -2,9 +2,10 @@
 
 A sketch of each group gives two values close below and above every wanted rank. They cut
 the group into a few ranges; counts tell which range holds a rank, and only that range, a
-few thousandths of the group, is looked at again: `AGAIN` times it is cut into `WAYS` parts
-of about as many distinct values, and only the part that holds the rank goes on. What is
-left, a few millionths of the group, is ordered by value. Sketches decide where the cuts are
+few thousandths of the group, goes on. For very large groups the caller has it cut *again*,
+each time into `WAYS` parts of about as many distinct values, of which the one that holds
+the rank goes on: a few millionths of the group after one more cut. What is left is ordered
+by value. Every further cut adds stages, so small data need none. Sketches decide where the cuts are
 and never what is returned: a poor cut makes a range larger, not the result wrong. Cuts
 follow the ranks of the values, so outliers do not crowd a range.
 """
@@ -19,20 +20,25 @@ from pyspark.sql.window import WindowSpec
 
 #: Half the width of the range around a wanted share, and the inverse error of the sketch.
 AROUND, ACCURACY = 0.0005, 10_000
-#: Parts of a range that is cut again, and how often that happens.
-WAYS, AGAIN = 128, 1
+#: Parts of a range that is cut again.
+WAYS = 128
 
 
 def values_at_ranks(
-    rows: DataFrame, keys: list[str], value: str, ranks: Mapping[str, Column], shares: list[float]
+    rows: DataFrame,
+    keys: list[str],
+    value: str,
+    ranks: Mapping[str, Column],
+    shares: list[float],
+    again: int = 0,
 ) -> DataFrame:
     """Per group the values at 1-based ranks; each rank is a column over the count *n*.
 
     *shares* say about where in the group the ranks lie (0 to 1). Keys must not be null;
-    groups without any value are absent.
+    groups without any value are absent. *again* is the number of further cuts.
     """
     by = keys or ["_all"]
-    left = ranges(rows, keys, value, ranks, shares)
+    left = ranges(rows, keys, value, ranks, shares, again)
     upto = F.sum("c").over(_running([*by, "name"], "v"))
     found = left.withColumn("upto", upto).filter(
         (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c"))
@@ -49,7 +55,7 @@ def ranges(
     value: str,
     ranks: Mapping[str, Column],
     shares: list[float],
-    again: int = AGAIN,
+    again: int = 0,
 ) -> DataFrame:
     """(keys or _all, name, rank, v, c): the distinct values, with counts, around each rank.
 
@@ -115,19 +121,19 @@ def nearest_rank(share: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("n")))
 
 
-def medians(rows: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+def medians(rows: DataFrame, keys: list[str], value: str, name: str = "median", again: int = 0) -> DataFrame:
     """Per group the interpolated median."""
     ranks = {
         "_low": F.floor((F.col("n") + 1) / 2),
         "_high": F.floor(F.col("n") / 2) + 1,
     }
-    middle = values_at_ranks(rows, keys, value, ranks, [0.5])
+    middle = values_at_ranks(rows, keys, value, ranks, [0.5], again)
     return middle.withColumn(name, (F.col("_low") + F.col("_high")) / 2).drop("_low", "_high")
 
 
 def percentiles(
-    rows: DataFrame, keys: list[str], value: str, shares: Mapping[str, float]
+    rows: DataFrame, keys: list[str], value: str, shares: Mapping[str, float], again: int = 0
 ) -> DataFrame:
     """Per group nearest-rank percentiles: always a value that occurs."""
     ranks = {name: nearest_rank(share) for name, share in shares.items()}
-    return values_at_ranks(rows, keys, value, ranks, list(shares.values()))
+    return values_at_ranks(rows, keys, value, ranks, list(shares.values()), again)
