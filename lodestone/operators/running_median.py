@@ -133,19 +133,34 @@ def _around_the_middle(rows: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
+def _in_spans(rows: DataFrame, span: int) -> DataFrame:
+    """rows(run_id, _cell, ...) with _span instead of _cell: cells of a run, in order, are put together
+    to *span* rows and more, so runs of few rows in many cells have few spans."""
+    before = Window.partitionBy("run_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("run_id", "_cell").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col("run_id").alias("_run"), F.col("_cell").alias("_of"),
+        F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / span).cast("long").alias("_span"),
+    )
+    here = F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("_cell") == F.col("_of"))
+    return rows.join(cells, here).drop("_run", "_of", "_cell")
+
+
 def running(costs: DataFrame, span: int = SPAN) -> DataFrame:
     """costs(run_id, position, cost) with seen, spent and own_median after every row, by position.
 
-    A span is *span* positions of a run and goes to one task; rows without a position are the
-    first span, rows without a run one span.
+    A span holds at least *span* rows of a run (but the last), at most *span* more if no position
+    repeats, and goes to one task; rows without a position come first, rows without a run are one span.
     """
     run_type = costs.schema["run_id"].dataType.simpleString()
     position_type = costs.schema["position"].dataType.simpleString()
-    rows = costs.select(
-        "run_id", "position", F.col("cost").cast("double").alias("cost"),
-        F.when(F.col("run_id").isNotNull() & F.col("position").isNotNull(), F.floor(F.col("position") / span).cast("long"))
-        .otherwise(F.lit(-(1 << 62)))
-        .alias("_span"),
+    rows = _in_spans(
+        costs.select(
+            "run_id", "position", F.col("cost").cast("double").alias("cost"),
+            F.when(F.col("run_id").isNotNull() & F.col("position").isNotNull(), F.floor(F.col("position") / span).cast("long"))
+            .otherwise(F.lit(-(1 << 62)))
+            .alias("_cell"),
+        ),
+        span,
     )
     before = Window.partitionBy("run_id").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     spans = (
