@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,7 +22,11 @@ SLACK = 1e-9
 BLOCK_QUERIES = 1024
 #: Records compared at once: at most, and at least where the direction changes.
 BLOCK_RECORDS = 4096
-LEAST_RECORDS = 64
+LEAST_RECORDS = 256
+#: Pairs scored one by one at once.
+CANDIDATES = 16_384
+#: Parts of the records in a join: every part has its copy of the queries and its k best of each.
+MOST_PARTS = 64
 FEW_QUERIES = 50_000
 
 
@@ -84,13 +89,17 @@ class Scan:
 
     def __init__(self, query_ids: Sequence, query_vectors: np.ndarray, k: int):
         self.query_ids, self.vectors, self.k = query_ids, query_vectors, k
-        self.scores: list[np.ndarray] = [np.zeros(0)] * len(query_ids)
-        self.ids: list[np.ndarray] = [np.zeros(0, dtype=object)] * len(query_ids)
-        #: The k-th best score of each query.
-        self.least = np.full(len(query_ids), -np.inf)
+        #: The k best of each query, best first; places not yet taken score -inf.
+        self.scores = np.full((len(query_ids), k), -np.inf)
+        self.ids: np.ndarray | None = None
         #: (query, record) pairs scored, and pairs that were skipped.
         self.compared = self.skipped = 0
 
+    @property
+    def least(self) -> np.ndarray:
+        """The k-th best score of each query."""
+        return self.scores[:, -1]
+
     def bounds(self, block: np.ndarray) -> np.ndarray:
         """What no score of a query with this block exceeds."""
         centre = block.mean(axis=0)
@@ -106,33 +115,99 @@ class Scan:
         return np.where(np.abs(self.vectors).max(axis=1) == 0, 0.0, np.maximum(most, 0.0) if zero else most)
 
     def add(self, ids: np.ndarray, block: np.ndarray) -> None:
+        if not len(self.vectors) or not len(ids):
+            return
+        count = len(ids)
+        ids, block = _few_copies(ids, np.ascontiguousarray(block), self.k)
+        if self.ids is None:
+            self.ids = np.zeros(self.scores.shape, dtype=ids.dtype)
+        elif self.ids.dtype != ids.dtype:
+            self.ids, ids = self.ids.astype(object), ids.astype(object)
+        reached = self.bounds(block) >= self.least - SLACK
         for low in range(0, len(self.vectors), BLOCK_QUERIES):
-            near = np.flatnonzero(self.bounds(block)[low : low + BLOCK_QUERIES] >= self.least[low : low + BLOCK_QUERIES] - SLACK) + low
-            self.skipped += (min(BLOCK_QUERIES, len(self.vectors) - low) - len(near)) * len(ids)
-            self.compared += len(near) * len(ids)
+            near = np.flatnonzero(reached[low : low + BLOCK_QUERIES]) + low
+            self.skipped += (min(BLOCK_QUERIES, len(self.vectors) - low) - len(near)) * count
+            self.compared += len(near) * count
             if not len(near):
                 continue
-            found = np.round(self.vectors[near] @ block.T, SCORE_DIGITS) + 0.0
-            for place, row in zip(near.tolist(), found):
-                kept = np.flatnonzero(row >= self.least[place])
-                if not len(kept):
-                    continue
-                scores = np.concatenate([self.scores[place], row[kept]])
-                own = np.concatenate([self.ids[place], ids[kept]])
-                order = np.lexsort((own, -scores))[: self.k]
-                self.scores[place], self.ids[place] = scores[order], own[order]
-                if len(order) == self.k:
-                    self.least[place] = scores[order[-1]]
+            rough = self.vectors[near] @ block.T
+            hits = rough >= (self.least[near] - SLACK)[:, None]
+            many = np.flatnonzero(hits.sum(axis=1) > 2 * self.k)
+            if len(many):
+                own = np.where(hits[many], rough[many], -np.inf)
+                bar = np.partition(own, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+                hits[many] &= rough[many] >= (bar - SLACK)[:, None]
+            ends = np.cumsum(hits.sum(axis=1))
+            start = 0
+            while start < len(near):
+                done = ends[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(ends, done + CANDIDATES, "right")))
+                place, column = np.nonzero(hits[start:end])
+                self._keep(near[start + place], ids[column], block[column])
+                start = end
+
+    def _keep(self, places: np.ndarray, ids: np.ndarray, records: np.ndarray) -> None:
+        """Scores candidates, one sum a pair so that copies score the same, and keeps the k best."""
+        if not len(places):
+            return
+        scores = np.round((self.vectors[places] * records).sum(axis=1), SCORE_DIGITS) + 0.0
+        better = scores >= self.least[places]
+        places, ids, scores = places[better], ids[better], scores[better]
+        changed = np.unique(places)
+        held = np.nonzero(self.scores[changed] > -np.inf)
+        places = np.concatenate([changed[held[0]], places])
+        scores = np.concatenate([self.scores[changed][held], scores])
+        ids = np.concatenate([self.ids[changed][held], ids])
+        order = np.lexsort((ids, -scores, places))
+        places, scores, ids = places[order], scores[order], ids[order]
+        rank = np.arange(len(places)) - np.searchsorted(places, places)
+        kept = rank < self.k
+        self.scores[places[kept], rank[kept]] = scores[kept]
+        self.ids[places[kept], rank[kept]] = ids[kept]
 
     def result(self) -> pd.DataFrame:
-        counts = [len(scores) for scores in self.scores]
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(np.asarray(self.query_ids, dtype=object), counts),
-                "id": np.concatenate(self.ids) if counts else [],
-                "score": np.concatenate(self.scores) if counts else [],
-            }
-        )
+        place, rank = np.nonzero(self.scores > -np.inf)
+        asked = np.empty(len(self.query_ids), dtype=object)
+        asked[:] = self.query_ids
+        ids = self.ids[place, rank] if self.ids is not None else []
+        return pd.DataFrame({"query_id": asked[place], "id": ids, "score": self.scores[place, rank]})
+
+
+def _few_copies(ids: np.ndarray, block: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Without the copies of a vector beyond the k least ids: no list of k can hold those."""
+    if len(ids) <= k:
+        return ids, block
+    _, kind, sizes = np.unique(block.view(np.dtype((np.void, block.shape[1] * block.itemsize)))[:, 0], return_inverse=True, return_counts=True)
+    if sizes.max() <= k:
+        return ids, block
+    order = np.lexsort((ids, kind))
+    rank = np.arange(len(order)) - np.searchsorted(kind[order], kind[order])
+    kept = np.sort(order[rank < k])
+    return ids[kept], block[kept]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows."""
+    if column.null_count:
+        raise ValueError("a vector is missing")
+    return np.array(column.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(column), -1)
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
+
+
+def _batch(scan: Scan, rows: pa.Schema) -> pa.RecordBatch:
+    schema = pa.schema([rows.field("query_id"), rows.field("id"), pa.field("score", pa.float64())])
+    return pa.RecordBatch.from_pandas(scan.result(), schema=schema, preserve_index=False)
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy(zero_copy_only=False)
+    out = np.empty(len(column), dtype=object)
+    out[:] = column.to_pylist()
+    return out
 
 
 def _output_schema(queries: DataFrame, index: DataFrame) -> StructType:
@@ -160,13 +235,14 @@ def similarity_join(
     """queries(query_id, embedding) x index(id, embedding) -> query_id, id, score, rank.
 
     Exact, and one plan: nothing runs while it is built. Vectors are scaled to length one.
-    Records are dealt evenly over the shuffle partitions by a hash of their id and sorted by
-    direction inside; every partition gets all queries and streams its records past them in
-    blocks (`Scan`), which are skipped for queries they cannot improve. Only the k best per
-    query leave a task. A task holds one block of queries: choose *query_blocks* so that
-    this fits (each block has its own copy of the records).
+    Records are dealt evenly over the shuffle partitions (`MOST_PARTS` at most, so copies of the
+    queries do not grow with the partitions) by a hash of their id and sorted by direction
+    inside; every partition gets all queries and streams its records past them in blocks
+    (`Scan`), which are skipped for queries they cannot improve. Only the k best per query leave
+    a task. A task holds one block of queries: choose *query_blocks* so that this fits and for
+    more tasks (each block has its own copy of the records).
     """
-    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    parts = min(MOST_PARTS, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     schema = _output_schema(queries, index)
 
     def everywhere(count: int) -> Column:
@@ -185,44 +261,48 @@ def similarity_join(
     right = right.select("b", "p", _direction(F.col("embedding")).alias("cell"), none["query_id"], "id", "embedding")
     placed = left.union(right).repartition(parts * query_blocks, "b", "p").sortWithinPartitions("b", "p", "cell", "id")
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, asked, held, running = None, [], [], None
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last, running = None, None, None
+        asked: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []
 
         def cell_done() -> None:
             if held and running is not None:
-                rows = pd.concat(held)
-                running.add(rows["id"].to_numpy(dtype=object), np.stack(rows["embedding"].to_numpy()))
+                rows = pa.Table.from_batches(held).combine_chunks()
+                running.add(_ids(_one(rows["id"])), _matrix(_one(rows["embedding"])))
             held.clear()
 
-        def started() -> Scan | None:
-            rows = pd.concat(asked) if asked else None
-            asked.clear()
-            if rows is None:
-                return None
-            return Scan(rows["query_id"].tolist(), np.stack(rows["embedding"].to_numpy()), k)
-
         for batch in batches:
-            for (b, p, cell), rows in batch.groupby(["b", "p", "cell"], sort=False):
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for low, high in zip(edges, edges[1:]):
+                b, p, cell = keys[low].tolist()
+                rows = batch.slice(low, high - low)
                 if (b, p) != group:
                     cell_done()
                     if running is not None:
-                        yield running.result()
+                        yield _batch(running, rows.schema)
                     group, running, last = (b, p), None, None
                     asked.clear()
                 if cell < 0:
                     asked.append(rows)
                     continue
                 if asked:
-                    running = started()
-                if sum(map(len, held)) >= (BLOCK_RECORDS if cell == last else LEAST_RECORDS):
+                    all_asked = pa.Table.from_batches(asked).combine_chunks()
+                    running = Scan(all_asked["query_id"].to_pylist(), _matrix(_one(all_asked["embedding"])), k)
+                    schema_of = rows.schema
+                    asked.clear()
+                if sum(r.num_rows for r in held) >= (BLOCK_RECORDS if cell == last else LEAST_RECORDS):
                     cell_done()
                 last = cell
                 held.append(rows)
         cell_done()
         if running is not None:
-            yield running.result()
+            yield _batch(running, schema_of)
 
-    return top_k(placed.mapInPandas(scan, schema), k)
+    return top_k(placed.mapInArrow(scan, schema), k)
 
 
 def similarity_join_few(queries: DataFrame, index: DataFrame, k: int, most: int = FEW_QUERIES) -> DataFrame:
@@ -231,25 +311,28 @@ def similarity_join_few(queries: DataFrame, index: DataFrame, k: int, most: int
     They are read while the plan is built and sent to every task, so the index is not shuffled.
     More of them are refused.
     """
-    rows = queries.select("query_id", vectors.unit(F.col("embedding")).alias("embedding")).limit(most + 1).collect()
-    if len(rows) > most:
+    rows = queries.select("query_id", vectors.unit(F.col("embedding")).alias("embedding")).limit(most + 1).toArrow()
+    if rows.num_rows > most:
         raise ValueError(f"more than {most} queries: use similarity_join")
     schema = _output_schema(queries, index)
-    if not rows:
+    if not rows.num_rows:
         return queries.sparkSession.createDataFrame([], schema.add("rank", "int"))
-    asked = [r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], dtype=float)
+    asked = rows["query_id"].to_pylist(), _matrix(_one(rows["embedding"]))
+    query_field = rows.schema.field("query_id")
     shared = queries.sparkSession.sparkContext.broadcast(asked)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        running = Scan(*shared.value, k)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running, held = Scan(*shared.value, k), None
         for batch in batches:
-            for low in range(0, len(batch), BLOCK_RECORDS):
-                rows = batch.iloc[low : low + BLOCK_RECORDS]
-                running.add(rows["id"].to_numpy(dtype=object), np.stack(rows["embedding"].to_numpy()))
-        yield running.result()
+            held = batch.schema
+            for low in range(0, batch.num_rows, BLOCK_RECORDS):
+                rows = batch.slice(low, BLOCK_RECORDS)
+                running.add(_ids(rows.column(0)), _matrix(rows.column(1)))
+        if held is not None:
+            yield _batch(running, pa.schema([query_field, held.field("id")]))
 
     records = index.select("id", vectors.unit(F.col("embedding")).alias("embedding"))
-    return top_k(records.mapInPandas(scan, schema), k)
+    return top_k(records.mapInArrow(scan, schema), k)
 
 
 # --- retrieval ----------------------------------------------------------------
