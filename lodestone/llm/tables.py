@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import ship_package, stage
+from lodestone.session import prepare, stage
 
 #: A staged side is sent to every executor up to this many bytes, joined by a shuffle beyond.
 BROADCAST_BYTES = 48 << 20
@@ -22,18 +22,6 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-#: Rows of an Arrow batch; whole texts are long, so fewer than Spark's default.
-BATCH_ROWS = 1000
-_ROWS, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-
-
-def prepare(spark: SparkSession) -> None:
-    """Send this package to the Python workers; make Arrow batches of texts smaller unless the session chose."""
-    ship_package(spark)
-    if spark.conf.get(_ROWS, _DEFAULT) == _DEFAULT:
-        spark.conf.set(_ROWS, str(BATCH_ROWS))
-
-
 def shipped(query: Callable) -> Callable:
     """The query, with this package sent to the Python workers first."""
 
