@@ -76,10 +76,12 @@ def pack_context(retrieved: DataFrame, budgets: DataFrame) -> DataFrame:
             ).alias("out"),
         )
 
-    decided = budgeted.select(
-        "query_id", F.explode(F.aggregate("passages", start, step, lambda acc: acc["out"])).alias("d")
-    ).select("query_id", "d.*")
-    joined = rendered.join(decided, ["query_id", "position"])
+    # Joined by query alone: what follows by query needs no second shuffle of the texts.
+    decided = budgeted.select("query_id", F.aggregate("passages", start, step, lambda acc: acc["out"]).alias("_out"))
+    own = F.get(F.filter("_out", lambda x: x["position"] == F.col("position")), 0)
+    joined = rendered.join(decided, "query_id").withColumn("_own", own).filter(F.col("_own").isNotNull()).select(
+        *[c for c in rendered.columns], "_own.decision", "_own.number"
+    )
     included = F.col("decision") == "included"
     return joined.select(
         *[c for c in retrieved.columns],
