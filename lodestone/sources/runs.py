@@ -113,11 +113,14 @@ def expected_sources(questions: DataFrame) -> DataFrame:
 
 
 # --- run exports --------------------------------------------------------------------
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Run exports (one JSON document per file); unreadable or other formats are left out."""
+def read_runs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Run exports, one JSON document per file or, with *lines*, one per line; unreadable or other formats are left out.
+
+    A file each costs the driver a listing and a commit, a line does not: pack many runs as lines.
+    """
     runs = (
         spark.read.schema(f"{RUN_SCHEMA}, {_BAD} string")
-        .option("multiLine", "true")
+        .option("multiLine", str(not lines).lower())
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _BAD)
         .option("pathGlobFilter", "*.json")
