@@ -345,7 +345,8 @@ def decisions(spark, folder):
     asked = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
     retrieved = docs.select(F.col("doc_id").alias("query_id"), (F.col("doc_id") % 9).alias("retrieved"))
     verdicts = answers.parse_verdicts(verdict_table(spark, folder))
-    read = parsed(spark, folder)
+    # The labels and the drafts go different ways: replies are parsed once.
+    read = stage(parsed(spark, folder).select("query_id", "rule", "answer", "labels", "support"), "parsed")
     return answers.answer_decision(asked, retrieved, read, outcome(spark, folder, read), verdicts)
 
 

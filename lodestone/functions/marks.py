@@ -17,6 +17,8 @@ REFERENCE = (
     rf"(?U)(?:({k.SOURCE_WORD})[ \t]*:?[ \t]*{k.DESCRIBED_LABEL}(?:{k.LABEL_JOIN}{k.DESCRIBED_LABEL})*"
     rf"|{k.DESCRIBED_LABEL}(?:{k.LABEL_JOIN}{k.DESCRIBED_LABEL})+)"
 )
+#: What every reference holds; found at less cost than a reference.
+A_LABEL = r"(?U)S\d"
 FRONTED = (
     rf"^({'|'.join(k.REFERENCE_INTROS)})[ \t]+(?:(?:{'|'.join(k.REFERENCE_ARTICLES)})[ \t]+)?"
     rf"{REFERENCE}[ \t]*,?[ \t]*"
@@ -131,7 +133,7 @@ def drop_references(answer: Column) -> Column:
     """
     lines = F.transform(
         F.split(answer, "\n"),
-        lambda line: F.when(line.rlike(REFERENCE), _line_without_references(line)).otherwise(line),
+        lambda line: F.when(line.rlike(A_LABEL) & line.rlike(REFERENCE), _line_without_references(line)).otherwise(line),
     )
     joined = F.array_join(F.filter(lines, lambda line: line.isNotNull()), "\n")
     tidy = F.regexp_replace(F.regexp_replace(joined, r"\n{3,}", "\n\n"), r"\A\n+|\n+\z", "")

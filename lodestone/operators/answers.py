@@ -200,7 +200,10 @@ def answer_decision(
     answered = F.col("outcome") == "answered"
     base = decided.withColumn(
         "cited", F.coalesce("cited", F.array().cast(f"array<{CITED}>"))
-    ).withColumn("citations", F.coalesce("citations", F.array().cast(empty))).withColumn("answer", F.coalesce("draft", F.lit("")))
+    ).withColumn("citations", F.coalesce("citations", F.array().cast(empty)))
+    # Only published drafts are numbered and only the questions of refusals are read: both are whole texts.
+    base = base.withColumn("answer", F.when(answered, F.col("draft")).otherwise(""))
+    refused = F.when(~answered, F.col("question"))
     presented = number_citations(base)
     return presented.select(
         "query_id",
@@ -208,7 +211,7 @@ def answer_decision(
         "error",
         F.when(answered, F.col("presented"))
         .when(F.col("outcome").isNull(), "")
-        .otherwise(t.refusal_text(t.detect_language(F.col("question"))))
+        .otherwise(t.refusal_text(t.detect_language(refused)))
         .alias("answer"),
         F.when(answered, F.col("ordered_citations")).otherwise(F.array().cast(empty)).alias("citations"),
         F.coalesce("unknown_labels", F.array().cast("array<string>")).alias("unknown_labels"),
