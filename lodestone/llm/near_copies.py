@@ -11,7 +11,8 @@ shingles; groups are the connected components of the verified links.
 
 A bucket gives all its pairs up to `SMALL` members. A larger one is a family of near copies;
 it gives a forest over its members, in an order that differs by fingerprint and segment, so a
-family gets nine different forests to be verified, and no bucket gives all pairs.
+family gets nine different forests to be verified. Of the pairs that forests leave out, those
+whose ends are in different components by then are verified too: the groups are those of all pairs.
 
 Texts that are equal are one from the start. Cases: null counts as empty; all texts without
 words are one group; a null id is larger than any.
@@ -98,8 +99,39 @@ def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
+def _apart(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, twin, fp, component) sorted by key -> all pairs within the distance whose components differ."""
+
+    def found(twins: np.ndarray, fps: np.ndarray, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if (parts == parts[0]).all():
+            return
+        for low in range(0, len(twins), BLOCK):
+            own = slice(low, low + BLOCK)
+            for other in range(low, len(twins), BLOCK):
+                against = slice(other, other + BLOCK)
+                near = (differing(fps[own][:, None], fps[against][None, :]) <= DISTANCE) & (parts[own][:, None] != parts[against][None, :])
+                i, j = np.nonzero(near)
+                a, b = twins[own][i], twins[against][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    key, held = None, []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        edges = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
+        for low, high in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+            if low == high:
+                continue
+            if held and columns[0][low] != key:
+                yield from found(*(np.concatenate(c) for c in zip(*held)))
+                held = []
+            key = columns[0][low]
+            held.append([c[low:high].copy() for c in columns[1:]])
+    if held:
+        yield from found(*(np.concatenate(c) for c in zip(*held)))
+
+
 def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, twin, fp) sorted by key -> candidate pairs (a, b), a < b."""
+    """Rows (key, twin, fp) sorted by key -> candidate pairs (a, b), a < b, and (key, null) for large buckets."""
 
     def found(keys: np.ndarray, twins: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -123,7 +155,9 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (twins[np.concatenate(side)] if side else twins[:0] for side in (left, right))
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        large = keys[starts[sizes > SMALL]]
+        a, b = np.concatenate([pairs[:, 0], large]), np.concatenate([pairs[:, 1], large])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=np.arange(len(b)) >= len(pairs))], ["a", "b"])
 
     waiting: list[list[np.ndarray]] = []
     count = 0
@@ -157,11 +191,8 @@ def _shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), values], ["twin", "shingles"])
 
 
-def near_pairs(docs: DataFrame, prints: DataFrame, text_col: str) -> DataFrame:
-    """(a, b): hashes of texts that are candidates and near."""
-    texts = prints.groupBy("twin").agg(*[F.first(f"fp{k}").alias(f"fp{k}") for k in range(PRINTS)])
-    keyed = signatures(texts).repartition("key").sortWithinPartitions("key")
-    candidates = stage(keyed.mapInArrow(_pairs, "a long, b long").distinct(), "near-candidates")
+def _proved(docs: DataFrame, candidates: DataFrame, text_col: str) -> DataFrame:
+    """The candidates (a, b) that share enough shingles."""
     wanted = side(candidates.select(F.explode(F.array("a", "b")).alias("twin")).distinct(), "near-texts", F.lit(8))
     twin = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     asked = docs.select(twin.alias("twin"), F.col(text_col).alias("text")).join(wanted, "twin", "left_semi").dropDuplicates(["twin"])
@@ -173,6 +204,29 @@ def near_pairs(docs: DataFrame, prints: DataFrame, text_col: str) -> DataFrame:
     return both.where(F.col("shared") >= LEAST * union).select("a", "b")
 
 
+def near_pairs(docs: DataFrame, prints: DataFrame, text_col: str) -> DataFrame:
+    """(a, b): texts that are near, enough of them that their components are those of all candidates that are near.
+
+    First all pairs of small buckets and the forests of large ones are proved. Then every pair of a large
+    bucket whose ends are still in different components is, so no link that would join two groups is left out.
+    """
+    texts = prints.groupBy("twin").agg(*[F.first(f"fp{k}").alias(f"fp{k}") for k in range(PRINTS)])
+    keyed = signatures(texts).repartition("key").sortWithinPartitions("key")
+    found = stage(keyed.mapInArrow(_pairs, "a long, b long").distinct(), "near-candidates")
+    links = stage(_proved(docs, found.where("b IS NOT NULL"), text_col), "near-proved")
+    large = side(found.where("b IS NULL").select(F.col("a").alias("key")), "near-large", F.lit(8))
+    if large.isEmpty():
+        return links
+    parts = side(connected_components(links).select(F.col("node").alias("twin"), "component"), "near-parts", F.lit(16))
+    held = signatures(texts).join(large, "key", "left_semi").join(parts, "twin", "left")
+    held = held.select("key", "twin", "fp", F.coalesce("component", "twin").alias("component"))
+    mixed = held.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    mixed = side(mixed.where("least < most").select("key"), "near-mixed", F.lit(8))
+    apart = held.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key")
+    rest = stage(apart.mapInArrow(_apart, "a long, b long").distinct().join(found, ["a", "b"], "left_anti"), "near-rest")
+    return links.union(_proved(docs, rest, text_col))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, twin, component) for every row; rows of one component are near copies of each other."""
     prints = stage(fingerprints(docs, id_col, text_col), "near-prints")
