@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
@@ -205,7 +206,7 @@ class WordIds:
         for low in range(0, len(missing), 20_000):
             part = missing[low : low + 20_000]
             coded = self.tokenizer.encode_batch_fast([w if isinstance(w, str) else w.decode() for w in part], add_special_tokens=False)
-            self.new.update(zip(part, (np.array(x.ids, dtype="<u4").tobytes() for x in coded)))
+            self.new.update(zip(part, (array("I", x.ids).tobytes() for x in coded)))
             self.long += [w for w in part if len(w) > LONGEST_KEPT]
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
