@@ -16,19 +16,20 @@ with one doc_id follow each other in the order of their texts; no documents, no
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.flat import SPACE
+from lodestone.llm.flat import SPACE, slices
 from lodestone.llm.tables import read, side
 
 #: Selector -> (ids in a word, bits of each).
@@ -41,6 +42,10 @@ END_ID = 1
 WORDS_KEPT = 400_000
 #: Longer ones are not remembered beyond the texts at hand.
 LONGEST_KEPT = 256
+#: Bytes of text whose words are looked up together.
+SLICE_BYTES = 4 << 20
+#: New words of letters sent through the tokenizer as one text.
+AT_ONCE = 2000
 COUNTS = np.array([n for n, _ in FORMS] + [1], dtype=np.int64)
 
 
@@ -149,30 +154,71 @@ def decode(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
 
 
 # --- encoding texts ------------------------------------------------------------
-STOPS = np.zeros(256, dtype=bool)
-STOPS[list(b".,")] = True
-ALNUM = np.zeros(256, dtype=bool)
-ALNUM[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
-#: Second byte of the letters U+00E0 to U+00FF behind 0xC3; U+00F7 is a division sign.
+#: The splitting rule under which letters, marks and digits are separate pieces.
+APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Kinds of bytes: letters and digits of ASCII, marks other than the apostrophe, the rest.
+OTHER, PLAIN, MARK = range(3)
+KINDS = bytes(PLAIN if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else MARK if 33 <= b < 127 and b != 39 and not chr(b).isalnum() else OTHER for b in range(256))
+PLAINS = np.frombuffer(KINDS, dtype=np.uint8) == PLAIN
+#: Second byte of the letters U+00E0 to U+00FF behind 0xC3 (U+00F7 is a division sign), and of their capitals.
 LATIN = np.zeros(256, dtype=bool)
 LATIN[[b for b in range(0xA0, 0xC0) if b != 0xB7]] = True
+CAPITAL = np.zeros(256, dtype=bool)
+CAPITAL[[b for b in range(0x80, 0x9F) if b != 0x97]] = True
+#: Words that the normalizer leaves as they are and the splitting rule leaves whole.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
 
 
-def plain_words(text: bytes) -> list[bytes]:
-    """Words of a text for a lower-casing tokenizer that separates letters from marks.
+def plain_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and the first word of each (and the end), for a lower-casing
+    tokenizer that separates letters from marks.
 
-    A full stop or comma between a letter or digit and white space is a word of its own,
-    and A-Z become a-z: the tokenizer gives the same ids, and far fewer words are distinct.
-    Texts that may hold a special token keep their case.
+    Marks and the letters or digits beside them are words of their own, and capitals become
+    small: the tokenizer gives the same ids, and far fewer words are distinct. Texts that may
+    hold a special token, or marks that join a letter before them, stay as they are.
     """
-    if b"<|" not in text:
-        text = text.lower()
-    data = np.frombuffer(text + b" ", dtype=np.uint8)
-    at = np.flatnonzero(STOPS[data])
-    at = at[at >= 2]
-    before = data[at - 1]
-    apart = (ALNUM[before] | (LATIN[before] & (data[at - 2] == 0xC3))) & SPACE[data[at + 1]]
-    return (np.insert(data, at[apart], 32).tobytes() if apart.any() else text).split()
+    kept = np.array([b"<|" in t or b"\xcc" in t or b"\xcd" in t for t in texts], dtype=bool)
+    # Blanks end each text; the last two also stand before the first byte.
+    raw = b" ".join([*(t if k else t.lower() for t, k in zip(texts, kept.tolist())), b" "])
+    edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
+
+    def changed(at: np.ndarray) -> np.ndarray:
+        return at[~kept[np.searchsorted(edges, at, "right") - 1]] if kept.any() else at
+
+    data = np.frombuffer(raw, dtype=np.uint8)
+    second = np.flatnonzero(data == 0xC3) + 1
+    second = changed(second[CAPITAL[data[second]]])
+    if len(second):
+        data = data.copy()
+        data[second] += 0x20
+    at = changed(np.flatnonzero(np.frombuffer(raw.translate(KINDS), dtype=np.uint8) == MARK))
+    left, right = data[at - 1], data[at + 1]
+    before = PLAINS[left] | (LATIN[left] & (data[at - 2] == 0xC3))
+    after = PLAINS[right] | ((right == 0xC3) & LATIN[data[np.minimum(at + 2, len(data) - 1)]])
+    places = np.sort(np.concatenate([at[before], at[after] + 1]))
+    data = np.insert(data, places, 32)
+    edges += np.searchsorted(places, edges)
+    solid = ~SPACE[data]
+    turns = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    bounds = np.concatenate([[0], turns]) if solid[0] else turns
+    offsets = np.concatenate([[0], np.cumsum(bounds[1::2] - bounds[::2])])
+    buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[solid])]
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, buffers), np.searchsorted(bounds[::2], edges)
+
+
+class Known(dict):
+    """Words with their ids; a missing one is taken from the older generation, or noted and None."""
+
+    def __init__(self, old: dict):
+        self.old, self.missing = old, []
+
+    def __missing__(self, word):
+        ids = self.old.get(word)
+        if ids is None:
+            self.missing.append(word)
+        else:
+            self[word] = ids
+        return ids
 
 
 class WordIds:
@@ -191,38 +237,88 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.new: dict[bytes | str, bytes] = {}
-        self.old: dict[bytes | str, bytes] = {}
-        self.long: list[bytes | str] = []
+        self.new, self.long = Known({}), []
+        self.bare, self.ends = self._bare(json.loads(vocabulary))
 
-    def learn(self, words: Iterable[bytes | str]) -> None:
-        missing = []
-        for word in set(words).difference(self.new):
-            ids = self.old.get(word)
-            if ids is None:
-                missing.append(word)
-            else:
-                self.new[word] = ids
-        for low in range(0, len(missing), 20_000):
-            part = missing[low : low + 20_000]
+    @staticmethod
+    def _bare(vocabulary: dict):
+        """The same model for many words of letters at once, and which ids end a word; None where that is not sure."""
+        from tokenizers import Tokenizer
+
+        model, rule = vocabulary["model"], (vocabulary.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        suffix = model.get("end_of_word_suffix")
+        if model["type"] != "BPE" or not suffix or len(rule) != 2 or rule[0].get("pattern") != {"Regex": APART} or rule[1]["type"] != "ByteLevel":
+            return None, None
+        split = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, rule[1]]}
+        bare = Tokenizer.from_str(json.dumps(vocabulary | {"normalizer": None, "pre_tokenizer": split, "added_tokens": [], "truncation": None, "padding": None}))
+        ends = np.zeros(max(model["vocab"].values()) + 1, dtype=bool)
+        ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+        return bare, ends
+
+    @property
+    def old(self) -> dict[bytes | str, bytes]:
+        return self.new.old
+
+    def _coded(self, words: list[bytes | str]) -> Iterator[tuple[bytes | str, bytes]]:
+        """(word, its ids) of each word."""
+        rest = words
+        if self.bare is not None:
+            plain, rest = [], []
+            for word in words:
+                (plain if LETTERS.fullmatch(word) else rest).append(word)
+            for low in range(0, len(plain), AT_ONCE):
+                part = plain[low : low + AT_ONCE]
+                ids = np.array(self.bare.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+                stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+                if len(stops) != len(part):
+                    rest += part
+                    continue
+                raw = ids.tobytes()
+                yield from zip(part, (raw[s:e] for s, e in zip([0, *stops], stops)))
+        for low in range(0, len(rest), 20_000):
+            part = rest[low : low + 20_000]
             coded = self.tokenizer.encode_batch_fast([w if isinstance(w, str) else w.decode() for w in part], add_special_tokens=False)
-            self.new.update(zip(part, (array("I", x.ids).tobytes() for x in coded)))
-            self.long += [w for w in part if len(w) > LONGEST_KEPT]
-
-    def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, with *end* behind."""
-        words = [plain_words(text) for text in texts]
-        self.learn(chain.from_iterable(words))
-        coded = [b"".join(map(self.new.__getitem__, own)) + end for own in words]
+            yield from zip(part, (array("I", x.ids).tobytes() for x in coded))
+
+    def _add(self, words: Iterable[bytes | str]) -> None:
+        words = list(set(words))
+        self.new.update(self._coded(words))
+        self.long += [w for w in words if len(w) > LONGEST_KEPT]
+
+    def learn(self, words: Iterable[bytes | str]) -> None:
+        for _ in map(self.new.__getitem__, set(words).difference(self.new)):
+            pass
+        self._add(self.new.missing)
+        self.new.missing.clear()
+
+    def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
+        """32-bit ids of each text, with the end id behind."""
+        if not texts:
+            return []
+        words, firsts = plain_words(texts)
+        distinct = words.dictionary_encode()
+        known = distinct.dictionary.to_pylist()
+        ids = list(map(self.new.__getitem__, known))
+        self._add(self.new.missing)
+        self.new.missing.clear()
+        ids = [self.new[word] if own is None else own for word, own in zip(known, ids)]
         self.forget()
-        return coded
+        pool = np.frombuffer(b"".join([*ids, np.array([end_id], dtype="<u4").tobytes()]), dtype="<u4")
+        sizes = np.array([*map(len, ids), 4]) // 4
+        codes = np.insert(distinct.indices.to_numpy(), firsts[1:], len(ids))
+        counts = sizes[codes]
+        ends = np.cumsum(counts)
+        starts = (np.cumsum(sizes) - sizes)[codes]
+        flat = pool[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1])]
+        return np.split(flat, ends[firsts[1:] + np.arange(len(texts))][:-1])
 
     def forget(self) -> None:
         for word in self.long:
             del self.new[word]
         self.long.clear()
         if len(self.new) > self.kept:
-            self.old, self.new = self.new, {}
+            self.new.old = {}
+            self.new = Known(self.new)
 
 
 @cache
@@ -238,24 +334,24 @@ def _write(vocabulary, end_id: int, file_ids: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, end = word_ids(vocabulary.value), np.array([end_id], dtype="<u4").tobytes()
+        coder = word_ids(vocabulary.value)
         part, seq = TaskContext.get().partitionId(), 0
         ids, coded, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
             known = pa.array(ids, pa.int64())
-            counts = np.array([len(x) // 4 for x in coded], dtype="<u8")
-            row = (ids[0], part, seq, _ids_to_bytes(known), counts.tobytes(), int(counts.sum()), encode(np.frombuffer(b"".join(coded), dtype="<u4")))
+            counts = np.array([len(x) for x in coded], dtype="<u8")
+            row = (ids[0], part, seq, _ids_to_bytes(known), counts.tobytes(), int(counts.sum()), encode(np.concatenate(coded)))
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, FILES)], schema=FILES)
 
         for batch in batches:
-            texts = batch.column(1)
-            for low in range(0, batch.num_rows, 256):
-                own = [(t.as_py() or "").encode() for t in texts.slice(low, 256)]
-                for doc_id, data in zip(batch.column(0).slice(low, 256).to_pylist(), coder.encode(own, end)):
+            for low, high, data, offsets in slices(batch.column(1), SLICE_BYTES):
+                raw = data.tobytes()
+                texts = [raw[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                for doc_id, found in zip(batch.column(0).slice(low, high - low).to_pylist(), coder.encode(texts, end_id)):
                     ids.append(doc_id)
-                    coded.append(data)
-                    held += len(data) // 4
+                    coded.append(found)
+                    held += len(found)
                     if held >= file_ids:
                         yield flush()
                         ids, coded, held, seq = [], [], 0, seq + 1
