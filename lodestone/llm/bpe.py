@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.encoded import WordIds
 from lodestone.llm.flat import BYTE_VALUES, powers, prefix, slices, WORD_BASE
-from lodestone.llm.tables import read
+from lodestone.llm.tables import read, released
 
 WINDOW_BYTES, CUT_BITS = 16, 8
 LEAST_CHUNK, MOST_CHUNK = 64, 8192
@@ -45,7 +45,7 @@ MARGIN = 4
 CHUNK_CHARS = 1_000_000
 #: Pieces a worker remembers, in each of two generations.
 PIECES = 120_000
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 #: The splitting rule for the characters that `COMMON` covers; the library splits the rest.
 PIECE = re.compile(r" ?[^\W\d_]+| ?\d+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -240,7 +240,7 @@ def encode_texts(docs: DataFrame, vocabulary_json: str, id_col: str = "doc_id",
     """(doc_id, ids, decoded): the ids of each whole text, and the text they decode to."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(vocabulary_json)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encode(vocabulary), CODED)
+    return rows.mapInArrow(released(_encode(vocabulary)), CODED)
 
 
 def byte_vocabulary() -> str:

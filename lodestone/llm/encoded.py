@@ -21,6 +21,7 @@ import os
 import re
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -238,16 +239,16 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.new, self.long = Known({}), []
-        self.bare, self.ends = self._bare(json.loads(vocabulary))
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.bare, self.ends = self._bare(json.loads(vocabulary), suffix) if suffix else (None, None)
 
     @staticmethod
-    def _bare(vocabulary: dict):
+    def _bare(vocabulary: dict, suffix: str):
         """The same model for many words of letters at once, and which ids end a word; None where that is not sure."""
         from tokenizers import Tokenizer
 
         model, rule = vocabulary["model"], (vocabulary.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        suffix = model.get("end_of_word_suffix")
-        if model["type"] != "BPE" or not suffix or len(rule) != 2 or rule[0].get("pattern") != {"Regex": APART} or rule[1]["type"] != "ByteLevel":
+        if len(rule) != 2 or rule[0].get("pattern") != {"Regex": APART} or rule[1]["type"] != "ByteLevel":
             return None, None
         split = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, rule[1]]}
         bare = Tokenizer.from_str(json.dumps(vocabulary | {"normalizer": None, "pre_tokenizer": split, "added_tokens": [], "truncation": None, "padding": None}))
@@ -286,8 +287,7 @@ class WordIds:
         self.long += [w for w in words if len(w) > LONGEST_KEPT]
 
     def learn(self, words: Iterable[bytes | str]) -> None:
-        for _ in map(self.new.__getitem__, set(words).difference(self.new)):
-            pass
+        deque(map(self.new.__getitem__, set(words)), 0)
         self._add(self.new.missing)
         self.new.missing.clear()
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import read
+from lodestone.llm.tables import read, released
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 17
@@ -131,7 +131,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     count = usable.count()
     share = min(1.0, rows / max(count, 1))
     sample = usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else usable
-    found = sample.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = sample.select("lang", "text").mapInArrow(released(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = found.toPandas()  # at most languages x buckets rows
     priors = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(set(table["lang"]))
@@ -180,7 +180,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     Without any learned language, the rows whose text has a letter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_accept(shared, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(released(_accept(shared, docs.columns.index(text_col))), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -191,7 +191,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(doc_id, held_out, lang_pred, score) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(released(_predict(shared)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

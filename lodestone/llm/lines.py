@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
 from lodestone.llm.flat import WORD_BASE, mix, powers
-from lodestone.llm.tables import parallelism, read, side
+from lodestone.llm.tables import parallelism, read, released, side
 from lodestone.session import stage
 
 Classes = tuple[tuple[int, int], ...]
@@ -294,15 +294,15 @@ def line_links(texts: DataFrame, classes: Classes = CLASSES) -> DataFrame:
     """(a, b, distance), a < b: all pairs of different lines that are near, by line id."""
     classes = checked(classes)
     parts = parallelism(texts.sparkSession)
-    packed = texts.select("text").mapInArrow(_keys(parts, classes), PACKED_SQL).repartitionById(parts, F.col("part"))
-    pairs = stage(packed.mapInArrow(_candidates, "a long, b long").distinct(), "line-pairs")
+    packed = texts.select("text").mapInArrow(released(_keys(parts, classes)), PACKED_SQL).repartitionById(parts, F.col("part"))
+    pairs = stage(packed.mapInArrow(released(_candidates), "a long, b long").distinct(), "line-pairs")
     needed = side(pairs.select(F.explode(F.array("a", "b")).alias("needed")).distinct(), "line-ids", F.lit(8))
     lines = occurrences(texts).join(needed, F.col("id") == F.col("needed")).groupBy("id").agg(F.min("line").alias("line"))
     lines = stage(lines, "line-texts")
     left = lines.select(F.col("id").alias("a"), F.col("line").alias("left"))
     right = lines.select(F.col("id").alias("b"), F.col("line").alias("right"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return joined.mapInArrow(_verify(classes), "a long, b long, distance int")
+    return joined.mapInArrow(released(_verify(classes)), "a long, b long, distance int")
 
 
 def line_classes(texts: DataFrame, classes: Classes = CLASSES) -> DataFrame:

@@ -13,6 +13,8 @@ A bucket gives all its pairs up to `SMALL` members. A larger one is a family of
 it gives a forest over its members, in an order that differs by fingerprint and segment, so a
 family gets nine different forests to be verified. Of the pairs that forests leave out, those
 whose ends are in different components by then are verified too: the groups are those of all pairs.
+Before, sketches of the sets rule out those that differ in too many shingles for certain, so that
+a family whose members are alike but not near gives few rows.
 
 Texts that are equal are one from the start. Cases: null counts as empty; all texts without
 words are one group; a null id is larger than any.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.components import connected_components
 from lodestone.llm.flat import mix, slices
 from lodestone.llm.simhash import differing, keep_one_of_each, majority
-from lodestone.llm.tables import side
+from lodestone.llm.tables import parallelism, released, side
 from lodestone.session import stage
 
 SHINGLE_WORDS, LEAST = 5, 0.8
@@ -39,6 +41,8 @@ DISTANCE, BITS, PRINTS = 5, 64, 3
 #: First bit of each segment, and the end.
 EDGES = (0, 22, 43, 64)
 SMALL, BLOCK = 24, 1024
+#: Bits of the sketch of a set of shingles, and pairs of sketches compared at once.
+SKETCH_BITS, SKETCHES = 1024, 16_384
 #: Rows of sorted keys looked at together.
 AT_ONCE = 100_000
 
@@ -65,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, twin, fp0, fp1, fp2) for every row; twin is a hash of the text."""
     twin = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), twin.alias("twin"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_prints, "doc_id long, twin long, " + ", ".join(f"fp{k} long" for k in range(PRINTS)))
+    return rows.mapInArrow(released(_prints), "doc_id long, twin long, " + ", ".join(f"fp{k} long" for k in range(PRINTS)))
 
 
 def signatures(texts: DataFrame) -> DataFrame:
@@ -100,9 +104,10 @@ def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _apart(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, twin, fp, component) sorted by key -> all pairs within the distance whose components differ."""
+    """Rows (key, twin, fp, component and, if known, size, sketch) sorted by key -> all pairs within the distance whose
+    components differ, without those whose sketches show that they share too few shingles."""
 
-    def found(twins: np.ndarray, fps: np.ndarray, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def found(twins: np.ndarray, fps: np.ndarray, parts: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> Iterator[pa.RecordBatch]:
         if (parts == parts[0]).all():
             return
         for low in range(0, len(twins), BLOCK):
@@ -110,13 +115,20 @@ def _apart(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for other in range(low, len(twins), BLOCK):
                 against = slice(other, other + BLOCK)
                 near = (differing(fps[own][:, None], fps[against][None, :]) <= DISTANCE) & (parts[own][:, None] != parts[against][None, :])
-                i, j = np.nonzero(near)
-                a, b = twins[own][i], twins[against][j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                i, j = np.nonzero(np.triu(near) if low == other else near)
+                for start in range(0, len(i), SKETCHES):
+                    x, y = i[start : start + SKETCHES] + low, j[start : start + SKETCHES] + other
+                    kept = may_be_near(sizes[x], sizes[y], sketches[x], sketches[y])
+                    a, b = twins[x[kept]], twins[y[kept]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     key, held = None, []
     for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]]
+        if batch.num_columns > 4:
+            columns.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_BITS // 64))
+        else:  # nothing is known of the sets, so nothing is ruled out
+            columns += [np.zeros(batch.num_rows, dtype=np.int64), np.zeros((batch.num_rows, 1), dtype=np.uint64)]
         edges = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
         for low, high in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
             if low == high:
@@ -130,6 +142,19 @@ def _apart(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found(*(np.concatenate(c) for c in zip(*held)))
 
 
+def may_be_near(sizes: np.ndarray, other_sizes: np.ndarray, sketches: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether two sets can share `LEAST` of their shingles; no pair that does is refused.
+
+    A bit of a sketch is the parity of the shingles that fall on it, so as many shingles as bits differ,
+    or more, are in one set only.
+    """
+    apart = np.bitwise_count(sketches ^ others).sum(axis=1, dtype=np.int64)
+    apart = np.maximum(apart, np.abs(sizes - other_sizes))
+    both = sizes + other_sizes
+    # Of |A| + |B| = 2 * shared + apart, shared is at least LEAST * (shared + apart); a little room for rounding.
+    return both - apart >= 2 * LEAST / (1 + LEAST) * both - 1e-6
+
+
 def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, twin, fp) sorted by key -> candidate pairs (a, b), a < b, and (key, null) for large buckets."""
 
@@ -178,25 +203,47 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 # --- proof --------------------------------------------------------------------------
+def _shingles(words: list[bytes]) -> np.ndarray:
+    """Hashes of the distinct five-word shingles of a text."""
+    count = max(1, len(words) - SHINGLE_WORDS + 1) if words else 0
+    hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + SHINGLE_WORDS])) for i in range(count)}
+    return np.fromiter(hashes, dtype=np.uint64, count=len(hashes))
+
+
 def _shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, texts in _texts(batch.column(1)):
-            sets = []
-            for words in texts:
-                count = max(1, len(words) - SHINGLE_WORDS + 1) if words else 0
-                hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + SHINGLE_WORDS])) for i in range(count)}
-                sets.append(np.fromiter(hashes, dtype=np.uint64, count=len(hashes)).view(np.int64))
+            sets = [_shingles(words).view(np.int64) for words in texts]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), values], ["twin", "shingles"])
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """For each bit the parity of the shingles that fall on it."""
+    places = np.bincount((shingles >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits(places & 1, bitorder="little").tobytes()
+
+
+def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low, high, texts in _texts(batch.column(1)):
+            sets = [_shingles(words) for words in texts]
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), sizes, pa.array(map(sketch, sets), pa.binary())], ["twin", "size", "sketch"])
+
+
+def _asked(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """(twin, text) of the wanted twins."""
+    wanted = side(wanted, "near-texts", F.lit(8))
+    twin = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select(twin.alias("twin"), F.col(text_col).alias("text")).join(wanted, "twin", "left_semi").dropDuplicates(["twin"])
+
+
 def _proved(docs: DataFrame, candidates: DataFrame, text_col: str) -> DataFrame:
     """The candidates (a, b) that share enough shingles."""
-    wanted = side(candidates.select(F.explode(F.array("a", "b")).alias("twin")).distinct(), "near-texts", F.lit(8))
-    twin = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    asked = docs.select(twin.alias("twin"), F.col(text_col).alias("text")).join(wanted, "twin", "left_semi").dropDuplicates(["twin"])
-    sets = stage(asked.mapInArrow(_shingle_sets, "twin long, shingles array<long>"), "near-shingles")
+    asked = _asked(docs, candidates.select(F.explode(F.array("a", "b")).alias("twin")).distinct(), text_col)
+    sets = stage(asked.mapInArrow(released(_shingle_sets), "twin long, shingles array<long>"), "near-shingles")
     a, b = (sets.select(F.col("twin").alias(n), F.col("shingles").alias(f"{n}_set")) for n in "ab")
     shared = F.size(F.array_intersect("a_set", "b_set"))
     both = candidates.join(a, "a").join(b, "b").withColumn("shared", shared)
@@ -204,15 +251,21 @@ def _proved(docs: DataFrame, candidates: DataFrame, text_col: str) -> DataFrame:
     return both.where(F.col("shared") >= LEAST * union).select("a", "b")
 
 
+def distinct_texts(prints: DataFrame) -> DataFrame:
+    """(twin, fp0, fp1, fp2), dealt over all tasks: a text becomes 192 rows, so few bytes are much work."""
+    dealt = prints.repartition(parallelism(prints.sparkSession), "twin")
+    return dealt.groupBy("twin").agg(*[F.first(f"fp{k}").alias(f"fp{k}") for k in range(PRINTS)])
+
+
 def near_pairs(docs: DataFrame, prints: DataFrame, text_col: str) -> DataFrame:
     """(a, b): texts that are near, enough of them that their components are those of all candidates that are near.
 
     First all pairs of small buckets and the forests of large ones are proved. Then every pair of a large
     bucket whose ends are still in different components is, so no link that would join two groups is left out.
     """
-    texts = prints.groupBy("twin").agg(*[F.first(f"fp{k}").alias(f"fp{k}") for k in range(PRINTS)])
+    texts = distinct_texts(prints)
     keyed = signatures(texts).repartition("key").sortWithinPartitions("key")
-    found = stage(keyed.mapInArrow(_pairs, "a long, b long").distinct(), "near-candidates")
+    found = stage(keyed.mapInArrow(released(_pairs), "a long, b long").distinct(), "near-candidates")
     links = stage(_proved(docs, found.where("b IS NOT NULL"), text_col), "near-proved")
     large = side(found.where("b IS NULL").select(F.col("a").alias("key")), "near-large", F.lit(8))
     if large.isEmpty():
@@ -222,8 +275,11 @@ def near_pairs(docs: DataFrame, prints: DataFrame, text_col: str) -> DataFrame:
     held = held.select("key", "twin", "fp", F.coalesce("component", "twin").alias("component"))
     mixed = held.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     mixed = side(mixed.where("least < most").select("key"), "near-mixed", F.lit(8))
-    apart = held.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key")
-    rest = stage(apart.mapInArrow(_apart, "a long, b long").distinct().join(found, ["a", "b"], "left_anti"), "near-rest")
+    held = stage(held.join(mixed, "key", "left_semi"), "near-held")
+    sketches = _asked(docs, held.select("twin").distinct(), text_col).mapInArrow(released(_sketches), "twin long, size long, sketch binary")
+    sketches = side(sketches, "near-sketches", F.lit(16 + SKETCH_BITS // 8))
+    apart = held.join(sketches, "twin").select("key", "twin", "fp", "component", "size", "sketch").repartition("key").sortWithinPartitions("key")
+    rest = stage(apart.mapInArrow(released(_apart), "a long, b long").distinct().join(found, ["a", "b"], "left_anti"), "near-rest")
     return links.union(_proved(docs, rest, text_col))
 
 

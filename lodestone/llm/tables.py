@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,22 @@ def shipped(query: Callable) -> Callable:
     return run
 
 
+def released(run: Callable) -> Callable:
+    """The function of batches, after whose end its worker, which waits for other tasks, gives free memory back."""
+
+    @wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def side(small: DataFrame, name: str, row_bytes, limit: int = BROADCAST_BYTES) -> DataFrame:
     """*small*, staged, with a broadcast hint if its measured size is at most *limit*.
 
