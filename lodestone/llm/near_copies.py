@@ -13,8 +13,10 @@ A bucket gives all its pairs up to `SMALL` members. A larger one is a family of
 it gives a forest over its members, in an order that differs by fingerprint and segment, so a
 family gets nine different forests to be verified. Of the pairs that forests leave out, those
 whose ends are in different components by then are verified too: the groups are those of all pairs.
-Before, sketches of the sets rule out those that differ in too many shingles for certain, so that
-a family whose members are alike but not near gives few rows.
+They are found by shingles: a text is looked up under the few rarest of those it shares with other
+components, and only if it shares enough of them to be near any text there (`rare_shingles`). So a
+family whose members are alike but not near gives few rows, in proportion to its texts. Sketches of
+the sets rule out pairs that differ in too many shingles for certain.
 
 Texts that are equal are one from the start. Cases: null counts as empty; all texts without
 words are one group; a null id is larger than any.
@@ -27,7 +29,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
@@ -85,7 +87,10 @@ def signatures(texts: DataFrame) -> DataFrame:
 
 
 def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
-    """(place, an earlier place within the distance) for every member but the first of its kind."""
+    """(place, an earlier place within the distance) for every member but the first of its kind.
+
+    A member of a single block that is near any other has a link, also if it is the first of its kind.
+    """
     links: list[tuple[int, int]] = []
     roots = np.zeros(0, dtype=np.int64)
     for low in range(0, len(fps), BLOCK):
@@ -94,6 +99,10 @@ def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
         first = near.argmax(axis=1)  # a member is near itself
         links += [(low + i, low + j) for i, j in enumerate(first.tolist()) if j < i]
         new = low + np.flatnonzero(first == np.arange(len(own)))
+        left = np.setdiff1d(new - low, first[first != np.arange(len(own))])  # those near them went to others
+        near[left, left] = False
+        left = left[near[left].any(axis=1)]
+        links += list(zip((low + near[left].argmax(axis=1)).tolist(), (low + left).tolist()))
         if len(roots):
             far = differing(fps[new][:, None], fps[roots][None, :]) <= DISTANCE
             found = far.any(axis=1)
@@ -104,17 +113,19 @@ def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _apart(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, twin, fp, component and, if known, size, sketch) sorted by key -> all pairs within the distance whose
-    components differ, without those whose sketches show that they share too few shingles."""
+    """Rows (key, twin, fp, component and, if known, size, sketch, other fingerprints) sorted by key -> all pairs of a key that
+    are within the distance by one of the fingerprints and whose components differ, without those whose sketches show
+    that they share too few shingles."""
 
-    def found(twins: np.ndarray, fps: np.ndarray, parts: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def found(twins: np.ndarray, fp: np.ndarray, parts: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
         if (parts == parts[0]).all():
             return
         for low in range(0, len(twins), BLOCK):
             own = slice(low, low + BLOCK)
             for other in range(low, len(twins), BLOCK):
                 against = slice(other, other + BLOCK)
-                near = (differing(fps[own][:, None], fps[against][None, :]) <= DISTANCE) & (parts[own][:, None] != parts[against][None, :])
+                near = np.logical_or.reduce([differing(fps[own][:, None], fps[against][None, :]) <= DISTANCE for fps in (fp, *more)])
+                near &= parts[own][:, None] != parts[against][None, :]
                 i, j = np.nonzero(np.triu(near) if low == other else near)
                 for start in range(0, len(i), SKETCHES):
                     x, y = i[start : start + SKETCHES] + low, j[start : start + SKETCHES] + other
@@ -127,6 +138,7 @@ def _apart(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]]
         if batch.num_columns > 4:
             columns.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_BITS // 64))
+            columns += [c.to_numpy(zero_copy_only=False) for c in batch.columns[6:]]
         else:  # nothing is known of the sets, so nothing is ruled out
             columns += [np.zeros(batch.num_rows, dtype=np.int64), np.zeros((batch.num_rows, 1), dtype=np.uint64)]
         edges = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
@@ -156,12 +168,13 @@ def may_be_near(sizes: np.ndarray, other_sizes: np.ndarray, sketches: np.ndarray
 
 
 def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, twin, fp) sorted by key -> candidate pairs (a, b), a < b, and (key, null) for large buckets."""
+    """Rows (key, twin, fp) sorted by key -> candidate pairs (a, b), a < b; if there are large buckets, (null, null) and
+    (a, null) for members of those of several blocks that have no pair."""
 
     def found(keys: np.ndarray, twins: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(starts, len(keys)))
-        left, right = [], []
+        left, right, single = [], [], []
         for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():  # all buckets of one size at once
             own = starts[sizes == size]
             for i in range(size - 1):
@@ -177,12 +190,16 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             links = np.array(_forest(fps[order]), dtype=np.int64).reshape(-1, 2)
             left.append(order[links[:, 0]])
             right.append(order[links[:, 1]])
+            if size > BLOCK:
+                single.append(twins[np.delete(order, links.ravel())])
         a, b = (twins[np.concatenate(side)] if side else twins[:0] for side in (left, right))
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        large = keys[starts[sizes > SMALL]]
-        a, b = np.concatenate([pairs[:, 0], large]), np.concatenate([pairs[:, 1], large])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=np.arange(len(b)) >= len(pairs))], ["a", "b"])
+        alone = np.unique(np.concatenate(single)) if single else twins[:0]
+        marks = pa.nulls(int((sizes > SMALL).any()), pa.int64())
+        a = pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(alone), marks])
+        b = pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(alone), pa.int64()), marks])
+        return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
     waiting: list[list[np.ndarray]] = []
     count = 0
@@ -226,11 +243,32 @@ def sketch(shingles: np.ndarray) -> bytes:
 
 
 def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (twin, shingles) -> (twin, size, sketch)."""
     for batch in batches:
-        for low, high, texts in _texts(batch.column(1)):
-            sets = [_shingles(words) for words in texts]
-            sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), sizes, pa.array(map(sketch, sets), pa.binary())], ["twin", "size", "sketch"])
+        sets = [row.values.to_numpy(zero_copy_only=False).view(np.uint64) for row in batch.column(1)]
+        sizes = pa.array([len(s) for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(map(sketch, sets), pa.binary())], ["twin", "size", "sketch"])
+
+
+def rare_shingles(marked: DataFrame) -> DataFrame:
+    """(key, twin): shingles under which each text of *marked* (twin, component, shingles) meets all near ones of other components.
+
+    A text that is near shares `LEAST` of the shingles, so it lacks some of them only; of one more than that it has
+    at least one, whichever they are, if all texts take the first in one order of all shingles. Here those
+    come first that one component has alone: nobody there has them, so they need no row. The others follow by
+    their number of texts. A text with too many of the former has no row at all. A set without
+    shingles counts as the one shingle 0.
+    """
+    shingles = F.when(F.size("shingles") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("shingles"))
+    each = marked.select("twin", "component", F.size(shingles).alias("size"), F.explode(shingles).alias("key"))
+    alike = Window.partitionBy("key")
+    crossing = F.min("component").over(alike) < F.max("component").over(alike)
+    each = each.select("twin", "size", "key", F.count("*").over(alike).alias("n"), crossing.alias("crossing")).where("crossing")
+    shared = each.groupBy("twin", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))
+    lacked = F.col("size") - F.ceil(F.col("size") * LEAST - 1e-6)  # a little room for rounding
+    rows = (lacked + 1 - (F.col("size") - F.size("shared"))).cast("int")
+    shared = shared.select("twin", "shared", rows.alias("rows")).where("rows > 0")
+    return shared.select("twin", F.explode(F.slice("shared", 1, F.col("rows"))).alias("s")).select("s.key", "twin")
 
 
 def _asked(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
@@ -240,10 +278,13 @@ def _asked(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     return docs.select(twin.alias("twin"), F.col(text_col).alias("text")).join(wanted, "twin", "left_semi").dropDuplicates(["twin"])
 
 
-def _proved(docs: DataFrame, candidates: DataFrame, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """(twin, shingles) of the wanted twins."""
+    return stage(_asked(docs, wanted, text_col).mapInArrow(released(_shingle_sets), "twin long, shingles array<long>"), "near-shingles")
+
+
+def _proved(sets: DataFrame, candidates: DataFrame) -> DataFrame:
     """The candidates (a, b) that share enough shingles."""
-    asked = _asked(docs, candidates.select(F.explode(F.array("a", "b")).alias("twin")).distinct(), text_col)
-    sets = stage(asked.mapInArrow(released(_shingle_sets), "twin long, shingles array<long>"), "near-shingles")
     a, b = (sets.select(F.col("twin").alias(n), F.col("shingles").alias(f"{n}_set")) for n in "ab")
     shared = F.size(F.array_intersect("a_set", "b_set"))
     both = candidates.join(a, "a").join(b, "b").withColumn("shared", shared)
@@ -262,25 +303,27 @@ def near_pairs(docs: DataFrame, prints: DataFrame, text_col: str) -> DataFrame:
 
     First all pairs of small buckets and the forests of large ones are proved. Then every pair of a large
     bucket whose ends are still in different components is, so no link that would join two groups is left out.
+    Each of its ends has a candidate or stands alone in `found`, so the sets of the first proof are all that is needed.
     """
     texts = distinct_texts(prints)
     keyed = signatures(texts).repartition("key").sortWithinPartitions("key")
     found = stage(keyed.mapInArrow(released(_pairs), "a long, b long").distinct(), "near-candidates")
-    links = stage(_proved(docs, found.where("b IS NOT NULL"), text_col), "near-proved")
-    large = side(found.where("b IS NULL").select(F.col("a").alias("key")), "near-large", F.lit(8))
-    if large.isEmpty():
+    pairs = found.where("b IS NOT NULL")
+    sets = _sets(docs, found.select(F.explode(F.array("a", "b")).alias("twin")).where("twin IS NOT NULL").distinct(), text_col)
+    links = stage(_proved(sets, pairs), "near-proved")
+    if found.where("b IS NULL").isEmpty():  # no large buckets
         return links
     parts = side(connected_components(links).select(F.col("node").alias("twin"), "component"), "near-parts", F.lit(16))
-    held = signatures(texts).join(large, "key", "left_semi").join(parts, "twin", "left")
-    held = held.select("key", "twin", "fp", F.coalesce("component", "twin").alias("component"))
-    mixed = held.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    mixed = side(mixed.where("least < most").select("key"), "near-mixed", F.lit(8))
-    held = stage(held.join(mixed, "key", "left_semi"), "near-held")
-    sketches = _asked(docs, held.select("twin").distinct(), text_col).mapInArrow(released(_sketches), "twin long, size long, sketch binary")
-    sketches = side(sketches, "near-sketches", F.lit(16 + SKETCH_BITS // 8))
-    apart = held.join(sketches, "twin").select("key", "twin", "fp", "component", "size", "sketch").repartition("key").sortWithinPartitions("key")
-    rest = stage(apart.mapInArrow(released(_apart), "a long, b long").distinct().join(found, ["a", "b"], "left_anti"), "near-rest")
-    return links.union(_proved(docs, rest, text_col))
+    marked = sets.join(parts, "twin", "left").select("twin", "shingles", F.coalesce("component", "twin").alias("component"))
+    rare = stage(rare_shingles(marked), "near-rare")
+    met = side(rare.select("twin").distinct(), "near-met", F.lit(8))
+    sketches = sets.join(met, "twin", "left_semi").mapInArrow(released(_sketches), "twin long, size long, sketch binary")
+    known = texts.join(sketches, "twin").join(parts, "twin", "left").withColumn("component", F.coalesce("component", "twin"))
+    known = side(known, "near-sketches", F.lit(48 + SKETCH_BITS // 8))
+    held = rare.join(known, "twin").select("key", "twin", "fp0", "component", "size", "sketch", *(f"fp{k}" for k in range(1, PRINTS)))
+    apart = held.repartition("key").sortWithinPartitions("key")
+    rest = stage(apart.mapInArrow(released(_apart), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "near-rest")
+    return links.union(_proved(sets, rest))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
