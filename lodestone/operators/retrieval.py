@@ -22,10 +22,10 @@ SLACK = 1e-9
 BLOCK_QUERIES = 1024
 #: Records compared at once: at most, and at least where the direction changes.
 BLOCK_RECORDS = 4096
-LEAST_RECORDS = 256
+LEAST_RECORDS = 1024
 #: Pairs scored one by one at once.
 CANDIDATES = 16_384
-#: Parts of the records in a join: every part has its copy of the queries and its k best of each.
+#: Tasks of a join with one block of queries: every part of the records has its copy of the queries.
 MOST_PARTS = 64
 FEW_QUERIES = 50_000
 
@@ -89,6 +89,9 @@ class Scan:
 
     def __init__(self, query_ids: Sequence, query_vectors: np.ndarray, k: int):
         self.query_ids, self.vectors, self.k = query_ids, query_vectors, k
+        #: Pairs are looked through in float32. A sum is off by d * 2**-24 at most there (lengths are one); twice that and a little.
+        self.rough = np.ascontiguousarray(query_vectors, dtype=np.float32)
+        self.off = (query_vectors.shape[1] + 8) * 2.0**-23 + SLACK
         #: The k best of each query, best first; places not yet taken score -inf.
         self.scores = np.full((len(query_ids), k), -np.inf)
         self.ids: np.ndarray | None = None
@@ -124,19 +127,20 @@ class Scan:
         elif self.ids.dtype != ids.dtype:
             self.ids, ids = self.ids.astype(object), ids.astype(object)
         reached = self.bounds(block) >= self.least - SLACK
+        across = np.ascontiguousarray(block.T, dtype=np.float32)
         for low in range(0, len(self.vectors), BLOCK_QUERIES):
             near = np.flatnonzero(reached[low : low + BLOCK_QUERIES]) + low
             self.skipped += (min(BLOCK_QUERIES, len(self.vectors) - low) - len(near)) * count
             self.compared += len(near) * count
             if not len(near):
                 continue
-            rough = self.vectors[near] @ block.T
-            hits = rough >= (self.least[near] - SLACK)[:, None]
+            rough = self.rough[near] @ across
+            hits = rough >= (self.least[near] - self.off).astype(np.float32)[:, None]
             many = np.flatnonzero(hits.sum(axis=1) > 2 * self.k)
             if len(many):
                 own = np.where(hits[many], rough[many], -np.inf)
                 bar = np.partition(own, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
-                hits[many] &= rough[many] >= (bar - SLACK)[:, None]
+                hits[many] &= rough[many] >= (bar - np.float32(2 * self.off))[:, None]
             ends = np.cumsum(hits.sum(axis=1))
             start = 0
             while start < len(near):
@@ -235,14 +239,16 @@ def similarity_join(
     """queries(query_id, embedding) x index(id, embedding) -> query_id, id, score, rank.
 
     Exact, and one plan: nothing runs while it is built. Vectors are scaled to length one.
-    Records are dealt evenly over the shuffle partitions (`MOST_PARTS` at most, so copies of the
-    queries do not grow with the partitions) by a hash of their id and sorted by direction
-    inside; every partition gets all queries and streams its records past them in blocks
-    (`Scan`), which are skipped for queries they cannot improve. Only the k best per query leave
-    a task. A task holds one block of queries: choose *query_blocks* so that this fits and for
-    more tasks (each block has its own copy of the records).
+    Queries are cut into *query_blocks* and records into parts, both by a hash of their id; a
+    task has one block and one part. There are as many tasks as shuffle partitions (`MOST_PARTS`
+    at most, or a part a block), so more blocks mean fewer parts: a query is copied to every
+    part and has its k best in each, a record is copied to every block. Choose one block for few
+    queries, about the square root of the tasks where queries are as many as records, and more
+    if a block does not fit into a task. A part is sorted by direction and streamed past the
+    queries in blocks (`Scan`), which are skipped for queries they cannot improve.
     """
-    parts = min(MOST_PARTS, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    partitions = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    parts = max(1, min(MOST_PARTS, partitions) // query_blocks)
     schema = _output_schema(queries, index)
 
     def everywhere(count: int) -> Column:
@@ -336,9 +342,9 @@ def similarity_join_few(queries: DataFrame, index: DataFrame, k: int, most: int
 
 
 # --- retrieval ----------------------------------------------------------------
-def search(queries: DataFrame, index: DataFrame, k: int, dimensions: int) -> DataFrame:
+def search(queries: DataFrame, index: DataFrame, k: int, dimensions: int, query_blocks: int = 1) -> DataFrame:
     """Top-k public records per query."""
-    return similarity_join(queries, public_only(index), k, dimensions)
+    return similarity_join(queries, public_only(index), k, dimensions, query_blocks)
 
 
 def resolve_chunks(matches: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -363,12 +369,13 @@ def retrieve(
     chunks: DataFrame,
     dimensions: int,
     policy: RetrievalPolicy = RetrievalPolicy(),
+    query_blocks: int = 1,
 ) -> DataFrame:
     """Matches per query with status: below_threshold, unresolved, withheld or retrieved.
 
     Retrieved rows carry *position*, their order after resolution.
     """
-    matches = search(queries, index, policy.top_k, dimensions)
+    matches = search(queries, index, policy.top_k, dimensions, query_blocks)
     resolved = resolve_chunks(matches, chunks).withColumn(
         "status",
         F.when(F.col("score") < policy.min_similarity, "below_threshold").otherwise(F.col("status")),
