@@ -55,7 +55,7 @@ def replies_table(spark, folder):
     answer = F.concat("text", F.lit(NAMED + " [S1], [S2; S9] 【s3】"))
 
     def reply(sources: str, support: str, field="answer"):
-        body = F.to_json(F.struct(answer.alias(field)))
+        body = F.to_json(F.struct(answer.alias(field)), {"ignoreNullFields": "false"})
         return F.concat(
             F.substring(body, F.lit(1), F.length(body) - 1), F.lit(f', "sources": {sources}, "support": {support}}}')
         )
